@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, mixing, neighbours, packing, pii, quality, secrets, token_counts, toxicity
+from lodestone.llm import chat, mixing, neighbours, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
 from lodestone.llm.common import documents, table
 
 MIX_FRACTION = 0.6
@@ -36,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,

@@ -303,3 +303,24 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     out = docs.select(F.col(key).alias("key"), text_bytes(text).alias("b")).mapInArrow(of, f"key {kind}, score double, spans array<struct<start:bigint,end:bigint>>")
     out = out.withColumnRenamed("key", key)
     return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_toxic_tokens"), "spans")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``at``, unchanged."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    model = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows, SAMPLE_BYTES, training_only=True)))
+    place = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        codes, nothing = Codes(m.chain.tags), m.score(summary(np.zeros(0), 1))
+        for batch in batches:
+            keep = []
+            for raw in batch.column(place).cast(pa.large_binary()).to_pylist():
+                c = codes.of((raw or b"").split())
+                s = m.score(summary(m.chain.marginals(c)[1], len(c))) if c.any() else nothing
+                keep.append(s < at)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
