@@ -1,6 +1,8 @@
-"""Registry of the engine's queries: name -> (Spark query, DuckDB oracle)."""
+"""Registry of the engine's queries: name -> Spark query, and name -> DuckDB oracle."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import analysis_queries, graph_queries, ingest_queries, retrieval_queries, state_queries, text_queries  # noqa: F401
+from lodestone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
