@@ -21,8 +21,8 @@ def words(text: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """Lower-case runs of ASCII letters that stand as words of their own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z]+\b"), F.lit(0))
+    """Lower-case words that are ASCII letters throughout."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]+$"))
 
 
 def content_flags(text: Column) -> dict[str, Column]:

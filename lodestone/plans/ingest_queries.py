@@ -76,7 +76,7 @@ def issue_filter(spark, sf):
     return o.where(issues.issue_filter("1-URGENT", statuses=("O", "F"), since=F.expr("DATE '1996-01-01'"))).select("o_orderkey", "status")
 
 
-@query("source_page_hierarchy", "SELECT n_nationkey + 100 AS id, r_name || ' > ' || n_name AS breadcrumb, CAST(2 AS BIGINT) AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_regionkey, r_name, 1 FROM region")
+@query("source_page_hierarchy", "SELECT CAST(n_nationkey + 100 AS BIGINT) AS id, r_name || ' > ' || n_name AS breadcrumb, CAST(2 AS BIGINT) AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, 1 FROM region")
 def page_hierarchy(spark, sf):
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.col("n_name").alias("title"))
     r = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("title"))

@@ -113,7 +113,7 @@ _BOOST = """least(0.5, 0.8 * 0.05 + CASE WHEN source_type = 'git' THEN (1.4 - 1)
  + CASE WHEN list_has_any(list_transform(entities, x -> lower(x)), ['data table', 'entity 3']) THEN 0.10 ELSE 0 END + CASE WHEN list_has_any(list_transform(topics, x -> lower(x)), ['data table', 'entity 3']) THEN 0.08 ELSE 0 END)"""
 
 
-@query("boost_factors", f"WITH {R} SELECT doc_id, round({_BOOST}, 6) AS factor FROM results")
+@query("boost_factors", f"WITH {R} SELECT doc_id, round(CAST({_BOOST} AS DOUBLE), 6) AS factor FROM results")
 def boost(spark, sf):
     factor = fusion.boost({"git": 1.4, "confluence": 1.2}, 0.8, ("code", "tables"), ("data table", "entity 3"))
     return results(spark, sf).select("doc_id", F.round(factor, 6).alias("factor"))

@@ -11,7 +11,7 @@ from lodestone.plans.registry import query
 from lodestone.session import table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), w -> w <> '')"
-LETTERS = r"regexp_extract_all(lower(text), '\b[a-zA-Z]+\b')"
+LETTERS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), w -> regexp_full_match(w, '[a-z]+'))"
 SENT = r"list_filter(string_split(text, '.'), s -> trim(regexp_replace(s, '[ \t\n\x0B\f\r]+', ' ', 'g')) <> '')"
 UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
 _URL = r"regexp_replace(regexp_replace(lower(trim(source_url)), '[?#;].*$', ''), '/+$', '')"

@@ -46,15 +46,20 @@ def flat_text(node) -> str:
     return ""
 
 
-@F.pandas_udf("string")
-def rich_text(raw: pd.Series) -> pd.Series:
-    def one(s):
-        try:
-            return " ".join(flat_text(json.loads(s)).split())
-        except (TypeError, ValueError):
-            return s
-
-    return raw.map(one)
+def rich_text(column: Column) -> Column:
+    """The flat text of a JSON tree column; what does not parse stays as it is."""
+
+    @F.pandas_udf("string")
+    def of(raw: pd.Series) -> pd.Series:
+        def one(s):
+            try:
+                return " ".join(flat_text(json.loads(s)).split())
+            except (TypeError, ValueError):
+                return s
+
+        return raw.map(one)
+
+    return of(column)
 
 
 def breadcrumbs(pages: DataFrame, key: str, parent: str, title: str, deepest: int = 20) -> DataFrame:
