@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import jaccard
 from lodestone.operators.similarity import _low
+from lodestone.storage import cut
 
 CITES, CONTAINS, SIBLING = 1.0, 2.0, 0.5
 DAMPING, ROUNDS = 0.85, 20
@@ -36,7 +37,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("cited"), F.sum("o").alias("citing"), (F.sum("i") + F.sum("o")).alias("degree"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut=lambda df: df) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut=cut) -> DataFrame:
     """(node, rank) by power iteration with the weight of nodes without edges spread over all; lineage is cut by ``cut``."""
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -50,7 +51,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     return rank
 
 
-def hits(edges: DataFrame, rounds: int = 20, cut=lambda df: df) -> DataFrame:
+def hits(edges: DataFrame, rounds: int = 20, cut=cut) -> DataFrame:
     """(node, hub, authority), each scaled to sum 1."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     h = nodes.withColumn("hub", F.lit(1.0))
@@ -123,7 +124,7 @@ def topic_chain(related: DataFrame, start: str, length: int, decay: float = 0.9)
     return related.sparkSession.createDataFrame(rows, "position long, topic string, relevance double")
 
 
-def neighbours(edges: DataFrame, starts: DataFrame, hops: int, kinds: tuple[str, ...] = (), least: float = 0.0, cut=lambda df: df) -> DataFrame:
+def neighbours(edges: DataFrame, starts: DataFrame, hops: int, kinds: tuple[str, ...] = (), least: float = 0.0, cut=cut) -> DataFrame:
     """(node, hop): breadth first over edges in either direction; each node at its first hop."""
     e = edges.where(F.col("weight") >= least)
     if kinds:
@@ -138,7 +139,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, hops: int, kinds: tuple[str,
     return seen
 
 
-def weak_components(edges: DataFrame, cut=lambda df: df, most: int = 60) -> DataFrame:
+def weak_components(edges: DataFrame, cut=cut, most: int = 60) -> DataFrame:
     """(node, component): the smallest node that each reaches."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import html_blocks
 from lodestone.sources.files import MIME, glob_pattern
+from lodestone.storage import cut
 
 HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)"""
 ATTACHMENTS = ("pdf", "docx", "xlsx", "pptx", "zip", "csv")
@@ -69,7 +70,7 @@ def attachment_links(all_links: DataFrame) -> DataFrame:
     return all_links.withColumn("extension", ext).where(F.col("extension").isin(*ATTACHMENTS)).withColumn("mime", F.element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), F.col("extension")))
 
 
-def crawl(edges: DataFrame, start: DataFrame, rounds: int, cut=lambda df: df) -> DataFrame:
+def crawl(edges: DataFrame, start: DataFrame, rounds: int, cut=cut) -> DataFrame:
     """(url, depth) breadth first over (url, link): each round only the links not seen yet go on."""
     seen = start.select("url", F.lit(0).cast("long").alias("depth"))
     edge = seen
