@@ -45,9 +45,10 @@ def dispatch(out: str, operation: Column, key: str = "doc_id", text: str = "text
     return batch
 
 
-def leases(stream: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(key, status, attempts): jobs as keyed state. A started job that is not finished before its lease ends is
-    reported as expired, so another worker can take it. ``stream`` has ``event`` in started, done, failed."""
+def leases(stream: DataFrame, key: str, at: str, seconds: int, late: str = "1 minute") -> DataFrame:
+    """(key, status, attempts): jobs as keyed state. A started job that is not finished before its lease ends, by the
+    events' own time, is reported as expired, so another worker can take it. ``stream`` has ``event`` in started,
+    done, failed."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts = state.get if state.exists else ("new", 0)
@@ -55,19 +56,22 @@ def leases(stream: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({key: [k[0]], "status": ["expired"], "attempts": [attempts]})
             return
-        for pdf in batches:
-            for event in pdf.sort_values(at, kind="stable")["event"]:
-                attempts += event == "started"
-                status = "running" if event == "started" else event
+        seen = pd.concat(list(batches)).sort_values(at, kind="stable")
+        for event in seen["event"]:
+            attempts += int(event == "started")
+            status = "running" if event == "started" else event
         if status == "done":
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update((status, attempts))
-            state.setTimeoutDuration(seconds * 1000)
+            end = int(pd.Timestamp(seen[at].iloc[-1]).timestamp() * 1000) + seconds * 1000
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "status": [status], "attempts": [attempts]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark(at, late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -31,8 +31,9 @@ def test_dispatch(spark, sf, tmp_path):
 
 
 def test_leases(spark, tmp_path):
-    rows = [(1, "started", 1), (1, "done", 2), (2, "started", 1), (2, "failed", 2), (2, "started", 3)]
-    spark.createDataFrame(rows, "id long, event string, at long").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = ingest.read_changes(spark, f"{tmp_path}/in", "id long, event string, at long")
+    rows = [(1, "started", 1), (1, "done", 2), (2, "started", 1), (2, "failed", 2), (2, "started", 3), (3, "started", 90)]
+    df = spark.createDataFrame(rows, "id long, event string, minute int").selectExpr("id", "event", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, minute, 0) AS at")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = ingest.read_changes(spark, f"{tmp_path}/in", df.schema)
     got = ingest.run_available(ingest.leases(stream, "id", "at", 600), "leases", f"{tmp_path}/cp", "update").collect()
-    assert {(r.id, r.status, r.attempts) for r in got} == {(1, "done", 1), (2, "running", 2)}
+    assert {(r.id, r.status, r.attempts) for r in got} == {(1, "done", 1), (2, "running", 2), (2, "expired", 2), (3, "running", 1)}
