@@ -16,6 +16,8 @@ Texts longer than the capacity are cut into full pieces and one rest.
 
 from __future__ import annotations
 
+import re
+import struct
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, short_batches, text_bytes
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: Entries of a worker's cache before it starts anew, and the longest word that is cached.
-CACHE_SIZE, CACHED_LENGTH = 400_000, 64
+#: Entries of one generation of a worker's cache, and the longest word that is cached.
+CACHE_SIZE, CACHED_LENGTH = 120_000, 64
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 20_000
 #: Runs up to which the table of runs is broadcast (40 bytes each).
@@ -41,32 +43,78 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of Latin letters alone: one pre-token, composed already, lower-cased alike everywhere.
+SIMPLE = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Control characters that Python's ``split`` takes for white space and the tokenizer does not.
+NOT_SPACE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+
+
 class WordIds(dict):
     """Word without white space -> its ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids.
+    The tokenizer drops white space and never joins what it separates, so a text's
+    ids are its words' ids. A word of plain letters goes straight to the merges,
+    any other through the whole tokenizer. Words seen lately are kept in two
+    generations: a full one replaces the one before it.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.older = tokenizer, tokenizer.model, {}
+        self.letter = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        import re
+    def encode(self, word: str) -> bytes:
+        if word[-1:] in ".,;:!?" and SIMPLE.fullmatch(word, 0, len(word) - 1):
+            return self[word[:-1]] + self[word[-1]]
+        if SIMPLE.fullmatch(word):
+            low = word.lower()
+            plain = low if low.isascii() else "".join(map(self.letter.__getitem__, low.encode()))
+            ids = [t.id for t in self.model.tokenize(plain)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of(self, raw: bytes) -> bytes:
+        """The ids of a whole text."""
+        if any(c in raw for c in NOT_SPACE):
+            return self.encode(raw.decode("utf-8", "replace"))
+        if b"<|" not in raw:  # special strings are known by their case
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.decode("utf-8", "replace").split()))
+
+
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, more = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else more))
+        more += b not in plain
+    return out
+
+
+#: One cache for all tasks of a Python worker.
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORDS:
+        from tokenizers import Tokenizer
 
-        if re.search("[\x1c-\x1f]", text):  # Python splits there, the tokenizer does not
-            return self[text] if len(text) > CACHED_LENGTH else self.__missing__(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        _WORDS.clear()
+        _WORDS[path] = WordIds(Tokenizer.from_file(path))
+    return _WORDS[path]
 
 
 def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, closing: int = CLOSING_ID, path: str | None = None) -> DataFrame:
@@ -76,13 +124,11 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     kind = docs.schema[key].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words, end, step = WordIds(Tokenizer.from_file(path)), closing.to_bytes(4, "little"), 4 * capacity
+        words, end, step = word_ids(path), closing.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             at, piece, start, length, ids = [], [], [], [], []
             for row, raw in enumerate(batch.column(1).to_pylist()):
-                whole = words.of(raw.decode("utf-8", "replace")) + end
+                whole = words.of(raw) + end
                 for k in range(0, len(whole), step):
                     part = whole[k : k + step]
                     at.append(row)

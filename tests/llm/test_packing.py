@@ -100,6 +100,18 @@ def test_pieces_are_the_tokenizers(spark, sf, odd_documents):
         assert ids == want
 
 
+def test_words_go_the_tokenizers_way():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    rnd, words = random.Random(9), packing.word_ids(packing.vocabulary_path())
+    pool = [*"abcXYZ.,;:!?'\"-<|>09 \n\t\x1c\x85\xa0\u3000", *"éÉßİıſKΣςάǅ×÷ñŸ\u0301\u00ad中\U0001f600\u0d41", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "the", "Straße", "été,", "..."]
+    for _ in range(4000):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))
+        got = np.frombuffer(words.of(text.encode()), "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_documents_are_packed_whole(spark, sf, odd_documents):
     for docs in (documents(spark, sf), odd_documents):
         rows = packing.packed_documents(docs).collect()
