@@ -49,7 +49,7 @@ COMMON = 48
 #: Sketch cells: 8 a document, within these powers of 2 (the largest: 32 MB).
 LEAST_BITS, MOST_BITS = 14, 24
 #: Classes of one part of a block; a cluster of over PARTS parts gets larger ones.
-PART, PARTS, LARGEST_PART = 48, 96, 4096
+PART, PARTS, LARGEST_PART = 160, 96, 4096
 #: Bytes of the filter that tells which classes need their sets again.
 FILTER_BITS = 23
 
@@ -145,7 +145,9 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
         return of
 
     # Two rounds, so that no task adds up the sketches of all others.
-    each = docs.mapInArrow(count, "block int, cells binary").withColumn("_r", F.pmod(F.spark_partition_id(), F.lit(64)))
+    # Few long tasks: what is sent is a sketch per task, so it must not grow with the number of input splits.
+    few = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    each = few.mapInArrow(count, "block int, cells binary").withColumn("_r", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = each.groupBy("block", "_r").applyInPandas(add("<u2"), "block int, cells binary")
     rows = some.groupBy("block").applyInPandas(add("<u4"), "block int, cells binary").collect()
     cells = np.zeros(size, np.int64)
@@ -339,7 +341,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "s": pa.array(sets, pa.binary())})
 
     sets = rows.select("b").mapInArrow(sets_of, "cls long, s binary").withColumn("even", F.col("cls").bitwiseAND(F.lit(-2)))
-    one = sets.groupBy("even", "cls").agg(F.first("s").alias("s"))
+    # Dealt once by what the next join needs; a task sends a class once, so copies hardly show here.
+    one = sets.repartition("even").groupBy("even", "cls").agg(F.first("s").alias("s"))
     parts = F.when(F.col("m") <= PART * PARTS, F.ceil(F.col("m") / PART)).otherwise(F.greatest(F.lit(PARTS), F.ceil(F.col("m") / LARGEST_PART))).cast("int")
     dealt = one.join(clusters, "even").withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     blocks = dealt.select("label", "cls", "s", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
