@@ -36,13 +36,13 @@ def pair_records(spark, sf):
     return similarity.scored(similarity.sharing_pairs(r, "entities", "topics"), r).select("a", "b", "entity", "topic", "metadata", "hierarchical", "features", "relation")
 
 
-@query("similarity_find_similar", f"""WITH {R}, {_IT('entities', 'topics')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id % 20 = 0 AND i.doc_id <> j.doc_id), {_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 5) DESC, b) AS rank FROM s WHERE score >= 0.5)
-SELECT a, b, round(score, 5) AS score, relation, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 5""")
+@query("similarity_find_similar", f"""WITH {R}, {_IT('entities', 'topics')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id % 20 = 0 AND i.doc_id <> j.doc_id), {_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY floor(score * 100000 + 0.25) DESC, b) AS rank FROM s WHERE score >= 0.5)
+SELECT a, b, floor(score * 100000 + 0.25) / 100000 AS score, relation, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 5""")
 def find_similar(spark, sf):
     from pyspark.sql import Window
 
     r = results(spark, sf)
-    s = similarity.similar_to(r, F.col("doc_id") % 20 == 0, 0.5, 1000).withColumn("score", F.round("score", 5))
+    s = similarity.similar_to(r, F.col("doc_id") % 20 == 0, 0.5, 1000).withColumn("score", F.floor(F.col("score") * 100000 + 0.25) / 100000)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
     return s.withColumn("rank", rank.cast("long")).where("rank <= 5")
 
