@@ -54,7 +54,7 @@ PART, PARTS, LARGEST_PART = 160, 96, 4096
 FILTER_BITS = 23
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9)]
-CACHE_SIZE = 500_000
+CACHE_SIZE = 120_000
 
 
 class WordHashes(dict):

@@ -42,7 +42,7 @@ TAG_DOCS, TAG_SHARE, TAG_PRECISION, TAG_ODDS = 3, 0.015, 0.8, 2.5
 SENTENCES, LONGEST = 6000, 64
 #: A token whose marginal reaches this is an offending one.
 SPAN_AT = 0.5
-CACHE_SIZE = 500_000
+CACHE_SIZE = 120_000
 
 EDGES = b".,;:!?*#%&$|<>\"'()[]{}-_~`+=/\\"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

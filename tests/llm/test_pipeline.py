@@ -44,7 +44,7 @@ def test_every_stage_against_brute_force(spark, sf):
     assert fed.columns == columns
     want = mixed([(r.doc_id, r.text, r.lang, r.source) for r in got3.values()], pipeline.MIX_FRACTION, epochs=1)
     got4 = {r.doc_id: r for r in fed.collect()}
-    assert Counter(got4) == Counter(i for i, _ in want) and all(r == got3[i] for i, r in got4.items())
+    assert Counter(list(got4)) == Counter(i for i, _ in want) and all(r == got3[i] for i, r in got4.items())
 
     packed = by["packing"](spark, fed, sf).collect()
     from tokenizers import Tokenizer
