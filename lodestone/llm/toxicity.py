@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -156,7 +157,7 @@ def tag_words(sample: list[tuple[bytes, int]]) -> list[bytes]:
     n_toxic = n_clean = 0
     for raw, y in sample:
         words = raw.lower().split()
-        runs = sorted({hash(tuple(words[k : k + 8])) for k in range(0, max(1, len(words) - 7))})[:4]
+        runs = sorted({zlib.crc32(b" ".join(words[k : k + 8])) for k in range(0, max(1, len(words) - 7))})[:4]
         if len(words) >= 8 and seen.intersection(runs):
             continue
         seen.update(runs)
