@@ -108,28 +108,37 @@ def phrase_count(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(low.contains(p), 1).otherwise(0) for p in INDICATORS])
 
 
-def opposite_pairs(x: Column, y: Column) -> Column:
-    """Which contradictions stand between two texts, by number."""
-    a, b = F.lower(x), F.lower(y)
+def opposite_sides(text: Column) -> Column:
+    """For each contradiction, whether the text holds its first and its second phrase."""
+    low = F.lower(text)
     # Java's look-ahead and RE2's lack of it: the negated forms are taken out first instead.
-    bare = lambda t, p: F.regexp_replace(t, rf"\b{p}\s+not\b", " ") if p in ("must", "should") else t
-    hit = lambda t, p: (bare(t, p) if "not" not in p else t).rlike(rf"\b{p}\b")
-    return F.filter(F.array(*[F.when((hit(a, p) & hit(b, q)) | (hit(a, q) & hit(b, p)), F.lit(k)) for k, (p, q) in enumerate(OPPOSITES)]), lambda v: v.isNotNull())
+    bare = lambda p: F.regexp_replace(low, rf"\b{p}\s+not\b", " ") if p in ("must", "should") else low
+    hit = lambda p: (bare(p) if "not" not in p else low).rlike(rf"\b{p}\b")
+    return F.array(*[F.struct(hit(p).alias("p"), hit(q).alias("q")) for p, q in OPPOSITES])
+
+
+def opposite_pairs(x: Column, y: Column) -> Column:
+    """Which contradictions stand between two texts, by number; of their ``opposite_sides``."""
+    between = lambda k: (x[k]["p"] & y[k]["q"]) | (x[k]["q"] & y[k]["p"])
+    return F.filter(F.array(*[F.when(between(k), F.lit(k)) for k in range(len(OPPOSITES))]), lambda v: v.isNotNull())
 
 
 def detect(results: DataFrame) -> DataFrame:
     """(a, b, text_confidence, metadata_weight, opposites, category) of pairs that share an entity and conflict in some way.
 
-    Both texts must have ten characters and differ.
+    Both texts must have ten characters and differ. Each text is read once, whole; pairs carry what was found in it.
     """
-    p = with_sides(sharing_pairs(results, "entities"), results).where((F.length("x.text") >= 10) & (F.length("y.text") >= 10) & (F.col("x.text") != F.col("y.text")))
+    t = F.col("text")
+    read = results.select("doc_id", "entities", "source_type", "project_id", "created_day", F.length(t).alias("length"), F.sha2(t.cast("binary"), 256).alias("digest"), phrase_count(t).alias("said"), opposite_sides(t).alias("sides"))
+    p = with_sides(sharing_pairs(results, "entities"), read, ("entities", "source_type", "project_id", "created_day", "length", "digest", "said", "sides"))
+    p = p.where((F.col("x.length") >= 10) & (F.col("y.length") >= 10) & (F.col("x.digest") != F.col("y.digest")))
     shared = jaccard(_low("x.entities"), _low("y.entities"))
-    said = phrase_count(F.col("x.text")) + phrase_count(F.col("y.text"))
+    said = F.col("x.said") + F.col("y.said")
     text = F.when((shared > 0.3) & (said > 0), F.least(F.lit(1.0), shared * said / 10)).otherwise(F.lit(0.0))
     types = F.array_sort(F.array("x.source_type", "y.source_type"))
     between = F.when(types == F.array(F.lit("confluence"), F.lit("git")), 0.2).when(types == F.array(F.lit("confluence"), F.lit("jira")), 0.1).otherwise(0.0)
     meta = F.when(F.abs(F.col("x.created_day") - F.col("y.created_day")) > 365, 0.3).otherwise(0.0) + between + F.when(F.col("x.project_id").eqNullSafe(F.col("y.project_id")), 0.0).otherwise(0.1)
-    opposites = opposite_pairs(F.col("x.text"), F.col("y.text"))
+    opposites = opposite_pairs(F.col("x.sides"), F.col("y.sides"))
     out = p.select("a", "b", F.round(text, 6).alias("text_confidence"), F.round(F.when(meta > 0.2 + 1e-9, F.least(F.lit(1.0), meta)).otherwise(0.0), 6).alias("metadata_weight"), F.array_join(opposites, ",").alias("opposites"))
     category = F.when(F.col("opposites") != "", "procedural").when(F.col("text_confidence") > 0, "general").otherwise("metadata")
     return out.where((F.col("text_confidence") > 0) | (F.col("metadata_weight") > 0) | (F.col("opposites") != "")).withColumn("category", category)
