@@ -7,9 +7,15 @@ small and Spark broadcasts it by its size.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import cut
+
 # The sparse encoder's stop words, token shape and constants.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with",
@@ -17,6 +23,8 @@ STOP_WORDS = (
 TOKEN = r"[A-Za-z0-9_]{2,}"
 SPARSE_K1 = 1.2
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+#: Queries that meet the whole table at once.
+QUERY_BLOCK = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,6 +57,68 @@ def dense(queries: DataFrame, points: DataFrame, k: int, least: float | None = N
     return top_k(hits, k, tie=key)
 
 
+def dense_blocks(queries: DataFrame, points: DataFrame, k: int, least: float | None = None, where: Column | None = None, block: int = QUERY_BLOCK, cut=cut) -> DataFrame:
+    """Exact cosine search for a query table of any size: (query_id, doc_id, score, rank), scores to six decimals.
+
+    Queries meet all points in blocks: one block's vectors go out as a matrix, each batch of points keeps its ``k`` best
+    hits of each query, and the best of these are ranked. A block costs one pass over the points.
+    """
+    spark = points.sparkSession
+    p = (points if where is None else points.where(where)).select("doc_id", "v")
+    parts = []
+    for some in query_blocks(queries.select("query_id", "v"), block, cut):
+        rows = some.collect()  # at most a few more than ``block``
+        if not rows:
+            continue
+        ids, matrix = np.array([r.query_id for r in rows], np.int64), _unit([r.v for r in rows])
+        near = p.mapInArrow(_nearest(spark.sparkContext.broadcast((ids, matrix)), k, least), "query_id long, doc_id long, score double")
+        parts.append(cut(top_k(near, k)))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unit(vectors: list) -> np.ndarray:
+    v = np.array(vectors, np.float64)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _nearest(block, k: int, least: float | None):
+    def of(batches):
+        import pyarrow as pa
+
+        ids, matrix = block.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                doc = part.column(0).to_numpy(zero_copy_only=False)
+                exact = matrix @ _unit(part.column(1).to_pylist()).T
+                score = np.round(exact, 6) + 0.0
+                order = np.lexsort((np.broadcast_to(doc, score.shape), -score))[:, :k]
+                best = np.take_along_axis(score, order, 1)
+                kept = np.ones(best.shape, bool) if least is None else np.take_along_axis(exact, order, 1) >= least
+                query = np.broadcast_to(ids[:, None], best.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(doc[order][kept], pa.int64()), pa.array(best[kept])], ["query_id", "doc_id", "score"])
+
+    return of
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK, cut=cut) -> list[DataFrame]:
+    """The queries dealt by a hash of their id into blocks of about ``block``."""
+    blocks = max(1, math.ceil(queries.count() / block))
+    if blocks == 1:
+        return [queries]
+    dealt = cut(queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    return [dealt.where(F.col("_b") == b).drop("_b") for b in range(blocks)]
+
+
+def in_blocks(queries: DataFrame, run, block: int = QUERY_BLOCK, cut=cut) -> DataFrame:
+    """``run`` on each block of the queries, each result written; any number of queries meets the whole table."""
+    some = query_blocks(queries, block, cut)
+    return run(some[0]) if len(some) == 1 else reduce(DataFrame.unionByName, [cut(run(q)) for q in some])
+
+
 def tokens(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(key, token, tf)."""
     t = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("token")).where(~F.col("token").isin(*stop))

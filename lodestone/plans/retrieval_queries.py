@@ -19,6 +19,11 @@ def batch(spark, sf):
     return table(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
 
 
+def whole_batch(spark, sf):
+    """Every benchmark item whose id is divisible by 20, with its whole text."""
+    return table(spark, sf, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _tokens(name, source, key):
     return f"{name} AS (SELECT {key}, token, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]{{2,}}')) AS token FROM {source}) WHERE token NOT IN ({_STOP}) GROUP BY ALL)"
 
@@ -42,6 +47,18 @@ def bm25(spark, sf):
     return _long(retrieval.bm25(batch(spark, sf), results(spark, sf), 20))
 
 
+@query("search_sparse_whole")
+def sparse_whole(spark, sf):
+    d = results(spark, sf)
+    return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.sparse(q, d, 20)))
+
+
+@query("search_bm25_whole")
+def bm25_whole(spark, sf):
+    d = results(spark, sf)
+    return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.bm25(q, d, 20)))
+
+
 def _long(df):
     return df.withColumn("rank", F.col("rank").cast("long"))
 
@@ -75,6 +92,20 @@ def dense_filtered(spark, sf):
     return _long(retrieval.dense(q, p, 10, where=F.col("label").isin(1, 3)).withColumn("score", F.round("score", 6)))
 
 
+def whole_vectors(spark, sf):
+    return points(spark, sf).where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "v")
+
+
+@query("search_dense_whole")
+def dense_whole(spark, sf):
+    return _long(retrieval.dense_blocks(whole_vectors(spark, sf), points(spark, sf), 10, 0.1))
+
+
+@query("search_dense_filtered_whole")
+def dense_filtered_whole(spark, sf):
+    return _long(retrieval.dense_blocks(whole_vectors(spark, sf), points(spark, sf), 10, where=F.col("label").isin(1, 3)))
+
+
 _LISTS = f"""{_SPARSE}, {_BM}, v AS (SELECT query_id, doc_id, rank AS vr, score AS vs FROM sp WHERE rank <= 30), k AS (SELECT query_id, doc_id, rank AS kr, score AS ks FROM bm WHERE rank <= 30),
  m AS (SELECT query_id, doc_id, vr, kr, coalesce(vs, 0.0) AS vs, coalesce(ks, 0.0) AS ks FROM v FULL JOIN k USING (query_id, doc_id)),
  f AS (SELECT *, coalesce(0.6 / (60 + vr), 0.0) + coalesce(0.3 / (60 + kr), 0.0) AS rrf, count(*) OVER (PARTITION BY query_id) AS n FROM m)"""
@@ -91,15 +122,40 @@ def hybrid(spark, sf):
     return _long(retrieval.top_k(fused, 10).select("query_id", "doc_id", "score", "rank"))
 
 
+def whole_lists(spark, sf):
+    d, q = results(spark, sf), whole_batch(spark, sf)
+    return retrieval.in_blocks(q, lambda b: retrieval.sparse(b, d, 30)), retrieval.in_blocks(q, lambda b: retrieval.bm25(b, d, 30))
+
+
+@query("search_hybrid_wrrf_whole")
+def hybrid_whole(spark, sf):
+    fused = fusion.wrrf(*whole_lists(spark, sf), 0.6, 0.3).withColumn("score", F.round("score", 9))
+    return _long(retrieval.top_k(fused, 10).select("query_id", "doc_id", "score", "rank"))
+
+
 @query("fusion_modes_and_threshold", f"""WITH {_LISTS}, s AS (SELECT query_id, doc_id, CASE WHEN n >= 10 THEN 'wrrf' ELSE 'linear' END AS mode, round(CASE WHEN n >= 10 THEN rrf ELSE 0.6 * vs + 0.3 * ks END, 9) AS score, CASE WHEN n >= 10 THEN 0.3 * 0.9 / 61 ELSE 0.3 END AS least FROM f)
 SELECT query_id, doc_id, mode, score FROM s WHERE score > least""")
 def fusion_modes(spark, sf):
     return fusion.combined(*lists(spark, sf), 0.6, 0.3, 0.3)
 
 
+@query("fusion_modes_and_threshold_whole")
+def fusion_modes_whole(spark, sf):
+    return fusion.combined(*whole_lists(spark, sf), 0.6, 0.3, 0.3)
+
+
 @query("fusion_linear_scores", f"""WITH {_LISTS}, w AS (SELECT query_id, doc_id, 0.6 * vs + 0.3 * ks + 0.1 * (doc_id % 10) AS raw FROM m) SELECT query_id, doc_id, CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN round(raw / max(raw) OVER (PARTITION BY query_id), 9) ELSE 0.0 END AS score FROM w""")
 def fusion_linear(spark, sf):
-    m = fusion.merge(*lists(spark, sf)).select("query_id", "doc_id", F.coalesce("vs", F.lit(0.0)).alias("vs"), F.coalesce("ks", F.lit(0.0)).alias("ks"), (F.col("doc_id") % 10).alias("ms"))
+    return linear(lists(spark, sf))
+
+
+@query("fusion_linear_scores_whole")
+def fusion_linear_whole(spark, sf):
+    return linear(whole_lists(spark, sf))
+
+
+def linear(both):
+    m = fusion.merge(*both).select("query_id", "doc_id", F.coalesce("vs", F.lit(0.0)).alias("vs"), F.coalesce("ks", F.lit(0.0)).alias("ks"), (F.col("doc_id") % 10).alias("ms"))
     return fusion.linear_scores(m, 0.6, 0.3, 0.1).select("query_id", "doc_id", "score")
 
 
@@ -108,6 +164,13 @@ def fusion_min_max(spark, sf):
     return fusion.min_max(retrieval.sparse(batch(spark, sf), results(spark, sf), 50), "score", "query_id").select("query_id", "doc_id", "scaled")
 
 
+@query("fusion_min_max_whole")
+def fusion_min_max_whole(spark, sf):
+    d = results(spark, sf)
+    hits = retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.sparse(q, d, 50))
+    return fusion.min_max(hits, "score", "query_id").select("query_id", "doc_id", "scaled")
+
+
 _BOOST = """least(0.5, 0.8 * 0.05 + CASE WHEN source_type = 'git' THEN (1.4 - 1) * 0.2 ELSE 0 END + CASE WHEN source_type = 'confluence' THEN (1.2 - 1) * 0.2 ELSE 0 END + CASE WHEN has_code_blocks THEN 0.15 ELSE 0 END + CASE WHEN has_tables THEN 0.12 ELSE 0 END
  + CASE WHEN section_level <= 2 THEN 0.10 WHEN section_level = 3 THEN 0.05 ELSE 0 END + CASE WHEN word_count > 500 THEN 0.10 WHEN word_count > 100 THEN 0.05 ELSE 0 END + CASE WHEN is_converted AND file_type IN ('docx', 'xlsx', 'pdf') THEN 0.08 ELSE 0 END + CASE WHEN is_excel_sheet THEN 0.12 ELSE 0 END
  + CASE WHEN list_has_any(list_transform(entities, x -> lower(x)), ['data table', 'entity 3']) THEN 0.10 ELSE 0 END + CASE WHEN list_has_any(list_transform(topics, x -> lower(x)), ['data table', 'entity 3']) THEN 0.08 ELSE 0 END)"""
@@ -139,7 +202,8 @@ def deduplicate(spark, sf):
 
 @query("result_diversity")
 def diversity(spark, sf):
-    hits = retrieval.sparse(batch(spark, sf), results(spark, sf), 50).join(results(spark, sf).select("doc_id", "source_type", "section_type", "source"), "doc_id")
+    d = results(spark, sf)
+    hits = retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.sparse(q, d, 50)).join(d.select("doc_id", "source_type", "section_type", "source"), "doc_id")
     return fusion.diversify(hits.select("query_id", "doc_id", "score", "source_type", "section_type", "source"), 0.5, 20)
 
 
@@ -147,7 +211,16 @@ def diversity(spark, sf):
  r AS (SELECT query_id, doc_id, round(len(list_intersect(qw, dw)) / greatest(len(qw), 1), 6) AS rerank_score, score FROM w WHERE trim(text) <> ''), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, doc_id) AS rank FROM r)
 SELECT query_id, doc_id, rerank_score, CAST(rank AS BIGINT) AS rank FROM o WHERE rank <= 10""")
 def rerank(spark, sf):
-    d, q = results(spark, sf), batch(spark, sf)
+    return reranked(results(spark, sf), batch(spark, sf))
+
+
+@query("result_rerank_whole")
+def rerank_whole(spark, sf):
+    d = results(spark, sf)
+    return retrieval.in_blocks(whole_batch(spark, sf), lambda q: reranked(d, q))
+
+
+def reranked(d, q):
     hits = retrieval.sparse(q, d, 30).drop("rank").join(q.withColumnRenamed("text", "asked"), "query_id").join(d.select("doc_id", "text"), "doc_id")
     # Java's \w is ASCII by default, as is the oracle's.
     return _long(fusion.rerank(hits, F.col("asked"), F.col("text"), 10).select("query_id", "doc_id", "rerank_score", "rank"))
