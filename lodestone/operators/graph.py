@@ -11,6 +11,8 @@ from lodestone.storage import cut
 
 CITES, CONTAINS, SIBLING = 1.0, 2.0, 0.5
 DAMPING, ROUNDS = 0.85, 20
+#: The reference's most rounds. Rank ends at a change of 1e-6 in all (the reference: 1e-6 a node), hubs at the reference's 1e-8.
+MOST_ROUNDS, RANK_TOLERANCE, HUB_TOLERANCE = 100, 1e-6, 1e-8
 
 
 def citation_edges(results: DataFrame, references: DataFrame) -> DataFrame:
@@ -37,8 +39,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("cited"), F.sum("o").alias("citing"), (F.sum("i") + F.sum("o")).alias("degree"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut=cut) -> DataFrame:
-    """(node, rank) by power iteration with the weight of nodes without edges spread over all; lineage is cut by ``cut``."""
+def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut=cut, tolerance: float | None = None) -> DataFrame:
+    """(node, rank) by power iteration with the weight of nodes without edges spread over all; lineage is cut by ``cut``.
+
+    With ``tolerance`` it ends before ``rounds`` where a round moves less rank than that in all.
+    """
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
@@ -46,21 +51,36 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     for k in range(rounds):
         loose = rank.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         got = share.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        rank = nodes.select("node").join(got, "node", "left").join(F.broadcast(loose), F.lit(True)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        rank = cut(rank)
+        new = ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")
+        if tolerance is None:
+            rank = cut(nodes.select("node").join(got, "node", "left").join(F.broadcast(loose), F.lit(True)).select("node", new))
+            continue
+        step = cut(rank.withColumnRenamed("rank", "before").join(got, "node", "left").join(F.broadcast(loose), F.lit(True)).select("node", "before", new))
+        rank = step.select("node", "rank")
+        if (step.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
+            break
     return rank
 
 
-def hits(edges: DataFrame, rounds: int = 20, cut=cut) -> DataFrame:
-    """(node, hub, authority), each scaled to sum 1."""
+def hits(edges: DataFrame, rounds: int = 20, cut=cut, tolerance: float | None = None) -> DataFrame:
+    """(node, hub, authority), each scaled to sum 1.
+
+    With ``tolerance`` it ends before ``rounds`` where a round moves less hub weight than that in all.
+    """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     h = nodes.withColumn("hub", F.lit(1.0))
     scaled = lambda df, c: df.join(F.broadcast(df.agg(F.sum(c).alias("_t"))), F.lit(True)).withColumn(c, F.col(c) / F.col("_t")).drop("_t")
     a = None
     for k in range(rounds):
+        before = h
         a = scaled(edges.join(h.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("weight")).alias("authority")), "authority")
+        a = cut(a)
         h = scaled(edges.join(a.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("weight")).alias("hub")), "hub")
-        a, h = cut(a), cut(h)
+        h = cut(h)
+        if tolerance is not None:
+            moved = h.withColumnRenamed("hub", "now").join(before, "node", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("hub", F.lit(0.0)))))
+            if (moved.first()[0] or 0.0) < tolerance:
+                break
     return nodes.join(h, "node", "left").join(a, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
 
 

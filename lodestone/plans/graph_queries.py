@@ -60,9 +60,16 @@ def page_rank(spark, sf):
     return graph.page_rank(nodes, cut(citations(spark, sf)), rounds=4, cut=cut).select("node", F.round("rank", 9).alias("rank"))
 
 
+@query("citation_page_rank_whole", None)
+def page_rank_whole(spark, sf):
+    nodes = results(spark, sf).select(F.col("doc_id").alias("node"))
+    rank = graph.page_rank(nodes, cut(citations(spark, sf)), graph.MOST_ROUNDS, cut=cut, tolerance=graph.RANK_TOLERANCE)
+    return rank.select("node", F.round("rank", 9).alias("rank"))
+
+
 @query("citation_hits", None)
 def hits(spark, sf):
-    return graph.hits(cut(citations(spark, sf)), rounds=4, cut=cut).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+    return graph.hits(cut(citations(spark, sf)), graph.MOST_ROUNDS, cut=cut, tolerance=graph.HUB_TOLERANCE).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 _NID = lambda kind, v: f"'{kind}_' || substr(sha256({v}), 1, 16)"
