@@ -5,8 +5,8 @@ and looser forms of each kind. Every candidate is described by a few small
 integer features of its format and context, so the whole corpus's candidates
 condense to one table of feature patterns with their counts, of at most
 ``PATTERNS`` rows whatever the corpus's size. Boosted trees are fitted to that
-table (label: does the candidate pass its kind's format check, which no feature
-sees), calibrated on held-out documents, and turned into one Column expression.
+table (label: does the candidate's normal form pass its kind's format check,
+which no feature sees), calibrated on held-out documents, and turned into one Column expression.
 Candidates that pass the checks stay; the others are added where the calibrated
 probability reaches their kind's threshold.
 
@@ -54,8 +54,9 @@ CONTEXT = {
 }
 CONTEXT_CHARS = 32
 
+#: Nothing that a check reads is a feature: no digit counts, no lengths, no octets.
 #: Feature names and their numbers of values; their product bounds the pattern table.
-FEATURES = {"kind": 4, "digits": 6, "separators": 5, "before": 4, "after": 4, "context": 2, "loose": 2, "size": 4}
+FEATURES = {"kind": 4, "groups": 6, "separators": 5, "before": 4, "after": 4, "context": 2, "loose": 2}
 PATTERNS = math.prod(FEATURES.values())
 
 TREES, DEPTH, RATE = 40, 2, 0.3
@@ -98,6 +99,16 @@ def _passes(kind: str, value: Column) -> Column:
     return (n >= 9) & (n <= 15)
 
 
+def _normal(kind: str, value: Column) -> Column:
+    """A loose match as its kind is plainly written: no spaces, signs for words, a plus sign."""
+    bare = F.regexp_replace(value, r"\x20", "")
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(bare, r"\(at\)|\[at\]", "@"), r"\(dot\)|\[dot\]", ".")
+    if kind == "ip":
+        return F.regexp_replace(bare, r"\[\.\]", ".")
+    return F.concat(F.lit("+"), bare) if kind == "phone" else bare
+
+
 def _char_class(c: Column) -> Column:
     """0 edge or space, 1 letter, 2 digit, 3 other."""
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
@@ -105,25 +116,25 @@ def _char_class(c: Column) -> Column:
 
 def _candidate(text: Column, kind: str, loose: bool, m: Column) -> Column:
     k, value, start = KINDS.index(kind), m["value"], m["start"]
-    n, size = F.length(_digits(value)), F.length(value)
-    end = start + size
+    groups = F.size(F.regexp_extract_all(value, F.lit("[0-9]++"), F.lit(0)))
+    end = start + F.length(value)
     others = F.regexp_replace(value, r"[0-9A-Za-z@+_%]", "")
     near = F.substring(text, F.greatest(start + 1 - CONTEXT_CHARS, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
     feature = {
         "kind": F.lit(k),
-        "digits": F.when(n == 0, 0).when(n < 9, 1).when(n < 13, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
+        "groups": F.least(groups, F.lit(5)),
         "separators": F.when(others == "", 0).when(others.rlike(r"^\.+$"), 1).when(others.rlike(r"^-+$"), 2).when(others.rlike(r"^\x20+$"), 3).otherwise(4),
         "before": _char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))),
         "after": _char_class(F.substring(text, end + 1, F.lit(1))),
         "context": near.rlike(CONTEXT[kind]).cast("int"),
         "loose": F.lit(int(loose)),
-        "size": F.when(size < 12, 0).when(size < 16, 1).when(size < 24, 2).otherwise(3),
     }
     code = F.lit(0)
     for name, values in FEATURES.items():
         code = code * values + feature[name]
-    base = F.lit(False) if loose else _passes(kind, value)
-    return F.struct(F.lit(k).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), code.cast("int").alias("code"), F.coalesce(base, F.lit(False)).alias("base"))
+    ok = F.coalesce(_passes(kind, _normal(kind, value) if loose else value), F.lit(False))
+    base = F.lit(False) if loose else ok
+    return F.struct(F.lit(k).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), code.cast("int").alias("code"), base.alias("base"), ok.alias("ok"))
 
 
 def _described(text: Column, kind: str, loose: bool):
@@ -131,13 +142,13 @@ def _described(text: Column, kind: str, loose: bool):
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind,start,end,code,base>>: what all generators propose in one text."""
+    """array<struct<kind,start,end,code,base,ok>>: what all generators propose in one text."""
     parts = []
     for loose, patterns in ((False, BASE), (True, LOOSE)):
         for kind in KINDS:
             p = patterns[kind]
             some = F.transform(_matches(text, p), _described(text, kind, loose))
-            parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(p), some).otherwise(F.array().cast("array<struct<kind:int,start:bigint,end:bigint,code:int,base:boolean>>")))
+            parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(p), some).otherwise(F.array().cast("array<struct<kind:int,start:bigint,end:bigint,code:int,base:boolean,ok:boolean>>")))
     return F.concat(*parts)
 
 
@@ -221,10 +232,15 @@ class Model:
 
 
 def fit(found: DataFrame) -> Model:
-    """Fit on (doc_id, _cands). A candidate is positive where it passes its check or covers one that does."""
+    """Fit on (doc_id, _cands).
+
+    A candidate is positive where its normal form passes its kind's check and no checked span of another kind
+    overlaps it, or where it covers a checked span of its own kind.
+    """
     c = found.select(held_out().alias("_h"), F.explode("_cands").alias("_c"), "_cands")
     good = F.exists("_cands", lambda b: b["base"] & (b["kind"] == F.col("_c.kind")) & (b["start"] >= F.col("_c.start")) & (b["end"] <= F.col("_c.end")))
-    y, h = F.when(good, 1).otherwise(0), F.when(F.col("_h"), 1).otherwise(0)
+    other = F.exists("_cands", lambda b: b["base"] & (b["kind"] != F.col("_c.kind")) & (b["start"] < F.col("_c.end")) & (b["end"] > F.col("_c.start")))
+    y, h = F.when(good | (F.col("_c.ok") & ~other), 1).otherwise(0), F.when(F.col("_h"), 1).otherwise(0)
     counts = c.select(F.col("_c.code").alias("code"), y.alias("y"), h.alias("h")).groupBy("code", "y", "h").agg(F.count(F.lit(1)).alias("n"))
     table = {}
     for r in counts.collect():  # at most 4 * PATTERNS rows
