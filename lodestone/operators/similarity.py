@@ -154,14 +154,25 @@ def members(results: DataFrame, strategy: str, chosen: DataFrame) -> DataFrame:
     return results.withColumn("cluster", cluster_key(results, strategy)).join(F.broadcast(chosen.select("cluster")), "cluster")
 
 
-def coherence(results: DataFrame, strategy: str, least: int = 2, most_size: int = 50) -> DataFrame:
-    """(cluster, n, coherence): mean pair score inside each group of up to ``most_size``; 1 for a single row."""
+#: Rows of a cluster that meet in one block of pairs, on average.
+PAIR_BLOCK = 256
+
+
+def coherence(results: DataFrame, strategy: str, least: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
+    """(cluster, n, coherence): mean score of all pairs inside each group of ``least`` rows or more.
+
+    A large group's rows are dealt into blocks, and each two blocks meet under a key of their own.
+    """
     c = results.select("doc_id", cluster_key(results, strategy).alias("cluster")).where(F.col("cluster").isNotNull())
-    n = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most_size))
-    c = c.join(n, "cluster")
-    a, b = c.select("cluster", F.col("doc_id").alias("a")), c.select("cluster", F.col("doc_id").alias("b"))
-    s = scored(a.join(b, "cluster").where("a < b"), results)
-    mean = s.groupBy("cluster").agg(F.round(F.avg("score"), 6).alias("coherence"))
+    n = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    c = c.join(n.withColumn("blocks", F.ceil(F.col("n") / block)), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = c.select("cluster", "doc_id", "own", other).select("cluster", "doc_id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    key = ["cluster", "low", "high"]
+    a, b = dealt.select(*key, F.col("own").alias("oa"), F.col("doc_id").alias("a")), dealt.select(*key, F.col("own").alias("ob"), F.col("doc_id").alias("b"))
+    # Two rows of one block meet under that block alone; rows of different blocks under their two blocks' key.
+    pairs = a.join(b, key).where("a < b AND (oa <> ob OR low = high)").select("cluster", "a", "b")
+    mean = scored(pairs, results).groupBy("cluster").agg(F.round(F.avg("score"), 6).alias("coherence"))
     return n.join(mean, "cluster", "left").select("cluster", "n", F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
 
 
