@@ -105,4 +105,4 @@ def ingest(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 == 0, "md").otherwise("txt").alias("content_type"), "text")
     p = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.lit("html").alias("content_type"), F.col("html").alias("text"))
     e = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("json").alias("content_type"), F.col("props").alias("text"))
-    return chunking.chunk(d.unionByName(p).unionByName(e), "id", "text")
+    return chunking.chunk(d.unionByName(p).unionByName(e), "id", "text", most=None)

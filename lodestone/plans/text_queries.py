@@ -194,7 +194,7 @@ def cost_classes(spark, sf):
 
 @query("chunk_documents_text")
 def chunk_documents(spark, sf):
-    return chunking.chunk(results(spark, sf).select("document_id", F.lit("text").alias("content_type"), "text"), "document_id", "text")
+    return chunking.chunk(results(spark, sf).select("document_id", F.lit("text").alias("content_type"), "text"), "document_id", "text", most=None)
 
 
 @query("chunk_json_props", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events""")
