@@ -39,7 +39,7 @@ from lodestone.llm.common import held_out, labelled_sample, short_batches, text_
 SAMPLE_ROWS, SAMPLE_BYTES, MIN_CLASS = 4000, 40_000, 5
 #: A tag word occurs in this many distinct toxic documents at least, mostly in toxic ones, and against the odds.
 TAG_DOCS, TAG_SHARE, TAG_PRECISION, TAG_ODDS = 3, 0.015, 0.8, 2.5
-#: Sentences that the chain is fitted on, and their longest length in tokens.
+#: Pieces of sentences that the chain is fitted on, half with a tag word, and their longest length in tokens.
 SENTENCES, LONGEST = 6000, 64
 #: A token whose marginal reaches this is an offending one.
 SPAN_AT = 0.5
@@ -170,16 +170,20 @@ def tag_words(sample: list[tuple[bytes, int]]) -> list[bytes]:
 
 
 def fit_chain(sample: list[tuple[bytes, int]], tags: list[bytes], steps: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood on tagged sentences, by Adam on exact gradients."""
+    """Maximum likelihood on tagged sentences, by Adam on exact gradients.
+
+    A long sentence counts in consecutive pieces; of too many pieces those with the smallest hash are taken.
+    """
     chain, codes = Chain(tags), Codes(tags)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    plain: list[tuple[np.ndarray, np.ndarray]] = []
+    tagged: list[tuple[int, np.ndarray, np.ndarray]] = []
+    plain: list[tuple[int, np.ndarray, np.ndarray]] = []
     for raw, y in sample:
         for sentence in re.split(rb"(?<=[.!?\n])\s+", raw):
-            c = codes.of(sentence.split())[:LONGEST]
-            if len(c):
-                (rows if c.any() else plain).append((c, (c > 0) & bool(y)))
-    rows = rows[: SENTENCES // 2] + plain[: SENTENCES // 2]
+            whole = codes.of(sentence.split())
+            for at in range(0, len(whole), LONGEST):
+                c = whole[at : at + LONGEST]
+                (tagged if c.any() else plain).append((zlib.crc32(b"%d" % at, zlib.crc32(sentence)), c, (c > 0) & bool(y)))
+    rows = [(c, yy) for part in (tagged, plain) for _, c, yy in sorted(part, key=lambda p: p[0])[: SENTENCES // 2]]
     if not rows or not tags:
         return chain
     n, width = len(rows), max(len(c) for c, _ in rows)
