@@ -115,8 +115,8 @@ def is_common(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return ranks[(s >> np.uint64(64 - bits)).astype(np.int64)] >= 128
 
 
-def sketch(docs: DataFrame, bits: int) -> np.ndarray:
-    """Rarity class of each cell: 0 for the background, then doublings; over 127 for common shingles.
+def sketch(docs: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray:
+    """Rarity class of each cell of shingles of ``width`` words: 0 for the background, then doublings; over 127 for common shingles.
 
     Tasks send their whole sketch in blocks, summed block by block on executors; the driver gets one
     byte a cell.
@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, cache, total = np.zeros(size, np.int64), WordHashes(), 0
         for batch in batches:
-            found = [shingles(words_of(raw), cache) for raw in batch.column(0).to_pylist()]
+            found = [shingles(words_of(raw), cache, width) for raw in batch.column(0).to_pylist()]
             if found:
                 at = np.concatenate(found) >> np.uint64(64 - bits)
                 total += len(at)
@@ -286,7 +286,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     short_batches(spark)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("b"))
     bits = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(8 * max(1, rows.count())))))
-    ranks = spark.sparkContext.broadcast(sketch(rows.select("b"), bits))
+    ranks = spark.sparkContext.broadcast(sketch(rows.select("b"), bits, width))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, r = WordHashes(), ranks.value
@@ -374,10 +374,10 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: that with the smallest id, once
     (of repeated ids the row with the smallest text). Rows without an id stay."""
-    parts = link_components(docs, key, text)
+    parts = link_components(docs, key, text, width, percent)
     stay = cut(parts.where(F.col(key) == F.col("component_id")).select(key), "stay")
     kept = docs.where(F.col(key).isNotNull()).join(stay, key, "left_semi")
     once = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first()))
