@@ -1,20 +1,23 @@
 """N-gram Jaccard join: exact links between texts, by prefixes under several global token orders.
 
 Two sets with Jaccard similarity t or more share an element among the first
-n - ceil(t * n) + 1 of each under *any* global order. Orders here put rare
-shingles first, by class of a corpus-wide count sketch, and differ in how they
-break ties within a class. The way of a text:
+n - ceil(t * n) + 1 of each under *any* global order, and l elements where both
+prefixes are longer by l - 1. Orders here put rare shingles first, by class of a
+corpus-wide count sketch, and then all but one residue of a hash, another one
+for each order; so every shingle of a prefix serves two orders of three, and one
+posting carries the orders in which it counts. The way of a text:
 
 1. Texts with equal word sequences form one class; from here on classes are linked.
 2. A pass over all texts fills a fixed-size count sketch of shingles.
-3. Each class posts its prefix under the first order, longer by some elements, of
-   which a linked pair must share as many more. Shingles that the sketch bounds
-   below ``COMMON`` meet in groups of bounded size; pairs that meet often enough
-   are candidates. A common shingle never gathers its texts: it becomes a node
-   that they are tied to.
-4. Connected candidates form clusters, which are cut into blocks of bounded
-   size. In a block of two parts the prefixes under all orders are intersected
-   pair by pair, and the pairs left are verified on the whole sets.
+3. Each class posts its prefixes. Where a shingle's postings meet, each pair is
+   told with the orders they share; sums over all shingles intersect the orders'
+   filters, and only pairs that met often enough under every order are candidates.
+   A common shingle never makes pairs: it becomes a node that its classes are tied
+   to. Pairs that such a node ties already are not told again, so the edges grow
+   with the postings, not with the square of a group.
+4. Candidates and ties form clusters, which are cut into parts of bounded bytes.
+   Where two parts meet, each pair passes the prefixes of all orders once more
+   and is then verified on the whole sets.
 5. A block sends its links' spanning forest and each class's number of links;
    components of those forests are the result.
 
@@ -29,6 +32,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,12 +48,21 @@ from lodestone.llm.components import connected_components
 WIDTH, PERCENT = 4, 85
 #: Global token orders that are intersected.
 ORDERS = 3
-#: A shingle counted this often above the sketch's background is common.
-COMMON = 48
-#: Sketch cells: 8 a document, within these powers of 2 (the largest: 32 MB).
+#: A shingle counted this often above the sketch's background is common, and so is one with more postings than GROUP.
+COMMON, GROUP = 48, 64
+#: Sketch cells: 8 a document, within these powers of 2 (the largest: 16 MB to the driver and to each worker). Where the
+#: corpus outgrows the largest, orders tell fewer common shingles apart; groups stay bounded by GROUP all the same.
 LEAST_BITS, MOST_BITS = 14, 24
-#: Classes of one part of a block; a cluster of over PARTS parts gets larger ones.
-PART, PARTS, LARGEST_PART = 160, 96, 4096
+#: Classes of a part (more in large clusters, by the square root) and bytes of its sets.
+PART, PART_BYTES = 256, 16_000_000
+#: Postings of a bucket that meets in one task, on average, and postings a task holds before it sends them.
+BUCKET, HELD = 400_000, 1_000_000
+#: Common shingles by which a class tells others that both are tied.
+HINTS = 3
+#: A posting: shingle, class, set size, common shingles of its prefix, and the orders whose prefix holds it.
+POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("common", "u1"), ("mask", "u1")])
+#: What a class with common shingles in its plain prefix says of itself.
+HINT = np.dtype([("cls", "<i8"), ("hints", "<u8", (HINTS,))])
 #: Bytes of the filter that tells which classes need their sets again.
 FILTER_BITS = 23
 
@@ -118,99 +131,160 @@ def is_common(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray:
     """Rarity class of each cell of shingles of ``width`` words: 0 for the background, then doublings; over 127 for common shingles.
 
-    Tasks send their whole sketch in blocks, summed block by block on executors; the driver gets one
-    byte a cell.
+    A task counts each word sequence once and sends its counts in compressed blocks, which take no more
+    than its own shingles do; blocks are summed on executors, in two rounds, so that no task adds up
+    those of all others. The driver gets one byte a cell, the count's logarithm in steps of an eighth.
     """
     size, block = 1 << bits, 1 << min(bits, 17)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cache, total = np.zeros(size, np.int64), WordHashes(), 0
+        cells, cache, seen, total = np.zeros(size, np.int64), WordHashes(), set(), 0
         for batch in batches:
-            found = [shingles(words_of(raw), cache, width) for raw in batch.column(0).to_pylist()]
+            found = []
+            for raw in batch.column(0).to_pylist():
+                words = words_of(raw)
+                c = class_of(words)
+                if words and c not in seen:
+                    if len(seen) >= CACHE_SIZE:
+                        seen.clear()
+                    seen.add(c)
+                    found.append(shingles(words, cache, width))
             if found:
                 at = np.concatenate(found) >> np.uint64(64 - bits)
                 total += len(at)
                 cells += np.bincount(at.astype(np.int64), minlength=size)
         if total:
-            parts = np.minimum(cells, 0xFFFF).astype("<u2").reshape(-1, block)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "cells": pa.array([p.tobytes() for p in parts], pa.binary())})
+            parts = np.minimum(cells, 0xFFFF).astype("<u4").reshape(-1, block)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "cells": pa.array([packed(p) for p in parts], pa.binary())})
 
-    def add(kind: str):
-        def of(pdf):
-            import pandas as pd
+    def add(pdf):
+        import pandas as pd
 
-            total = sum((np.frombuffer(c, kind).astype(np.int64) for c in pdf["cells"]), np.zeros(block, np.int64))
-            return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "cells": [np.minimum(total, 1 << 31).astype("<u4").tobytes()]})
+        total = np.zeros(block, np.int64)
+        for c in pdf["cells"]:
+            total += unpacked(c, block)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "cells": [packed(np.minimum(total, 1 << 31).astype("<u4"))]})
 
-        return of
+    def shrink(pdf):
+        import pandas as pd
 
-    # Two rounds, so that no task adds up the sketches of all others.
-    # Few long tasks: what is sent is a sketch per task, so it must not grow with the number of input splits.
-    few = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    each = few.mapInArrow(count, "block int, cells binary").withColumn("_r", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = each.groupBy("block", "_r").applyInPandas(add("<u2"), "block int, cells binary")
-    rows = some.groupBy("block").applyInPandas(add("<u4"), "block int, cells binary").collect()
-    cells = np.zeros(size, np.int64)
+        total = unpacked(add(pdf)["cells"].iloc[0], block)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "total": [int(total.sum())], "logs": [np.round(8 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
+
+    each = docs.mapInArrow(count, "block int, cells binary").withColumn("_r", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = each.groupBy("block", "_r").applyInPandas(add, "block int, cells binary")
+    rows = some.groupBy("block").applyInPandas(shrink, "block int, total long, logs binary").collect()
+    logs = np.zeros(size, np.uint8)
     for r in rows:
-        cells[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.cells), "<u4")
-    background = 1.3 * cells.sum() / size + 3
-    above = np.maximum(cells - background, 0)
+        logs[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.logs), np.uint8)
+    background = 1.3 * sum(r.total for r in rows) / size + 3
+    counts = np.round(np.exp2(np.arange(256) / 8) - 1)
+    above = np.maximum(counts - background, 0)
     ranks = np.where(above > 0, np.floor(np.log2(above + 1)), 0)
-    return np.where(cells >= COMMON + background, 128 + ranks, ranks).astype(np.uint8)
+    return np.where(counts >= COMMON + background, 128 + ranks, ranks).astype(np.uint8)[logs]
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), "<u4")
 
 
 def ordered(s: np.ndarray, ranks: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of shingles under a global order: rarity class first, then a hash of the order's own."""
+    """Sort keys of shingles under a global order: rarity class first, then all but the order's own residue, then a hash."""
     bits = int(ranks.size).bit_length() - 1
-    rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    return (rank << np.uint64(56)) | (mixed(s, order) >> np.uint64(8))
+    rank, h = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64), mixed(s)
+    late = (h % np.uint64(ORDERS) == np.uint64(order)).astype(np.uint64)
+    return (rank << np.uint64(56)) | (late << np.uint64(55)) | (h >> np.uint64(9))
 
 
 def prefix(s: np.ndarray, ranks: np.ndarray, order: int, percent: int = PERCENT, more: int = 0) -> np.ndarray:
     """The distinct shingles ``s`` that come first under an order: a prefix, and ``more`` elements."""
     p = prefix_length(len(s), percent) + more
-    key = ordered(s, ranks, order)
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    return s[np.argpartition(ordered(s, ranks, order), p - 1)[:p]] if p < len(s) else s
+
+
+def postings(s: np.ndarray, cls: int, ranks: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(postings, ties) of a class with shingles ``s``: its prefixes' rare shingles, and the plain prefix's common ones, rarest first."""
+    n, hot = len(s), is_common(s, ranks)
+    p, more = prefix_length(n, percent), int(least_shared(n)) - 1
+    mask = np.zeros(n, np.uint8)
+    for k in range(ORDERS):
+        key = ordered(s, ranks, k)
+        if k == 0:
+            first = key
+        mask[np.argpartition(key, p + more - 1)[: p + more] if p + more < n else slice(None)] |= np.uint8(1 << k)
+    rare = np.flatnonzero(~hot & (mask > 0))
+    out = np.zeros(len(rare), POST)
+    # Rare shingles come first under each order, so all orders' prefixes hold equally many common ones.
+    few = int((~hot).sum())
+    out["token"], out["cls"], out["n"], out["mask"], out["common"] = s[rare], cls, n, mask[rare], min(255, max(0, min(n, p + more) - few))
+    if few >= p:
+        return out, s[:0]
+    by = np.argsort(first)[:p]
+    return out, s[by[hot[by]]]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def pairs_in_groups(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, need, times) from rows (token, class, n * 256 + common) sorted by token: all that meet at a
-    token and whose sizes allow a link. A link needs ``need`` meetings at least: common shingles of the prefixes
-    meet elsewhere and may stand in for as many.
+#: Bits for each order's count in a pair's sum of meetings.
+COUNT_BITS = 20
+
+
+def pairs_in_groups(posts: np.ndarray, hints: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, ties) from all postings of some shingles.
 
-    Groups are small: the sketch bounds the rows of every token that comes here.
+    Pairs (a, b, need, times): classes that meet at a shingle and whose sizes allow a link; ``times`` counts, in
+    COUNT_BITS for each order, the shingles that both prefixes under that order hold. A link needs ``need`` of them under
+    each order: common shingles of the prefixes, which meet elsewhere, may stand in for as many. Where both classes have
+    common shingles in their plain prefixes, these may stand in for all of an order's but the first one's, whose plain
+    prefixes share a common shingle, or else a rare one. A pair that a common hint ties already is left out.
+
+    Ties (class, shingle): postings of shingles with more than GROUP of them, which make no pairs.
     """
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-    def pairs(t: np.ndarray, c: np.ndarray, nc: np.ndarray) -> pa.RecordBatch:
-        n, common = nc >> 8, nc & 255
-        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        sizes = np.diff(np.append(starts, len(t)))
-        out = [np.zeros((0, 3), np.int64)]
-        for d in range(1, int(sizes.max())):
-            i = np.flatnonzero(t[d:] == t[:-d])
-            lo, hi = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
-            i = i[(100 * lo >= percent * hi) & (c[i] != c[i + d])]
-            need = np.maximum(1, least_shared(np.minimum(n[i], n[i + d])) - np.minimum(common[i], common[i + d]))
-            out.append(np.stack([np.minimum(c[i], c[i + d]), np.maximum(c[i], c[i + d]), need], 1))
-        rows, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
-        return pa.RecordBatch.from_pydict({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "need": pa.array(rows[:, 2]), "times": pa.array(times.astype(np.int64))})
-
-    for batch in batches:
-        cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-        t = cols[0]
-        if not len(t):
-            continue
-        whole = int(np.argmax(t == t[-1]))  # rows before the last token's
-        done, held = [c[:whole] for c in cols], [c[whole:] for c in cols]
-        if whole:
-            yield pairs(*done)
-    if len(held[0]):
-        yield pairs(*held)
+    posts = posts[np.lexsort((posts["cls"], posts["token"]))]
+    same = (posts["token"][1:] == posts["token"][:-1]) & (posts["cls"][1:] == posts["cls"][:-1])
+    posts = posts[np.append(True, ~same)] if len(posts) else posts
+    t = posts["token"]
+    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(t)))
+    of = np.repeat(sizes, sizes)
+    ties = np.stack([posts["cls"][of > GROUP], signed(t[of > GROUP])], 1)
+    posts = posts[(of > 1) & (of <= GROUP)]
+    t, c, n, common, mask = (posts[k] for k in ("token", "cls", "n", "common", "mask"))
+    hints = hints[np.unique(hints["cls"], return_index=True)[1]]
+    at = np.clip(np.searchsorted(hints["cls"], c), 0, max(0, len(hints) - 1))
+    tied = (hints["cls"][at] == c) if len(hints) else np.zeros(len(c), bool)
+    mine = np.where(tied[:, None], hints["hints"][at], 0) if len(hints) else np.zeros((len(c), HINTS), np.uint64)
+    out = [np.zeros((0, 4), np.int64)]
+    for d in range(1, GROUP):
+        i = np.flatnonzero(t[d:] == t[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = (100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)) & (mask[i] & mask[j] > 0)
+        both = np.flatnonzero(ok & tied[i] & tied[j])
+        for x in range(HINTS):
+            for y in range(HINTS):
+                ok[both] &= ~((mine[i[both], x] == mine[j[both], y]) & (mine[i[both], x] > 0))
+        i, j = i[ok], j[ok]
+        stand = np.minimum(common[i], common[j]).astype(np.int64)
+        need = least_shared(np.minimum(n[i], n[j])) - stand
+        need = np.where(tied[i] & tied[j], np.maximum(need, 0), np.maximum(need, 1))
+        shared = (mask[i] & mask[j]).astype(np.int64)
+        times = sum(((shared >> k) & 1) << (COUNT_BITS * k) for k in range(ORDERS))
+        out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), need, times], 1))
+    rows = np.concatenate(out)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, np.int64)
+    pairs = rows[first]
+    if len(rows):
+        pairs[:, 3] = np.add.reduceat(rows[:, 3], first)
+    return pairs, ties
 
 
 def block_links(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, orders: int = ORDERS) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -276,6 +350,93 @@ def forest(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def described(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
+    """All that a pass over the texts gives, written to the shared folder; ``kind`` tells the rows apart:
+    0 members (a id, b class or null, x set size), 1 ties (a class, b shingle), 2 parts of pairs (a, b, x need, y times)."""
+    facts = rows.agg(F.sum(F.length("b")).alias("bytes")).first()
+    # About one posting for 16 bytes of text; a bucket for each shuffle partition at least.
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts.bytes or 0) // (16 * BUCKET)))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, r, sent = WordHashes(), ranks.value, set()
+        posts: list[np.ndarray] = []
+        hints, members, ties, held = [], [], [], 0
+
+        def send() -> pa.RecordBatch:
+            nonlocal posts, hints, members, ties, held
+            all_ = np.concatenate(posts) if posts else np.zeros(0, POST)
+            bucket = (mixed(all_["token"], 1) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            all_, bucket = all_[by], bucket[by]
+            known = np.array(hints, HINT) if hints else np.zeros(0, HINT)
+            known = known[np.argsort(known["cls"], kind="stable")]
+            out: list[tuple] = []
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(all_) else np.zeros(0, np.int64)
+            for lo, hi in itertools.pairwise([*cuts.tolist(), len(all_)]):
+                part = all_[lo:hi]
+                out.append((int(bucket[lo]), part.tobytes(), known[np.isin(known["cls"], part["cls"])].tobytes() if len(known) else b"", None, None))
+            if members:
+                m = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*members, strict=True)], ["a", "b", "x"])
+                at = int(np.int64(members[0][0])) % buckets
+                out.append((at, b"", b"", _ipc(m), np.array(ties, np.int64).reshape(-1, 2).tobytes()))
+            posts, hints, members, ties, held = [], [], [], [], 0
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "posts", "hints", "members", "ties"])
+
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(raw)
+                if not words:
+                    members.append((i, None, 0))
+                    continue
+                c, s = class_of(words), np.unique(shingles(words, cache, width))
+                members.append((i, c, len(s)))
+                if c not in sent:
+                    if len(sent) >= CACHE_SIZE:
+                        sent.clear()
+                    sent.add(c)
+                    p, t = postings(s, c, r, percent)
+                    posts.append(p)
+                    held += len(p) + 1
+                    if len(t):
+                        hints.append((c, tuple(np.append(t[:HINTS], np.zeros(max(0, HINTS - len(t)), np.uint64)).tolist())))
+                        ties += [(c, x) for x in signed(t).tolist()]
+                if held >= HELD:
+                    yield send()
+        if members or posts:
+            yield send()
+
+    def meet(pdf):
+        import pandas as pd
+
+        posts = np.frombuffer(b"".join(pdf["posts"]), POST)
+        pairs, more = pairs_in_groups(posts, np.frombuffer(b"".join(pdf["hints"]), HINT), percent)
+        own = pdf[pdf["members"].notna()]
+        ties = np.concatenate([more, np.frombuffer(b"".join(own["ties"]), np.int64).reshape(-1, 2)])
+        out = [_rows(2, pairs), _rows(1, ties)]
+        for m in own["members"]:
+            t = pa.ipc.open_stream(m).read_all().to_pandas(types_mapper=lambda _: pd.Int64Dtype())
+            out.append(t.assign(kind=0, y=0)[["kind", "a", "b", "x", "y"]])
+        return pd.concat(out)
+
+    sent = rows.mapInArrow(describe, "bucket int, posts binary, hints binary, members binary, ties binary")
+    return cut(sent.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, x long, y long"), "described")
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(kind: int, x: np.ndarray):
+    import pandas as pd
+
+    cols = {"kind": np.full(len(x), kind), **{c: (x[:, k] if k < x.shape[1] else np.zeros(len(x), np.int64)) for k, c in enumerate(("a", "b", "x", "y"))}}
+    return pd.DataFrame(cols).astype({c: "Int64" for c in ("a", "b", "x", "y")})
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, n_links) for every id.
 
@@ -287,39 +448,24 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("b"))
     bits = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(8 * max(1, rows.count())))))
     ranks = spark.sparkContext.broadcast(sketch(rows.select("b"), bits, width))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, r = WordHashes(), ranks.value
-        for batch in batches:
-            cls, ns, common, posts, ties = [], [], [], [], []
-            for raw in batch.column(1).to_pylist():
-                words = words_of(raw)
-                s = np.unique(shingles(words, cache, width))
-                first = prefix(s, r, 0, percent, int(least_shared(len(s))) - 1) if len(s) else s
-                hot = is_common(first, r)
-                cls.append(class_of(words) if words else None)
-                ns.append(len(s))
-                common.append(min(255, int(hot.sum())))
-                posts.append(signed(first[~hot]))
-                base = prefix(s, r, 0, percent) if hot.any() else first[:0]
-                ties.append(signed(base[is_common(base, r)]))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(common, pa.int64()), pa.array(posts, longs), pa.array(ties, longs)], ["id", "cls", "n", "common", "posts", "ties"])
-
-    described = cut(rows.mapInArrow(describe, "id long, cls long, n long, common long, posts array<long>, ties array<long>"), "described")
-    members = described.select("id", "cls", "n")
+    seen = described(rows, ranks, width, percent)
+    members = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("cls"), F.col("x").alias("n"))
     full = members.where(F.col("cls").isNotNull())
-    posted = described.select(F.explode("posts").alias("token"), "cls", (F.col("n") * 256 + F.col("common")).alias("nc"))
-    posted = posted.repartition("token").sortWithinPartitions("token", "cls")
-    met = posted.mapInArrow(lambda b: pairs_in_groups(b, percent), "a long, b long, need long, times long")
-    met = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times")).where("times >= need")
-    # A common token's node must not meet a class's: classes are even, tokens odd.
+    met = seen.where("kind = 2").groupBy("a", "b").agg(F.max("x").alias("need"), F.sum("y").alias("times"))
+    share = lambda k: F.shiftright("times", COUNT_BITS * k).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+    enough = share(0) >= F.greatest("need", F.lit(1))
+    for k in range(1, ORDERS):
+        enough &= share(k) >= F.col("need")
+    # A common shingle's node must not meet a class's: classes are even, shingles odd.
     even = lambda c, name: F.col(c).bitwiseAND(F.lit(-2)).alias(name)
-    ties = described.where(F.size("ties") > 0).select(even("cls", "a"), F.explode("ties").alias("t")).select("a", F.col("t").bitwiseOR(F.lit(1)).alias("b"))
-    clusters = connected_components(met.select(even("a", "a"), even("b", "b")).union(ties))
+    ties = seen.where("kind = 1").select(even("a", "a"), F.col("b").bitwiseOR(F.lit(1)).alias("b"))
+    clusters = connected_components(met.where(enough).select(even("a", "a"), even("b", "b")).union(ties))
     clusters = clusters.where(F.col("node").bitwiseAND(F.lit(1)) == 0).withColumnRenamed("node", "even")
-    large = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    clusters = cut(clusters.join(large, "label"), "clusters")
+    sizes = full.groupBy("cls").agg(F.max("n").alias("n")).select(even("cls", "even"), "n").groupBy("even").agg(F.sum("n").alias("n"))
+    clusters = clusters.join(sizes, "even")
+    large = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("m > 1")
+    k = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(float(PART)), 4 * F.sqrt("m"))), F.ceil(8 * F.col("all") / PART_BYTES))
+    clusters = cut(clusters.join(large.select("label", k.cast("int").alias("k")), "label").drop("n"), "clusters")
 
     # Which classes need their sets: a filter of fixed size, whose false hits the join removes.
     needed = spark.sparkContext.broadcast(class_filter(clusters))
@@ -343,8 +489,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets = rows.select("b").mapInArrow(sets_of, "cls long, s binary").withColumn("even", F.col("cls").bitwiseAND(F.lit(-2)))
     # Dealt once by what the next join needs; a task sends a class once, so copies hardly show here.
     one = sets.repartition("even").groupBy("even", "cls").agg(F.first("s").alias("s"))
-    parts = F.when(F.col("m") <= PART * PARTS, F.ceil(F.col("m") / PART)).otherwise(F.greatest(F.lit(PARTS), F.ceil(F.col("m") / LARGEST_PART))).cast("int")
-    dealt = one.join(clusters, "even").withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    dealt = one.join(clusters, "even").withColumn("p", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     blocks = dealt.select("label", "cls", "s", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     blocks = blocks.select("label", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), "cls", "p", "s")
 
@@ -369,8 +514,10 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = classes.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "label").join(degrees, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    by_row = members.join(by_class, "cls", "left")
-    out = by_row.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    # Texts without words have no class to meet at.
+    alone = members.where(F.col("cls").isNull()).select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    by_row = full.join(by_class, "cls").select("id", "n", "component_id", "n_links").unionByName(alone)
+    out = by_row.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").cast("long").alias("n_links"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", "n_links")
 
 
@@ -379,10 +526,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     (of repeated ids the row with the smallest text). Rows without an id stay."""
     parts = link_components(docs, key, text, width, percent)
     stay = cut(parts.where(F.col(key) == F.col("component_id")).select(key), "stay")
-    kept = docs.where(F.col(key).isNotNull()).join(stay, key, "left_semi")
+    repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select(key), "repeated")
+    kept = docs.where(F.col(key).isNotNull()).join(stay, key, "left_semi").select(*docs.columns)
+    # Ids repeat in few rows, if at all; only these are put in order.
     once = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first()))
-    kept = kept.withColumn("_once", once).where("_once = 1").drop("_once")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    again = kept.join(repeated, key, "left_semi").select(*docs.columns, once.alias("_once")).where("_once = 1").select(*docs.columns)
+    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(again).unionByName(docs.where(F.col(key).isNull()))
 
 
 def filter_cell(x: np.ndarray) -> np.ndarray:
