@@ -8,9 +8,13 @@ posted there; the nearest by footrule are reranked by exact inner product.
 Largest inner products reduce to smallest angles by one more coordinate that
 brings all vectors to the length of the longest.
 
-Queries and index meet block by block, so memory is that of two blocks. Equal
-vectors of a block are one entry with its smallest ids, so a vector that a third
-of all rows share costs as much as any other and hides none.
+The index is dealt by document, as inverted files usually are: the files of a block
+hold BLOCK vectors, every query visits every block, and only vectors that the files
+bring within the footrule cut are ever multiplied with a query. Queries travel,
+not the index, which is copied once for QUERY_BLOCK queries. Equal vectors of a
+block are one entry with its smallest ids, so a vector that a third of all rows
+share costs as much as any other and hides none; all entries at the cut and all
+equal scores are kept until ids decide.
 
 Defined results: vectors that are null, empty, zero, of another length than most,
 or hold null or non-finite components take no part, as rows without id; of rows
@@ -20,7 +24,6 @@ candidates than ``k`` are all returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,24 +32,25 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, short_batches
 
 #: Pivots (a bounded sample of the vectors), and how many of them represent a vector.
-PIVOTS, REPRESENTED_BY = 128, 32
-#: Vectors in a block of the index, queries that meet it at once.
-BLOCK, QUERY_BLOCK = 4096, 2048
+PIVOTS, REPRESENTED_BY = 256, 48
+#: Vectors in a block of the index, queries that meet it in one task.
+BLOCK, QUERY_BLOCK = 8192, 16384
 #: Queries that walk a block's files at once.
-TOGETHER = 512
+TOGETHER = 256
 #: Part of a block's vectors that are reranked, and the least number.
-RERANKED, LEAST_RERANKED = 0.25, 200
+RERANKED, LEAST_RERANKED = 0.125, 1024
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double>, norm2) of the rows that take part."""
+    """(id, v, norm2) of the rows that take part; ``v`` stays in single precision where it is stored so."""
     v = F.col("v")
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     ok = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    all_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(ok)
+    all_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v")).where(ok)
     size = all_.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if size:
         all_ = all_.where(F.size("v") == size[0].d)
-    return all_.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return all_.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def pivots_of(rows: DataFrame, n: int, longest2: float) -> np.ndarray:
@@ -111,21 +115,21 @@ class Block:
         return distance
 
     def search(self, q: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, reranked: int) -> list[tuple[int, int, float]]:
-        """(query, vector, inner product): each query's ``k`` best of the ``reranked`` entries nearest by footrule."""
+        """(query, vector, inner product): each query's ``k`` best of the ``reranked`` entries nearest by footrule, and
+        of those that lie as near as the last of them."""
         n, out = len(self.x), []
         if not n:
             return out
-        s = q @ self.x.T
-        if reranked < n:
-            d = self.footrule(queries)
-            s[d > np.partition(d, reranked - 1, axis=1)[:, reranked - 1 : reranked]] = -np.inf
-        few = min(n, 2 * k + 1)
-        top = np.argpartition(-s, few - 1, axis=1)[:, :few]
+        d = self.footrule(queries) if reranked < n else np.zeros((len(q), n), np.int32)
+        cut = np.partition(d, reranked - 1, axis=1)[:, reranked - 1] if reranked < n else np.zeros(len(q), np.int32)
         for r, me in enumerate(own.tolist()):
-            c = top[r][s[r, top[r]] > -np.inf]
+            c = np.flatnonzero(d[r] <= cut[r])
             exact = (self.x[c] * q[r]).sum(1)  # summed alike wherever the row lies, so equal vectors score equal
+            if len(c) > k + 1:  # the query itself may be one of them
+                best = np.flatnonzero(exact >= np.partition(exact, len(c) - k - 1)[len(c) - k - 1])
+                c, exact = c[best], exact[best]
             found: list[tuple[float, int]] = []
-            for j in np.lexsort((c, -exact)).tolist():
+            for j in np.argsort(-exact, kind="stable").tolist():
                 if len(found) >= k and -exact[j] > found[-1][0]:
                     break
                 found += [(-float(exact[j]), i) for i in self.members[c[j]].tolist() if i != me]
@@ -169,5 +173,3 @@ def search(
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
-
-

@@ -46,6 +46,22 @@ def test_lengths_vary_and_one_vector_is_common(spark):
     assert recall(got, exact(rows)) >= 0.9
 
 
+def test_equal_scores_go_to_the_smaller_ids(spark):
+    rnd = np.random.default_rng(8)
+    # 300 distinct vectors whose inner product with the query is the same, among nearer and farther ones.
+    tied = [(int(i), [0.5, float(c), float(np.sqrt(0.75 - c * c))]) for i, c in zip(range(701, 1001), np.round(rnd.uniform(-0.8, 0.8, 300), 6), strict=True)]
+    rows = [(0, [1.0, 0.0, 0.0]), *rnd.permutation(np.array(tied, object)).tolist(), (5001, [0.9, 0.1, 0.0]), (5002, [0.1, 0.9, 0.0])]
+    got = [r.vec_id for r in neighbours.search(spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>")).orderBy("rank").collect() if r.query_id == 0]
+    assert got == [5001, *range(701, 720)]
+
+
+def test_ties_across_the_footrule_cut_and_blocks(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(np.repeat(rnd.normal(size=(300, 6)), 9, axis=0))]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=700).collect()
+    assert recall(got, exact(rows)) >= 0.9
+
+
 def test_odd_rows(spark):
     bad = [(0, None), (1, [0.0, 0.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (None, [1.0, 1.0]), (6, [1.0, 2.0, 3.0])]
     good = [(20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [1.0, 0.0]), (23, [0.0, 2.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5])]
