@@ -2,21 +2,27 @@
 
 A total token budget runs down a domain-language-source tree. At each node it
 is dealt to the children by weight; a child that cannot use its share (all its
-tokens in every allowed epoch) returns the rest to its siblings, and only what a
-whole subtree cannot use goes to the subtree's own siblings. With the children
-sorted by capacity over weight this has a closed form in two running sums, so
-there is no loop. Each leaf then takes the prefix of its documents, in a seeded
-order that differs by epoch, whose tokens reach its budget.
+tokens in every allowed epoch, without what lies below a weight of 0) returns the
+rest to its siblings, and only what a whole subtree cannot use goes to the
+subtree's own siblings. With the children sorted by capacity over weight this has
+a closed form in two running sums, so there is no loop. Each leaf then takes the
+prefix of its documents, in a seeded order that differs by epoch, whose tokens
+reach its budget.
 
 A leaf's order is never gathered: bucket sums find the bucket where the budget
 ends, only that bucket is ordered, and its last key becomes a filter on a plain
-scan. A third of all rows in one source is therefore no different from others.
+scan. No text is shuffled: what moves is sums by bucket, and the leaves' table is
+sent to the scans while it has at most BROADCAST_LEAVES rows (beyond, it is joined
+by a shuffle, whose hot leaves adaptive execution splits). A third of all rows in
+one source is therefore no different from others.
 
 Defined results: null domain, language or source is the leaf value ``?``; a null
 or empty text has no tokens and is taken where the prefix before it is short of
 the budget; rows with equal ids share a place in the order; a budget or weight
-of 0 selects nothing there; an empty table gives an empty result; columns
-besides the named ones are carried along.
+of 0 selects nothing there, and what it would have got goes to its siblings; an
+empty table gives an empty result; columns besides the named ones are carried
+along, whatever their names; the column added is ``epoch``, with as many
+underscores behind it as it takes to differ from all others.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ LEAF = ("_domain", "_lang", "_source")
 SEED, MAX_EPOCHS = 20, 2
 #: Hex digits of the order key that make a bucket: 4,096 buckets a leaf and epoch.
 BUCKET_DIGITS = 3
+#: Leaves (domain, language, source: some 100 bytes each) that are broadcast at most.
+BROADCAST_LEAVES = 50_000
 
 #: Production weights: three domains of sources, four languages; any other value weighs 1.
 DOMAIN_OF_SOURCE = {"web": [f"src{k}" for k in range(0, 8)], "forum": [f"src{k}" for k in range(8, 14)], "books": [f"src{k}" for k in range(14, 20)]}
@@ -83,19 +91,25 @@ def deal(children: DataFrame, parent: list[str], budget: str, weight: str, cap:
 
 def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int, domain_weights: Mapping, lang_weights: Mapping, source_weights: Mapping) -> DataFrame:
     """(leaf, _tokens, _budget): whole tokens for each leaf, of ``fraction`` of all tokens."""
-    leaf = leaves.withColumn("_cap", F.col("_tokens") * max_epochs)
-    lang = leaf.groupBy("_domain", "_lang").agg(F.sum("_cap").alias("_cap"))
-    domain = leaf.groupBy("_domain").agg(F.sum("_cap").alias("_cap"), F.sum("_tokens").alias("_tokens"))
+    weighed = lambda df, name, weights: df.withColumn("_w", weight_of(F.col(name), weights)).withColumn("_cap", F.when(F.col("_w") > 0, F.col("_cap")).otherwise(F.lit(0)))
+    leaf = weighed(leaves.withColumn("_cap", F.col("_tokens") * max_epochs), "_source", source_weights)
+    sums = [F.sum("_cap").alias("_cap"), F.sum("_tokens").alias("_tokens")]
+    lang = weighed(leaf.groupBy("_domain", "_lang").agg(*sums), "_lang", lang_weights)
+    domain = weighed(lang.groupBy("_domain").agg(*sums), "_domain", domain_weights)
     root = domain.agg(F.floor(F.sum("_tokens") * F.lit(float(fraction))).cast("double").alias("_budget"))
-    domain = domain.drop("_tokens").crossJoin(F.broadcast(root)).withColumn("_w", weight_of(F.col("_domain"), domain_weights)).withColumn("_all", F.lit(1))
+    domain = domain.crossJoin(F.broadcast(root)).withColumn("_all", F.lit(1))
     domain = deal(domain, ["_all"], "_budget", "_w", "_cap", "_domain").select("_domain", F.col("_share").alias("_budget"))
-    lang = lang.join(domain, "_domain").withColumn("_w", weight_of(F.col("_lang"), lang_weights))
-    lang = deal(lang, ["_domain"], "_budget", "_w", "_cap", "_lang").select("_domain", "_lang", F.col("_share").alias("_budget"))
-    leaf = leaf.join(lang, ["_domain", "_lang"]).withColumn("_w", weight_of(F.col("_source"), source_weights))
-    leaf = deal(leaf, ["_domain", "_lang"], "_budget", "_w", "_cap", "_source")
+    lang = deal(lang.join(domain, "_domain"), ["_domain"], "_budget", "_w", "_cap", "_lang").select("_domain", "_lang", F.col("_share").alias("_budget"))
+    leaf = deal(leaf.join(lang, ["_domain", "_lang"]), ["_domain", "_lang"], "_budget", "_w", "_cap", "_source")
     return leaf.select(*LEAF, "_tokens", F.floor(F.col("_share") + 1e-6).cast("long").alias("_budget"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def mix(
     docs: DataFrame, fraction: float, max_epochs: int = MAX_EPOCHS, seed: int = SEED, key: str = "doc_id", text: str = "text", domain: Column | None = None, lang: str = "lang", source: str = "source",
     domain_weights: Mapping = DOMAIN_WEIGHTS, lang_weights: Mapping = LANG_WEIGHTS, source_weights: Mapping = SOURCE_WEIGHTS,
@@ -105,15 +119,14 @@ def mix(
     ``fraction`` of the corpus's tokens is the budget; ``docs`` is read three times, so pass a stable table.
     """
     some = lambda c: F.coalesce(c, F.lit("?"))
-    tagged = docs.select(
-        "*",
-        some(domain if domain is not None else domain_of(F.col(source))).alias("_domain"),
-        some(F.col(lang)).alias("_lang"),
-        some(F.col(source)).alias("_source"),
-    )
-    order = lambda epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("?"))))
-    # One bucket sum for each epoch that can be the partial one.
-    narrow = tagged.select(*LEAF, word_count(text).alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("_epoch"), F.col(key))
+    # Inside, columns go by place, so that no name of the input meets one of ours.
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    id_, words = own[docs.columns.index(key)], word_count(own[docs.columns.index(text)])
+    leaf = [some(domain if domain is not None else domain_of(F.col(source))), some(F.col(lang)), some(F.col(source))]
+    tagged = docs.select("*", *leaf).toDF(*own, *LEAF)
+    order = lambda epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_).cast("string"), F.lit("?"))))
+    # One bucket sum for each epoch that can be the partial one; a text's words are counted once.
+    narrow = tagged.select(*LEAF, words.alias("_t"), F.col(id_)).select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("_epoch"))
     buckets = cut(
         narrow.withColumn("_bucket", F.substring(order(F.col("_epoch")), 1, BUCKET_DIGITS)).groupBy(*LEAF, "_epoch", "_bucket").agg(F.sum("_t").alias("_t")),
         "buckets",
@@ -122,25 +135,27 @@ def mix(
     plan = leaf_budgets(leaves, fraction, max_epochs, domain_weights, lang_weights, source_weights)
     plan = plan.withColumn("_whole", F.when(F.col("_tokens") > 0, F.floor(F.col("_budget") / F.col("_tokens"))).otherwise(F.lit(0)).cast("int"))
     plan = cut(plan.withColumn("_rest", F.col("_budget") - F.col("_whole") * F.col("_tokens")), "leaf-budgets")
-    # The bucket in which the partial epoch's prefix ends.
+    small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    sent = lambda df: F.broadcast(df) if small else df
+    # The bucket in which the partial epoch's prefix ends; at most 16 ** BUCKET_DIGITS rows a leaf.
     ahead = Window.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        buckets.join(plan, [*LEAF])
+        buckets.join(sent(plan), [*LEAF])
         .where((F.col("_epoch") == F.col("_whole")) & (F.col("_rest") > 0))
         .withColumn("_ahead", F.coalesce(F.sum("_t").over(ahead), F.lit(0)))
         .where(F.col("_ahead") < F.col("_rest"))
         .groupBy(*LEAF)
-        .agg(F.max(F.struct("_bucket", (F.col("_rest") - F.col("_ahead")).alias("_left"))).alias("_end"))
-        .select(*LEAF, F.col("_end._bucket").alias("_last_bucket"), F.col("_end._left").alias("_left"))
+        .agg(F.max(F.struct("_bucket", (F.col("_rest") - F.col("_ahead")).alias("_left"), "_whole")).alias("_end"))
+        .select(*LEAF, F.col("_end._bucket").alias("_last_bucket"), F.col("_end._left").alias("_left"), F.col("_end._whole").alias("_whole"))
     )
-    ends = plan.join(last, [*LEAF], "left")
+    last = cut(last, "leaf-ends")
     inside = (
-        tagged.select(*LEAF, F.col(key), F.col(text))
-        .join(ends, [*LEAF])
+        tagged.join(sent(last), [*LEAF])
         .withColumn("_key", order(F.col("_whole")))
         .where(F.substring("_key", 1, BUCKET_DIGITS) == F.col("_last_bucket"))
+        .select(*LEAF, "_left", "_key", words.alias("_t"))
         .groupBy(*LEAF, "_left", "_key")
-        .agg(F.sum(word_count(text)).alias("_t"))
+        .agg(F.sum("_t").alias("_t"))
     )
     within = Window.partitionBy(*LEAF).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
@@ -154,5 +169,6 @@ def mix(
         F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>")),
         F.when(F.col("_key") <= F.col("_last_key"), F.col("_whole")),
     )
-    out = tagged.join(decided, [*LEAF]).withColumn("_key", order(F.col("_whole")))
-    return out.select(*docs.columns, F.explode(F.filter(taken, lambda e: e.isNotNull())).alias("epoch"))
+    out = tagged.join(sent(decided), [*LEAF]).withColumn("_key", order(F.col("_whole")))
+    out = out.select(*own, F.explode(F.filter(taken, lambda e: e.isNotNull())).alias("_taken"))
+    return out.toDF(*docs.columns, free_name("epoch", docs.columns))

@@ -27,19 +27,21 @@ def fill(budget, children):
     return share
 
 
-def brute(rows, fraction, epochs=mixing.MAX_EPOCHS):
+def brute(rows, fraction, epochs=mixing.MAX_EPOCHS, weights=(mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, mixing.SOURCE_WEIGHTS)):
     domains = {s: d for d, members in mixing.DOMAIN_OF_SOURCE.items() for s in members}
     docs = [(i, domains.get(s, "other"), la or "?", s or "?", len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))) for i, t, la, s in rows]
     tokens = {}
     for _, *leaf, n in docs:
         tokens[tuple(leaf)] = tokens.get(tuple(leaf), 0) + n
-    cap = lambda *p: epochs * sum(n for k, n in tokens.items() if k[: len(p)] == p)
+    weight = lambda level, name: weights[level].get(name, 1.0)
+    usable = {k: epochs * n * all(weight(j, x) > 0 for j, x in enumerate(k)) for k, n in tokens.items()}
+    cap = lambda *p: sum(n for k, n in usable.items() if k[: len(p)] == p)
     out = []
-    shares = fill(int(sum(tokens.values()) * fraction), {d: (mixing.DOMAIN_WEIGHTS.get(d, 1.0), cap(d)) for d, _, _ in tokens})
+    shares = fill(int(sum(tokens.values()) * fraction), {d: (weight(0, d), cap(d)) for d, _, _ in tokens})
     for d, b in shares.items():
-        langs = fill(b, {la: (mixing.LANG_WEIGHTS.get(la, 1.0), cap(d, la)) for dd, la, _ in tokens if dd == d})
+        langs = fill(b, {la: (weight(1, la), cap(d, la)) for dd, la, _ in tokens if dd == d})
         for la, b2 in langs.items():
-            leaves = fill(b2, {s: (mixing.SOURCE_WEIGHTS.get(s, 1.0), cap(d, la, s)) for dd, ll, s in tokens if (dd, ll) == (d, la)})
+            leaves = fill(b2, {s: (weight(2, s), cap(d, la, s)) for dd, ll, s in tokens if (dd, ll) == (d, la)})
             for s, b3 in leaves.items():
                 budget, n = int(b3 + 1e-6), tokens[(d, la, s)]
                 whole = budget // n if n else 0
@@ -68,3 +70,32 @@ def test_matches_brute_force(spark, sf, odd_documents, fraction):
 
 def test_empty(spark, odd_documents):
     assert mixing.mix(odd_documents.limit(0), 0.5).count() == 0
+
+
+ZERO = ({"web": 0.0, "forum": 2.0}, {"en": 0.0, "fr": 2.0}, {"src9": 0.0, "src15": 0.0, "src2": 3.0})
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.6, 1.5])
+def test_weights_of_zero_return_their_budget(spark, sf, fraction):
+    docs = documents(spark, sf)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    got = mixing.mix(docs, fraction, domain_weights=ZERO[0], lang_weights=ZERO[1], source_weights=ZERO[2])
+    assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == brute(rows, fraction, weights=ZERO)
+
+
+def test_a_barred_source_leaves_its_budget_to_a_sibling_language(spark):
+    rows = [(k, "w " * 10, "en", "b") for k in range(100)] + [(100 + k, "w " * 10, "en", "a") for k in range(5)] + [(200 + k, "w " * 10, "fr", "a") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(df, 1000 / 2050, max_epochs=1, domain_weights={}, lang_weights={}, source_weights={"b": 0})
+    assert 990 <= 10 * mixed.count() <= 1010 and mixed.where("source = 'b'").count() == 0
+
+
+def test_names_do_not_clash(spark, monkeypatch):
+    rows = [(k, "w " * (k % 7), "en", f"src{k % 3}", k, "x", k, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, Epoch int, _lang string, c0 int, _key string")
+    for most in (mixing.BROADCAST_LEAVES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_LEAVES", most)
+        got = mixing.mix(df, 0.7)
+        assert got.columns == [*df.columns, "epoch_"]
+        assert sorted(((r.doc_id, r.epoch_) for r in got.collect()), key=str) == brute([r[:4] for r in rows], 0.7)
+        assert all(r.Epoch == r.doc_id == r.c0 and r._lang == "x" and r._key is None for r in got.collect())
