@@ -12,9 +12,10 @@ probability reaches their kind's threshold.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
 each; an empty table gives an empty result; other columns are carried along by
-``redact`` and ignored by ``find``. Offsets are code points, ends exclusive.
-Patterns use possessive forms and look-behinds so that no text, however long,
-costs more than linear time or deep recursion.
+``redact``, whatever their names, and ignored by ``find``. Offsets are code points, ends exclusive.
+Patterns use possessive forms and look-behinds, places and overlaps come from
+sweeps over sorted candidates, and a redacted text is put together from pieces,
+so that no text, however long or full of candidates, costs the square of either.
 """
 
 from __future__ import annotations
@@ -60,20 +61,75 @@ FEATURES = {"kind": 4, "groups": 6, "separators": 5, "before": 4, "after": 4, "c
 PATTERNS = math.prod(FEATURES.values())
 
 TREES, DEPTH, RATE = 40, 2, 0.3
+#: Items that a sweep takes together, and characters of a piece of text.
+SWEPT, PIECE = 128, 4096
+
 #: A kind's threshold is the least calibrated probability whose held-out precision reaches this.
 PRECISION, LEAST_THRESHOLD = 0.9, 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sweep(xs: Column, zero: Column, step, state: str, item: str, last=None) -> Column:
+    """array<item>: what ``step(state, x)`` -> struct<state, item> gives from left to right, and ``last(state)`` at the end.
+
+    ``aggregate`` copies what it has gathered at every step. So the array is cut into short ones: one pass finds
+    the state at the start of each, and each gathers its own items.
+    """
+
+    def gather(x: Column) -> Column:
+        begun = F.struct(zero.alias("now"), F.array().cast(f"array<{state}>").alias("at"))
+        states = F.aggregate(
+            x["cuts"],
+            begun,
+            lambda a, some: F.struct(F.aggregate(some, a["now"], lambda s, v: step(s, v)["state"]).alias("now"), F.array_append(a["at"], a["now"]).alias("at")),
+        )
+        return _let(F.struct(x["cuts"].alias("cuts"), states.alias("s")), gathered)
+
+    def gathered(x: Column) -> Column:
+        empty = F.array().cast(f"array<{item}>")
+
+        def items(some: Column, s0: Column) -> Column:
+            def add(a: Column, v: Column) -> Column:
+                r = step(a["state"], v)
+                return F.struct(r["state"].alias("state"), F.array_append(a["items"], r["item"]).alias("items"))
+
+            return F.aggregate(some, F.struct(s0.alias("state"), empty.alias("items")), add, lambda a: a["items"])
+
+        out = F.flatten(F.zip_with(x["cuts"], x["s"]["at"], items))
+        return F.array_append(out, last(x["s"]["now"])) if last else out
+
+    cuts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["xs"]) - 1) / SWEPT).cast("int")), lambda i: F.slice(x["xs"], i * SWEPT + 1, SWEPT))
+    nothing = F.array(last(zero)) if last else F.array().cast(f"array<{item}>")
+    whole = _let(F.struct(xs.alias("xs")), lambda x: F.when(F.size(x["xs"]) > 0, _let(F.struct(cuts(x).alias("cuts")), gather)))
+    return F.coalesce(whole, nothing)
+
+
+MATCH = "struct<start:int,value:string,near:string,next:string>"
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,value>> of a pattern's matches. ``split`` gives what lies between them, hence their places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    starts = F.aggregate(
-        F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("pos")),
-        lambda a, x: F.struct(F.array_append(a["at"], a["pos"] + x["g"]).alias("at"), (a["pos"] + x["g"] + x["m"]).alias("pos")),
-        lambda a: a["at"],
-    )
-    return F.zip_with(starts, found, lambda s, v: F.struct(s.alias("start"), v.alias("value")))
+    """array<struct<start,value,near,next>> of a pattern's matches: place, match, some of what is before, what is behind.
+
+    ``split`` gives what lies between the matches, hence their places and neighbourhood without a look into the text.
+    """
+
+    def placed(x: Column) -> Column:
+        n = F.size(x["found"])
+        some = lambda c, at: F.when(n > 0, F.slice(c, at, n))
+        gap, behind = some(x["gaps"], 1), some(x["gaps"], 2)
+        before, after = F.concat(F.array(F.lit("")), some(x["found"], 1)), some(x["found"], 2)
+        rows = F.arrays_zip(x["found"].alias("m"), gap.alias("g"), behind.alias("h"), before.alias("b"), after.alias("a"))
+        rows = F.slice(rows, 1, n)
+        near = lambda r: F.right(F.concat(r["b"], F.coalesce(r["g"], F.lit(""))), F.lit(CONTEXT_CHARS))
+        behind_it = lambda r: F.substring(F.concat(F.coalesce(r["h"], F.lit("")), F.coalesce(r["a"], F.lit(""))), 1, 1)
+        step = lambda pos, r: F.struct((pos + F.length(r["g"]) + F.length(r["m"])).alias("state"), F.struct((pos + F.length(r["g"])).alias("start"), r["m"].alias("value"), near(r).alias("near"), behind_it(r).alias("next")).alias("item"))
+        return sweep(rows, F.lit(0), step, "int", MATCH)
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -114,19 +170,20 @@ def _char_class(c: Column) -> Column:
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
-def _candidate(text: Column, kind: str, loose: bool, m: Column) -> Column:
-    k, value, start = KINDS.index(kind), m["value"], m["start"]
+CANDIDATE = "struct<start:bigint,base:boolean,kind:int,end:bigint,code:int,ok:boolean>"
+
+
+def _candidate(kind: str, loose: bool, m: Column) -> Column:
+    k, value, start = KINDS.index(kind), m["value"], m["start"].cast("long")
     groups = F.size(F.regexp_extract_all(value, F.lit("[0-9]++"), F.lit(0)))
-    end = start + F.length(value)
     others = F.regexp_replace(value, r"[0-9A-Za-z@+_%]", "")
-    near = F.substring(text, F.greatest(start + 1 - CONTEXT_CHARS, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
     feature = {
         "kind": F.lit(k),
         "groups": F.least(groups, F.lit(5)),
         "separators": F.when(others == "", 0).when(others.rlike(r"^\.+$"), 1).when(others.rlike(r"^-+$"), 2).when(others.rlike(r"^\x20+$"), 3).otherwise(4),
-        "before": _char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))),
-        "after": _char_class(F.substring(text, end + 1, F.lit(1))),
-        "context": near.rlike(CONTEXT[kind]).cast("int"),
+        "before": _char_class(F.right(m["near"], F.lit(1))),
+        "after": _char_class(m["next"]),
+        "context": m["near"].rlike(CONTEXT[kind]).cast("int"),
         "loose": F.lit(int(loose)),
     }
     code = F.lit(0)
@@ -134,22 +191,64 @@ def _candidate(text: Column, kind: str, loose: bool, m: Column) -> Column:
         code = code * values + feature[name]
     ok = F.coalesce(_passes(kind, _normal(kind, value) if loose else value), F.lit(False))
     base = F.lit(False) if loose else ok
-    return F.struct(F.lit(k).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), code.cast("int").alias("code"), base.alias("base"), ok.alias("ok"))
+    return F.struct(start.alias("start"), base.alias("base"), F.lit(k).alias("kind"), (start + F.length(value)).alias("end"), code.cast("int").alias("code"), ok.alias("ok"))
+
 
+def _described(kind: str, loose: bool):
+    return lambda m: _candidate(kind, loose, m)
 
-def _described(text: Column, kind: str, loose: bool):
-    return lambda m: _candidate(text, kind, loose, m)
+
+#: Beyond any place in a text.
+FAR = 1 << 40
+LABELLED = "struct<start:bigint,base:boolean,kind:int,end:bigint,code:int,ok:boolean,other:boolean,clash:boolean>"
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind,start,end,code,base,ok>>: what all generators propose in one text."""
+    """array<struct<start,base,kind,end,code,ok,y,clash>>: what all generators propose in one text.
+
+    ``y`` is true where a candidate's normal form passes its kind's check and no checked span of another kind overlaps
+    it, or where it covers a checked span of its own kind; ``clash`` where it overlaps another, checked span.
+    """
     parts = []
     for loose, patterns in ((False, BASE), (True, LOOSE)):
         for kind in KINDS:
             p = patterns[kind]
-            some = F.transform(_matches(text, p), _described(text, kind, loose))
-            parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(p), some).otherwise(F.array().cast("array<struct<kind:int,start:bigint,end:bigint,code:int,base:boolean,ok:boolean>>")))
-    return F.concat(*parts)
+            some = F.transform(_matches(text, p), _described(kind, loose))
+            parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(p), some).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
+
+    kinds = range(len(KINDS))
+    mine = lambda c, k: c["kind"] == k
+
+    def forward(ends: Column, c: Column) -> Column:
+        """``ends``: the last end of the checked spans so far, by kind."""
+        hit = [ends[k] > c["start"] for k in kinds]
+        other = _any([hit[k] & ~mine(c, k) for k in kinds])
+        new = F.array(*[F.when(c["base"] & mine(c, k), F.greatest(ends[k], c["end"])).otherwise(ends[k]) for k in kinds])
+        fields = [c[f].alias(f) for f in ("start", "base", "kind", "end", "code", "ok")]
+        return F.struct(new.alias("state"), F.struct(*fields, other.alias("other"), _any(hit).alias("clash")).alias("item"))
+
+    def backward(next_: Column, c: Column) -> Column:
+        """``next_``: start and end of the next checked span, by kind."""
+        hit = [next_[2 * k] < c["end"] for k in kinds]
+        other = c["other"] | _any([hit[k] & ~mine(c, k) for k in kinds])
+        covers = c["base"] | _any([mine(c, k) & (next_[2 * k + 1] <= c["end"]) for k in kinds])
+        new = F.array(*[F.when(c["base"] & mine(c, k), c[f]).otherwise(next_[2 * k + j]) for k in kinds for j, f in enumerate(("start", "end"))])
+        fields = [c[f].alias(f) for f in ("start", "base", "kind", "end", "code", "ok")]
+        return F.struct(new.alias("state"), F.struct(*fields, (covers | (c["ok"] & ~other)).alias("y"), (c["clash"] | _any(hit)).alias("clash")).alias("item"))
+
+    def labelled(some: Column) -> Column:
+        there = sweep(some, F.array(*[F.lit(0).cast("long") for _ in kinds]), forward, "array<bigint>", LABELLED)
+        return sweep(F.reverse(there), F.array(*[F.lit(FAR).cast("long") for _ in (*kinds, *kinds)]), backward, "array<bigint>", LABELLED.replace("other", "y"))
+
+    # Loose candidates sort before checked ones with the same start, so what they cover lies behind them.
+    return _let(F.array_sort(F.concat(*parts)), lambda some: F.when(F.size(some) > 0, labelled(some)).otherwise(F.array().cast(f"array<{LABELLED.replace('other', 'y')}>")))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def features_of(code: np.ndarray) -> np.ndarray:
@@ -232,15 +331,9 @@ class Model:
 
 
 def fit(found: DataFrame) -> Model:
-    """Fit on (doc_id, _cands).
-
-    A candidate is positive where its normal form passes its kind's check and no checked span of another kind
-    overlaps it, or where it covers a checked span of its own kind.
-    """
-    c = found.select(held_out().alias("_h"), F.explode("_cands").alias("_c"), "_cands")
-    good = F.exists("_cands", lambda b: b["base"] & (b["kind"] == F.col("_c.kind")) & (b["start"] >= F.col("_c.start")) & (b["end"] <= F.col("_c.end")))
-    other = F.exists("_cands", lambda b: b["base"] & (b["kind"] != F.col("_c.kind")) & (b["start"] < F.col("_c.end")) & (b["end"] > F.col("_c.start")))
-    y, h = F.when(good | (F.col("_c.ok") & ~other), 1).otherwise(0), F.when(F.col("_h"), 1).otherwise(0)
+    """Fit on (doc_id, _cands), from the counts of feature patterns by label."""
+    c = found.select(held_out().alias("_h"), F.explode(F.transform("_cands", lambda c: F.struct(c["code"].alias("code"), c["y"].alias("y")))).alias("_c"))
+    y, h = F.when(F.col("_c.y"), 1).otherwise(0), F.when(F.col("_h"), 1).otherwise(0)
     counts = c.select(F.col("_c.code").alias("code"), y.alias("y"), h.alias("h")).groupBy("code", "y", "h").agg(F.count(F.lit(1)).alias("n"))
     table = {}
     for r in counts.collect():  # at most 4 * PATTERNS rows
@@ -278,14 +371,23 @@ def calibrate(z: np.ndarray, pos: np.ndarray, neg: np.ndarray, steps: int = 50)
     return max(a, 1e-3), b
 
 
+SPAN = "struct<start:bigint,kind:int,end:bigint,p:double>"
+
+
 def select(cands: Column, model: Model) -> Column:
-    """The spans that stay: checked ones, and others above their threshold that overlap none of these nor a likelier one."""
-    scored = F.transform(cands, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), F.when(c["base"], F.lit(2.0)).otherwise(model.column(c["code"])).alias("p")))
-    likely = F.filter(scored, lambda c: c["base"] | (c["p"] >= model.threshold(c["kind"])))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    first = lambda b, c: (b["p"] > c["p"]) | ((b["p"] == c["p"]) & (F.struct(b["start"], b["kind"], b["end"]) < F.struct(c["start"], c["kind"], c["end"])))
-    kept = F.filter(likely, lambda c: c["base"] | ~F.exists(likely, lambda b: overlap(b, c) & first(b, c)))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))))
+    """The spans that stay: checked ones, and others that overlap none of these and reach their threshold. Where such
+    others overlap each other, from left to right the likelier one stays, the first of equals."""
+    base = F.transform(F.filter(cands, lambda c: c["base"]), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(True).alias("base")))
+    loose = F.transform(F.filter(cands, lambda c: ~c["base"] & ~c["clash"]), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), model.column(c["code"]).alias("p")))
+    likely = F.array_sort(F.filter(loose, lambda c: c["p"] >= model.threshold(c["kind"])))
+
+    def settle(last: Column, c: Column) -> Column:
+        apart = last.isNull() | (last["end"] <= c["start"])
+        return F.struct(F.when(apart | (c["p"] > last["p"]), c).otherwise(last).alias("state"), F.when(apart, last).alias("item"))
+
+    kept = F.filter(sweep(likely, F.lit(None).cast(SPAN), settle, SPAN, SPAN, lambda last: last), lambda c: c.isNotNull())
+    kept = F.when(F.size(likely) > 0, F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(False).alias("base"))))
+    return F.array_sort(F.concat(base, F.coalesce(kept, F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean>>"))))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,16 +410,33 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; a null text stays null. Reads ``docs`` twice."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = cut(docs.select(F.col(key).alias("doc_id"), candidates(whole).alias("_cands")), "pii")
+    # Inside, columns go by place, so that no name of the input meets one of ours.
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    rows = docs.toDF(*own)
+    whole = F.coalesce(F.col(own[at]), F.lit(""))
+    found = cut(rows.select(F.col(own[docs.columns.index(key)]).alias("doc_id"), candidates(whole).alias("_cands")), "pii")
     model = fit(found)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    spans = F.array_sort(F.transform(select(F.col("_cands"), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["pos"], F.concat(a["out"], F.substring(whole, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int")), F.get(marks, s["kind"]))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["pos"], s["end"]).alias("pos"),
-    )
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")), step, lambda a: F.concat(a["out"], F.substring(whole, (a["pos"] + 1).cast("int"), F.length(whole))))
-    hit = docs.withColumn("_cands", candidates(whole)).withColumn("_spans", spans)
-    clean = F.when(F.size("_spans") == 0, F.col(text)).otherwise(done)
-    return hit.withColumn(text, clean).select(*docs.columns)
+    ordered = F.array_sort(F.transform(select(F.col("_cands"), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def put_together(x: Column) -> Column:
+        """Pieces between the spans, each cut from the few pieces of text that hold it."""
+
+        def part(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            head = F.substring(F.get(x["pieces"], i), (a % PIECE + 1).cast("int"), F.least(b - a, F.lit(PIECE)).cast("int"))
+            tail = F.concat(F.array_join(F.slice(x["pieces"], i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(x["pieces"], j), F.lit(1), (b - j * PIECE).cast("int")))
+            return F.when(a >= b, F.lit("")).when(i == j, head).otherwise(F.concat(head, tail))
+
+        def step(pos: Column, s: Column) -> Column:
+            out = F.when(s["start"] >= pos, F.concat(part(pos, s["start"]), F.get(marks, s["kind"]))).otherwise(F.lit(""))
+            return F.struct(F.greatest(pos, s["end"]).alias("state"), out.alias("item"))
+
+        return F.array_join(sweep(x["spans"], F.lit(0).cast("long"), step, "bigint", "string", lambda pos: part(pos, x["length"])), "")
+
+    pieces = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    done = _let(F.struct(F.col("_spans").alias("spans"), pieces.alias("pieces"), F.length(whole).cast("long").alias("length")), put_together)
+    hit = rows.withColumn("_cands", candidates(whole)).withColumn("_spans", ordered)
+    clean = F.when(F.size("_spans") == 0, F.col(own[at])).otherwise(done)
+    return hit.withColumn(own[at], clean).select(*own).toDF(*docs.columns)
