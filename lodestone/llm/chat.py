@@ -6,11 +6,15 @@ in every rendering and have none of their own. The result has one row per turn
 of a rendering: its text, its place in the whole rendering, and the part that
 counts for the loss. So a conversation of any length is spread over many tasks;
 places come from prefix sums on three levels (4,096 turns, 64 turns, one turn)
-and no window ever spans a whole conversation's turns.
+and no window or join ever gathers a whole conversation's turns: all sums run over
+narrow rows (a turn's hash and length), the participants are sent to the turns
+while there are at most BROADCAST_PEOPLE of them (beyond, they are joined by a
+shuffle, whose hot conversations adaptive execution splits), and texts are joined
+at the end by conversation, turn, speaker and hash.
 
 Defined results: a null role speaks as ``unknown``, a null text as empty; a null
 turn comes first; turns with equal number are ordered by hash, then role, then
-text; equal rows are rendered once each, in a row; a conversation of system
+text (texts of a turn and speaker are told apart by their md5); equal rows are rendered once each, in a row; a conversation of system
 turns alone has no rendering; rows without a conversation id form one
 conversation; other columns are ignored.
 """
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 SYSTEM_ROLES = ("system",)
 LEVELS = (4096, 64)
+#: (conversation, participant) rows, some 60 bytes each, that are broadcast at most.
+BROADCAST_PEOPLE = 100_000
+#: Stands for a null turn, which sorts first; the least number there is.
+NO_TURN = -(1 << 63)
 
 
 def _before(df: DataFrame, within: list[str], by: list[str], base: DataFrame | None, on: list[str]) -> DataFrame:
@@ -42,23 +50,21 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     ``loss_end`` span the assistant's text and closing mark, null elsewhere.
     """
     rows = turns.select(
-        F.coalesce(F.col(conv), F.lit(-1)).alias("_conv"),
-        F.coalesce(F.col(turn), F.lit(-1)).cast("long").alias("_turn"),
+        F.when(F.col(conv).isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), F.col(conv).cast("string"))).alias("_conv"),
+        F.coalesce(F.col(turn).cast("long"), F.lit(NO_TURN)).alias("_turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
-    )
-    same = rows.groupBy("_conv", "_turn", "speaker", "_text").agg(F.count(F.lit(1)).alias("_copies"))
+    ).withColumn("_hash", F.md5(F.concat_ws("\u001f", "speaker", "_text")))
+    one = ["_conv", "_turn", "speaker", "_hash"]
+    texts = rows.groupBy(*one).agg(F.max("_text").alias("_text"))
+    same = rows.select(*one, F.length("_text").alias("_length")).groupBy(*one).agg(F.count(F.lit(1)).alias("_copies"), F.max("_length").alias("_length"))
     people = rows.where(~F.col("speaker").isin(*system)).select("_conv", F.col("speaker").alias("perspective")).distinct()
+    if people.limit(BROADCAST_PEOPLE + 1).count() <= BROADCAST_PEOPLE:
+        people = F.broadcast(people)
     spoken_as = F.when(F.col("speaker").isin(*system), F.lit("system")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(F.col("rendered_as") == "user", F.concat(F.lit(" "), F.col("speaker"))).otherwise(F.lit(""))
-    each = (
-        same.join(people, "_conv")
-        .withColumn("rendered_as", spoken_as)
-        .withColumn("_head", F.concat(F.lit(OPEN), F.col("rendered_as"), name, F.lit(MIDDLE)))
-        .withColumn("_len", F.length("_head") + F.length("_text") + F.lit(len(CLOSE)))
-        .withColumn("_hash", F.md5(F.concat_ws("\u001f", "speaker", "_text")))
-        .withColumn("_part", F.substring("_hash", 1, 2))
-    )
+    head = F.concat(F.lit(OPEN), F.col("rendered_as"), name, F.lit(MIDDLE))
+    each = same.join(people, "_conv").withColumn("rendered_as", spoken_as).withColumn("_len", F.length(head) + F.col("_length") + F.lit(len(CLOSE))).withColumn("_part", F.substring("_hash", 1, 2))
     for k, size in enumerate(LEVELS):
         each = each.withColumn(f"_l{k}", F.floor(F.col("_turn") / size))
     who = ["_conv", "perspective"]
@@ -69,20 +75,22 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     middle = _before(middle, [*who, "_l0"], ["_l1"], coarse, [*who, "_l0"])
     fine = _before(fine, [*who, "_l0", "_l1"], ["_turn", "_part"], middle, [*who, "_l0", "_l1"])
     group = [*who, "_turn", "_part"]
-    w = Window.partitionBy(*group).orderBy("_hash", "speaker", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*group).orderBy("_hash", "speaker").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         each.withColumn("_n2", F.coalesce(F.sum("_copies").over(w), F.lit(0)))
         .withColumn("_c2", F.coalesce(F.sum(F.col("_copies") * F.col("_len")).over(w), F.lit(0)))
         .join(fine.select(*group, "_n0", "_c0"), group)
+        .join(texts, one)
+        .withColumn("_head", head)
     )
     copy = F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))
     loss: Column = F.col("rendered_as") == "assistant"
     out = placed.select("*", copy.alias("_k")).withColumn("start", (F.col("_c0") + F.col("_c2") + F.col("_k") * F.col("_len")).cast("long"))
     return out.select(
-        F.when(F.col("_conv") != -1, F.col("_conv")).alias(conv),
+        F.when(F.col("_conv") != "?", F.expr("substring(_conv, 2)").cast(turns.schema[conv].dataType)).alias(conv),
         "perspective",
         (F.col("_n0") + F.col("_n2") + F.col("_k") + 1).cast("long").alias("position"),
-        F.when(F.col("_turn") != -1, F.col("_turn")).alias("turn"),
+        F.when(F.col("_turn") != NO_TURN, F.col("_turn")).alias("turn"),
         "speaker",
         "rendered_as",
         F.concat("_head", "_text", F.lit(CLOSE)).alias("segment"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lodestone-"))
     return f"file://{_OWN_DIR[0]}"
@@ -78,12 +81,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         ids = ids.where(~held_out("doc_id"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     short = docs.select("doc_id", text_bytes().alias("_b")).where(F.length("_b") <= max_bytes)
-    # The sample's ids are bounded by ``rows``, 16 bytes each.
-    found = short.join(F.broadcast(ids), "doc_id").select("doc_id", "_y", "_b").collect()
-    first: dict = {}
-    for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["_b"]))):
-        first.setdefault(r["doc_id"], (bytes(r["_b"]), int(r["_y"])))
-    return list(first.values())
+    # The sample's ids are bounded by ``rows``, 16 bytes each; of repeated ids one text comes to the driver.
+    found = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("_b").alias("_b")).collect()
+    return [(bytes(r["_b"]), int(r["_y"])) for r in sorted(found, key=lambda r: r["doc_id"])]
 
 
 def held_out(key: str = "doc_id"):

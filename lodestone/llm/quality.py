@@ -1,6 +1,6 @@
 """Quality rules: plain text statistics, and a hashed n-gram logistic regression.
 
-The classifier sees hashed word unigrams and bigrams and hashed byte trigrams,
+The classifier sees hashed word unigrams and bigrams and hashed character trigrams,
 each group as relative frequencies. It is fitted on the driver from a bounded
 sample of labelled rows, calibrated by Platt's method on a fifth of that sample,
 and scored in Arrow batches: a score is three averages of looked-up weights.
@@ -88,12 +88,12 @@ def statistics(raw: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int,
 
 
 def buckets(raw: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashed features by group: word unigrams, word bigrams, byte trigrams."""
+    """Hashed features by group: word unigrams, word bigrams, trigrams of code points."""
     down = np.uint64(64 - BITS)
     one = (hashes * _M1) >> down
     two = ((hashes[:-1] * _M2 ^ hashes[1:]) * _M1) >> down
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    three = ((b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    c = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    three = ((c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)) * _M1) >> down
     return [one.astype(np.int64), two.astype(np.int64), three.astype(np.int64)]
 
 

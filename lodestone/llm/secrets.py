@@ -33,7 +33,13 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Window length in characters, and per class its alphabet and the bits a window must reach.
 WINDOW = 20
-CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9))
+CLASSES = (
+    ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 3.0),
+    ("lower", re.compile(r"[a-z0-9]{20,}"), 3.7),
+    ("upper", re.compile(r"[A-Z0-9]{20,}"), 3.7),
+    ("letters", re.compile(r"[A-Za-z]{20,}"), 4.0),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9),
+)
 #: Allow-list: known harmless shapes of a whole candidate.
 ALLOWED = (
     re.compile(r"[A-Za-z]+"),  # one word, however long
@@ -81,13 +87,16 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Spans that entropy adds: candidates with a window of high entropy, outside the spans taken already."""
-    out = []
+    """Spans that entropy adds: candidates with a window of high entropy, outside the spans taken already.
+
+    ``taken`` is sorted by start, and so are candidates, which do not overlap: one sweep over both.
+    """
+    out, k, reach = [], 0, 0  # reach: the last end of the taken spans that begin before the candidate's end
     for m in CANDIDATE.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach, k = max(reach, taken[k][2]), k + 1
         whole = m.group()
-        if any(a.fullmatch(whole) for a in ALLOWED):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        if reach > m.start() or any(a.fullmatch(whole) for a in ALLOWED):
             continue
         if any(peak_entropy(run.group()) >= least for _, runs, least in CLASSES for run in runs.finditer(whole)):
             out.append((m.start(), "entropy", m.end()))

@@ -2,8 +2,9 @@
 
 Tier one is a broadcast table of the corpus's most frequent pre-tokens and
 their token counts; tier two is a cache that each Python worker fills with the
-pre-tokens that tier one misses. No pre-token is ever shuffled: what the first
-pass sends is one bounded summary a task.
+pre-tokens that tier one misses. No pre-token is ever a key of a shuffle: what the
+first pass sends is one bounded summary a task, and summaries are merged whole, in
+two rounds, into one of the table's size.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
 are counted each; an empty table gives an empty result; columns other than the
@@ -12,6 +13,7 @@ id and the text are ignored. Texts of any length are counted whole.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ from lodestone.llm.common import short_batches, text_bytes
 
 #: Pre-tokens that one task may report, and that the broadcast table holds at most (about 2 MB).
 SUMMARY_SIZE, TABLE_SIZE = 4096, 32768
+#: Summaries that the second round merges.
+ROUND = 32
 #: A task's counter is pruned to its most frequent entries beyond this size.
 COUNTER_SIZE = 300_000
 #: Entries of a worker's cache before it starts anew, and the longest pre-token that is cached.
@@ -83,8 +87,22 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.update(split(raw.decode("utf-8", "replace")) or ())
             if len(seen) > COUNTER_SIZE:
                 seen = Counter(dict(seen.most_common(COUNTER_SIZE // 4)))
-    top = [(w, n) for w, n in seen.most_common(SUMMARY_SIZE) if len(w) <= CACHED_LENGTH]
-    yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+    yield pa.RecordBatch.from_pydict({"summary": pa.array([_packed(seen, SUMMARY_SIZE)], pa.binary())})
+
+
+def _packed(seen: Counter, most: int) -> bytes:
+    """The most frequent pre-tokens with their counts, equal counts by pre-token."""
+    top = sorted(((w, n) for w, n in seen.items() if len(w) <= CACHED_LENGTH), key=lambda x: (-x[1], x[0]))[:most]
+    return json.dumps(top).encode()
+
+
+def _merged(pdf):
+    import pandas as pd
+
+    seen: Counter = Counter()
+    for raw in pdf["summary"]:
+        seen.update(dict(json.loads(raw)))
+    return pd.DataFrame({"summary": [_packed(seen, TABLE_SIZE)]})
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
@@ -96,17 +114,10 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> dict[str
     from tokenizers import Tokenizer
 
     short_batches(docs.sparkSession)
-    top = (
-        docs.select(text_bytes(text).alias("b"))
-        .mapInArrow(_summaries, "word string, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(TABLE_SIZE)
-        .select("word")
-        .collect()
-    )
-    words = [r.word for r in top]
+    each = docs.select(text_bytes(text).alias("b")).mapInArrow(_summaries, "summary binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ROUND)))
+    some = each.groupBy("part").applyInPandas(_merged, "summary binary").withColumn("part", F.lit(0))
+    whole = some.groupBy("part").applyInPandas(_merged, "summary binary").collect()  # one row
+    words = [w for w, _ in json.loads(bytes(whole[0].summary))] if whole else []
     encoded = Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)
     return {w: len(e.ids) for w, e in zip(words, encoded, strict=True)}
 
