@@ -32,11 +32,13 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,15 +58,16 @@ LEAST_BITS, MOST_BITS = 14, 24
 #: Classes of a part (more in large clusters, by the square root) and bytes of its sets.
 PART, PART_BYTES = 256, 16_000_000
 #: Postings of a bucket that meets in one task, on average, and postings a task holds before it sends them.
-BUCKET, HELD = 400_000, 1_000_000
+BUCKET, HELD = 200_000, 250_000
 #: Common shingles by which a class tells others that both are tied.
 HINTS = 3
 #: A posting: shingle, class, set size, common shingles of its prefix, and the orders whose prefix holds it.
 POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("common", "u1"), ("mask", "u1")])
 #: What a class with common shingles in its plain prefix says of itself.
 HINT = np.dtype([("cls", "<i8"), ("hints", "<u8", (HINTS,))])
-#: Bytes of the filter that tells which classes need their sets again.
-FILTER_BITS = 23
+#: Bits of the filters that tell which classes need their sets again and which ids need a look: at least 1 MB, at most 16 MB.
+#: Beyond that, filters let more through and exact joins do the rest.
+LEAST_FILTER, MOST_FILTER = 23, 27
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9)]
 CACHE_SIZE = 120_000
@@ -157,17 +160,13 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray:
             parts = np.minimum(cells, 0xFFFF).astype("<u4").reshape(-1, block)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "cells": pa.array([packed(p) for p in parts], pa.binary())})
 
-    def add(pdf):
-        import pandas as pd
-
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, np.int64)
         for c in pdf["cells"]:
             total += unpacked(c, block)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "cells": [packed(np.minimum(total, 1 << 31).astype("<u4"))]})
 
-    def shrink(pdf):
-        import pandas as pd
-
+    def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
         total = unpacked(add(pdf)["cells"].iloc[0], block)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "total": [int(total.sum())], "logs": [np.round(8 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
 
@@ -406,9 +405,7 @@ def described(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
         if members or posts:
             yield send()
 
-    def meet(pdf):
-        import pandas as pd
-
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         posts = np.frombuffer(b"".join(pdf["posts"]), POST)
         pairs, more = pairs_in_groups(posts, np.frombuffer(b"".join(pdf["hints"]), HINT), percent)
         own = pdf[pdf["members"].notna()]
@@ -431,8 +428,6 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
 
 
 def _rows(kind: int, x: np.ndarray):
-    import pandas as pd
-
     cols = {"kind": np.full(len(x), kind), **{c: (x[:, k] if k < x.shape[1] else np.zeros(len(x), np.int64)) for k, c in enumerate(("a", "b", "x", "y"))}}
     return pd.DataFrame(cols).astype({c: "Int64" for c in ("a", "b", "x", "y")})
 
@@ -468,7 +463,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     clusters = cut(clusters.join(large.select("label", k.cast("int").alias("k")), "label").drop("n"), "clusters")
 
     # Which classes need their sets: a filter of fixed size, whose false hits the join removes.
-    needed = spark.sparkContext.broadcast(class_filter(clusters))
+    needed = spark.sparkContext.broadcast(id_filter(clusters.select("even")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, want, sent = WordHashes(), np.unpackbits(needed.value), set()
@@ -479,7 +474,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 if not words:
                     continue
                 c = class_of(words)
-                if c not in sent and want[filter_cell(np.array([c & -2], np.int64))[0]]:
+                if c not in sent and want[filter_cell(np.array([c & -2], np.int64), want.size)[0]]:
                     if len(sent) < CACHE_SIZE:
                         sent.add(c)
                     cls.append(c)
@@ -493,9 +488,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     blocks = dealt.select("label", "cls", "s", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     blocks = blocks.select("label", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), "cls", "p", "s")
 
-    def verify(pdf):
-        import pandas as pd
-
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls", kind="stable")
         ids, part = pdf["cls"].to_numpy(np.int64), pdf["p"].to_numpy()
         out = []
@@ -525,40 +518,54 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """The rows of ``docs`` that stay when one document of each component does: that with the smallest id, once
     (of repeated ids the row with the smallest text). Rows without an id stay."""
     parts = link_components(docs, key, text, width, percent)
-    stay = cut(parts.where(F.col(key) == F.col("component_id")).select(key), "stay")
-    repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select(key), "repeated")
-    kept = docs.where(F.col(key).isNotNull()).join(stay, key, "left_semi").select(*docs.columns)
+    going = cut(parts.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_id")), "going")
+    repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_id"), "repeated")
+    # Most rows go by a look at a filter of ids and never leave their task; only those it marks are joined, texts and all.
+    marks = docs.sparkSession.sparkContext.broadcast(id_filter(going.union(repeated)))
+
+    @F.pandas_udf("boolean")
+    def marked(ids: pd.Series) -> pd.Series:
+        bits = np.unpackbits(marks.value) if ids.notna().any() else np.zeros(1, np.uint8)
+        return pd.Series(bits[filter_cell(ids.fillna(0).to_numpy(np.int64), bits.size)] > 0)
+
+    # Inside, columns go by place, so that no name of the input meets one of ours.
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    id_, words = (F.col(own[docs.columns.index(c)]) for c in (key, text))
+    rows = docs.toDF(*own).withColumn("_id", id_.cast("long")).withColumn("_look", F.col("_id").isNotNull() & marked("_id"))
+    looked = rows.where("_look").join(going, "_id", "left_anti")
     # Ids repeat in few rows, if at all; only these are put in order.
-    once = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first()))
-    again = kept.join(repeated, key, "left_semi").select(*docs.columns, once.alias("_once")).where("_once = 1").select(*docs.columns)
-    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(again).unionByName(docs.where(F.col(key).isNull()))
+    once = F.row_number().over(Window.partitionBy("_id").orderBy(words.asc_nulls_first()))
+    again = looked.join(repeated, "_id", "left_semi").withColumn("_once", once).where("_once = 1")
+    parts_of = [rows.where("NOT _look"), looked.join(repeated, "_id", "left_anti"), again]
+    return functools.reduce(DataFrame.unionByName, [x.select(*own) for x in parts_of]).toDF(*docs.columns)
 
 
-def filter_cell(x: np.ndarray) -> np.ndarray:
-    return (mixed(x.astype(np.int64).view(np.uint64), 3) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def filter_cell(x: np.ndarray, size: int) -> np.ndarray:
+    """Places of ids in a filter of ``size`` bits, a power of 2."""
+    return (mixed(x.astype(np.int64).view(np.uint64), 3) >> np.uint64(65 - int(size).bit_length())).astype(np.int64)
 
 
-def class_filter(clusters: DataFrame) -> np.ndarray:
-    """Bits of the cells of all clustered classes: one megabyte, made of the tasks' own by a bitwise or."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Packed bits of the cells of all ids in the only column, made of the tasks' own by a bitwise or."""
+    bits = max(LEAST_FILTER, min(MOST_FILTER, math.ceil(math.log2(16 * max(1, ids.count())))))
+    each = 1 << (bits - 9)  # bytes of a part, of 64
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            bits[filter_cell(batch.column(0).to_numpy())] = True
-        if bits.any():
-            parts = np.packbits(bits).reshape(64, -1)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "bits": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def merge(pdf):
-        import pandas as pd
+            seen[filter_cell(batch.column(0).to_numpy(), seen.size)] = True
+        if seen.any():
+            parts = np.packbits(seen).reshape(64, -1)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "bits": pa.array([pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts], pa.binary())})
 
-        out = np.zeros(1 << (FILTER_BITS - 9), np.uint8)
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(each, np.uint8)
         for b in pdf["bits"]:
-            out |= np.frombuffer(b, np.uint8)
+            out |= np.frombuffer(pa.decompress(b, each, codec="zstd", asbytes=True), np.uint8)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [out.tobytes()]})
 
-    rows = clusters.select("even").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
-    out = np.zeros((64, 1 << (FILTER_BITS - 9)), np.uint8)
+    rows = ids.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
+    out = np.zeros((64, each), np.uint8)
     for r in rows:
         out[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.ravel()
