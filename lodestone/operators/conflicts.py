@@ -39,6 +39,28 @@ CHALLENGES = (
     ("security", "privacy", "protection", "safety"),
     ("migration", "upgrade", "transition", "conversion"),
 )
+BUSINESS = ("business", "user", "requirements", "workflow", "process", "feature")
+TECHNICAL = ("technical", "architecture", "api", "implementation", "code", "development")
+FEATURE = ("feature", "functionality")
+SECURITY = ("security", "authentication", "authorization", "compliance", "audit")
+DOMAINS = (
+    ("healthcare", "medical", "patient", "clinical"),
+    ("finance", "payment", "banking", "financial"),
+    ("ecommerce", "retail", "shopping", "commerce"),
+    ("education", "learning", "student", "academic"),
+    ("iot", "device", "sensor", "embedded"),
+    ("mobile", "app", "ios", "android"),
+)
+PATTERNS = (
+    ("microservices", "service", "microservice"),
+    ("api", "rest", "graphql", "endpoint"),
+    ("database", "data", "storage", "persistence"),
+    ("authentication", "auth", "identity", "oauth"),
+    ("messaging", "queue", "event", "pub-sub"),
+    ("cache", "caching", "redis", "memory"),
+    ("monitoring", "logging", "observability", "metrics"),
+)
+TECHNOLOGIES = ("react", "angular", "vue", "node", "node.js", "python", "java", "golang", "docker", "kubernetes", "aws", "azure", "gcp", "postgres", "mysql", "mongodb", "jwt", "oauth", "rest", "graphql", "grpc")
 # Phrases that point to a conflict, and phrases that contradict each other.
 INDICATORS = ("should not", "avoid", "deprecated", "recommended", "best practice", "anti-pattern", "wrong", "correct", "instead", "better", "worse")
 OPPOSITES = (("must", "must not"), ("always", "never"), ("enable", "disable"), ("allow", "deny"), ("required", "optional"), ("supported", "unsupported"), ("should", "should not"))
@@ -66,32 +88,59 @@ def challenges(title: Column) -> Column:
     return F.filter(F.array(*[F.when(has_any(title, w), F.lit(k)) for k, w in enumerate(CHALLENGES)]), lambda x: x.isNotNull())
 
 
+def _either(t: Column, c: Column, some: tuple[str, ...], others: tuple[str, ...]) -> Column:
+    return (has_any(t, some) & has_any(c, others)) | (has_any(t, others) & has_any(c, some))
+
+
+def _both(t: Column, c: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    return reduce(lambda a, b: a | b, [has_any(t, g) & has_any(c, g) for g in groups])
+
+
 def complementary(results: DataFrame, k: int, least: float = 0.15) -> DataFrame:
-    """The best complements of every result, among those that share a topic: (a, b, score, reason)."""
+    """The best complements of every result, among those that share a topic: (a, b, score, reason).
+
+    Several factors: the first and a tenth of the others, .95 at most; the first is the pair of requirements and
+    implementation, else the largest. No factor: what topics, entities and title words are shared.
+    """
     pairs = sharing_pairs(results, "topics").select("a", "b")
     both = pairs.union(pairs.select("b", "a"))
     p = with_sides(both, results, ("source_title", "project_id", "topics", "entities"))
     t, c = F.col("x.source_title"), F.col("y.source_title")
-    shared = F.size(F.array_intersect(_low("x.topics"), _low("y.topics")))
+    in_both = lambda name: F.size(F.array_intersect(_low(f"x.{name}"), _low(f"y.{name}")))
+    shared, entities = in_both("topics"), in_both("entities")
     same = F.col("x.project_id").eqNullSafe(F.col("y.project_id"))
-    req = (has_any(t, REQUIREMENTS) & has_any(c, IMPLEMENTATION)) | (has_any(t, IMPLEMENTATION) & has_any(c, REQUIREMENTS))
+    req = _either(t, c, REQUIREMENTS, IMPLEMENTATION)
     gap = F.abs(abstraction_level(t) - abstraction_level(c))
     differ = document_type(t) != document_type(c)
-    fallback = F.least(F.lit(0.5), 0.1 * shared)
-    intra = F.array(
-        F.when(req, F.lit(0.85)),
-        F.when(gap > 0, F.least(F.lit(0.95), 0.6 + 0.1 * gap)),
+    words = lambda title: F.filter(F.split(F.lower(title), r"\s+"), lambda w: w != "")
+    common = F.size(F.array_intersect(words(t), words(c)))
+    named = sum(F.when(F.lower(t).contains(w) & F.lower(c).contains(w), 1).otherwise(0) for w in TECHNOLOGIES)
+    technologies = F.when(entities > 0, entities).otherwise(named)
+    fallback = F.least(
+        F.lit(0.5),
+        F.greatest(
+            F.when(shared > 0, 0.2 + 0.05 * shared).otherwise(0.0), F.when(entities > 0, 0.15 + 0.05 * entities).otherwise(0.0), F.when(common > 1, 0.1 + 0.02 * common).otherwise(0.0)
+        ),
+    )
+    known = lambda parts: F.sort_array(F.filter(parts, lambda x: x.isNotNull()), asc=False)
+    intra = known(F.array(
+        F.when(gap > 0, 0.7 + 0.1 * gap),
+        F.when(_either(t, c, BUSINESS, TECHNICAL) | _either(t, c, FEATURE, SECURITY), F.lit(0.75)),
         F.when((shared > 0) & differ, F.least(F.lit(0.65), 0.35 + 0.1 * shared)),
-    )
-    inter = F.array(F.when(F.arrays_overlap(challenges(t), challenges(c)), F.lit(0.8)), F.when((document_type(t) == "architecture") & (document_type(c) == "architecture"), F.lit(0.7)))
-
-    def blend(parts: Column) -> Column:
-        s = F.sort_array(F.filter(parts, lambda x: x.isNotNull()), asc=False)
+    ))
+    intra = F.concat(F.when(req, F.array(F.lit(0.85))).otherwise(F.array().cast("array<double>")), intra)
+    inter = known(F.array(
+        F.when(_both(t, c, CHALLENGES), F.lit(0.8)),
+        F.when(_both(t, c, DOMAINS), F.lit(0.75)),
+        F.when(_both(t, c, PATTERNS), F.lit(0.7)),
+        F.when(technologies > 0, F.least(F.lit(0.6), 0.3 + 0.1 * technologies)),
+    ))
+
+    def blend(s: Column) -> Column:
         rest = F.aggregate(F.slice(s, 2, 10), F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.size(s) > 0, F.least(F.lit(0.95), F.get(s, F.lit(0)) + 0.1 * rest)).otherwise(fallback)
+        return F.when(F.size(s) > 1, F.least(F.lit(0.95), F.get(s, F.lit(0)) + 0.1 * rest)).when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(fallback)
 
-    many = F.when(shared >= 3, 1.2).otherwise(1.0)
-    score = F.when(same, F.least(F.lit(0.95), blend(intra) * many)).otherwise(blend(inter) * 0.8)
+    score = F.when(same & (shared >= 3), F.least(F.lit(0.95), blend(intra) * 1.2)).when(same, blend(intra)).otherwise(blend(inter) * 0.8)
     reason = F.when(same & req, "requirements").when(same & (gap > 0), "abstraction").when(same, "topics").otherwise("across projects")
     s = p.select("a", "b", F.round(score, 6).alias("score"), reason.alias("reason")).where(F.col("score") > least)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))

@@ -130,16 +130,25 @@ def insights(scores: DataFrame, n: DataFrame) -> DataFrame:
     return s.join(F.broadcast(n), F.lit(True)).select(F.round(F.col("total") / pairs, 9).alias("mean"), "largest", F.coalesce("high", F.lit(0)).alias("high"), "met")
 
 
+def most_frequent(c: str, n: int) -> Column:
+    """The ``n`` most frequent items of a row's array, the first of equals, sorted and joined; null if there are none."""
+    low = F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    ranked = F.array_sort(F.transform(F.array_distinct(low), lambda x, i: F.struct((-F.size(F.filter(low, lambda y: y == x))).alias("n"), i.alias("i"), x.alias("x"))))
+    top = F.array_sort(F.transform(F.slice(ranked, 1, n), lambda r: r["x"]))
+    return F.when(F.size(top) > 0, F.array_join(top, "|"))
+
+
 def cluster_key(results: DataFrame, strategy: str) -> Column:
-    """The group a result falls in: by entities, topics, project, hierarchy, or a mix of the first of each."""
-    first = lambda c, n: F.array_join(F.slice(F.array_sort(normal_set(c)), 1, n), "|")
+    """The group a result falls in: by its three most frequent entities or topics, project, hierarchy, or the first
+    two entities and topics with the project; so too for a strategy that is none of these."""
+    two = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(f"{c}:"), F.array_join(F.slice(c, 1, 2), ",")))
+    mixed = F.concat_ws("|", two("entities"), two("topics"), F.concat(F.lit("project:"), F.coalesce("project_id", F.lit("no_project"))))
     return {
-        "entities": first("entities", 1),
-        "topics": first("topics", 1),
+        "entities": most_frequent("entities", 3),
+        "topics": most_frequent("topics", 3),
         "projects": F.when(F.trim("project_id") != "", F.col("project_id")),
         "hierarchy": F.coalesce(F.array_join(F.slice(F.split("breadcrumb_text", " > "), 1, 2), " > "), F.lit("root")),
-        "mixed": F.concat_ws("/", first("topics", 1), F.coalesce("project_id", F.lit("none"))),
-    }[strategy]
+    }.get(strategy, mixed)
 
 
 def clusters(results: DataFrame, strategy: str, most: int = 10, least: int = 2) -> DataFrame:

@@ -98,6 +98,27 @@ def config_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 # --- Jobs ----------------------------------------------------------------------------------------
 
 
+def enqueue(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` and new pending ones for (id, type, source, payload map<string,string>): the payload as JSON with sorted keys."""
+    payload = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("payload"))))
+    new = requests.select("id", "type", "source", F.lit("pending").alias("status"), now.alias("enqueued_at"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("timestamp").alias("visible_at"), payload.alias("payload_json"))
+    return jobs.unionByName(new, allowMissingColumns=True)
+
+
+def extend_lease(jobs: DataFrame, held: DataFrame, now: Column, lease: int) -> DataFrame:
+    """A new deadline for running jobs that (id, attempts) still hold; others stay as they are."""
+    h = held.select("id", F.col("attempts").alias("_a")).distinct()
+    mine = (F.col("status") == "running") & (F.col("_a") == F.col("attempts"))
+    return jobs.join(h, "id", "left").withColumn("visible_at", F.when(mine, now + F.expr(f"INTERVAL {lease} SECONDS")).otherwise(F.col("visible_at"))).select(*jobs.columns)
+
+
+def reset(jobs: DataFrame, statuses: tuple[str, ...] = ("failed", "done")) -> DataFrame:
+    """Ended jobs as pending ones without attempts or deadline."""
+    ended = F.col("status").isin(*statuses)
+    out = jobs.withColumn("visible_at", F.when(~ended, F.col("visible_at"))).withColumn("attempts", F.when(ended, 0).otherwise(F.col("attempts")).cast("long"))
+    return out.withColumn("status", F.when(ended, "pending").otherwise(F.col("status")))
+
+
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
     waiting = (F.col("status") == "pending") & (F.col("visible_at").isNull() | (F.col("visible_at") <= now))
     lost = (F.col("status") == "running") & (F.col("visible_at") < now)

@@ -54,13 +54,14 @@ def matrix_insights(spark, sf):
     return out.select(F.round("mean", 7).alias("mean"), F.round("largest", 5).alias("largest"), "met")
 
 
-_SORTED = lambda c: f"list_sort(list_distinct(list_transform({c}, v -> lower(trim(v)))))[1]"
+_TOP = lambda c: f"""(WITH i AS (SELECT lower(trim(x)) AS x, row_number() OVER () AS pos FROM (SELECT unnest({c}) AS x)), f AS (SELECT x, count(*) AS n, min(pos) AS first FROM i WHERE x <> '' GROUP BY x ORDER BY n DESC, first LIMIT 3) SELECT string_agg(x, '|' ORDER BY x) FROM f)"""
+_TWO = lambda c: f"CASE WHEN len({c}) > 0 THEN '{c}:' || array_to_string({c}[1:2], ',') || '|' ELSE '' END"
 _KEYS = {
-    "entities": _SORTED("entities"),
-    "topics": _SORTED("topics"),
+    "entities": _TOP("entities"),
+    "topics": _TOP("topics"),
     "projects": "project_id",
     "hierarchy": "coalesce(array_to_string(string_split(breadcrumb_text, ' > ')[1:2], ' > '), 'root')",
-    "mixed": f"{_SORTED('topics')} || '/' || coalesce(project_id, 'none')",
+    "mixed": f"{_TWO('entities')} || {_TWO('topics')} || 'project:' || coalesce(project_id, 'no_project')",
 }
 
 
@@ -118,13 +119,20 @@ def title_classes(spark, sf):
     return results(spark, sf).select("doc_id", conflicts.abstraction_level(t).alias("level"), conflicts.document_type(t).alias("kind"), F.array_join(conflicts.challenges(t), ",").alias("challenges"))
 
 
+_BOTH = lambda groups: "(" + " OR ".join(f"({_ANY('t', g)} AND {_ANY('c', g)})" for g in groups) + ")"
+_EITHER = lambda a, b: f"(({_ANY('t', a)} AND {_ANY('c', b)}) OR ({_ANY('t', b)} AND {_ANY('c', a)}))"
+_WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), v -> v <> ''))"
+_BLEND = lambda f: f"CASE WHEN len({f}) = 0 THEN least(0.5::DOUBLE, fallback) WHEN len({f}) = 1 THEN {f}[1] ELSE least(0.95::DOUBLE, {f}[1] + 0.1::DOUBLE * list_sum({f}[2:])) END"
+
+
 @query("complement_find", f"""WITH {R}, {_IT('topics')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id <> j.doc_id), z AS (SELECT a, b, x.source_title AS t, y.source_title AS c, x.project_id IS NOT DISTINCT FROM y.project_id AS same,
- len(list_intersect(list_transform(x.topics, v -> lower(trim(v))), list_transform(y.topics, v -> lower(trim(v))))) AS shared FROM p JOIN results x ON x.doc_id = a JOIN results y ON y.doc_id = b),
- f AS (SELECT *, ({_ANY('t', conflicts.REQUIREMENTS)} AND {_ANY('c', conflicts.IMPLEMENTATION)}) OR ({_ANY('t', conflicts.IMPLEMENTATION)} AND {_ANY('c', conflicts.REQUIREMENTS)}) AS req, abs({_LEVEL('t')} - {_LEVEL('c')}) AS gap, {_TYPE('t')} AS tt, {_TYPE('c')} AS ct, {_CHAL('t')} AS ch, {_CHAL('c')} AS cc FROM z),
- g AS (SELECT *, list_reverse_sort(list_filter([CASE WHEN req THEN 0.85::DOUBLE END, CASE WHEN gap > 0 THEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * gap) END, CASE WHEN shared > 0 AND tt <> ct THEN least(0.65::DOUBLE, 0.35::DOUBLE + 0.1::DOUBLE * shared) END], v -> v IS NOT NULL)) AS intra,
- list_reverse_sort(list_filter([CASE WHEN list_has_any(ch, cc) THEN 0.8::DOUBLE END, CASE WHEN tt = 'architecture' AND ct = 'architecture' THEN 0.7::DOUBLE END], v -> v IS NOT NULL)) AS inter FROM f),
- h AS (SELECT a, b, round(CASE WHEN same THEN least(0.95::DOUBLE, CASE WHEN len(intra) > 0 THEN least(0.95::DOUBLE, intra[1] + 0.1::DOUBLE * coalesce(list_sum(intra[2:]), 0)) ELSE least(0.5::DOUBLE, 0.1::DOUBLE * shared) END * CASE WHEN shared >= 3 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END)
-  ELSE CASE WHEN len(inter) > 0 THEN least(0.95::DOUBLE, inter[1] + 0.1::DOUBLE * coalesce(list_sum(inter[2:]), 0)) ELSE least(0.5::DOUBLE, 0.1::DOUBLE * shared) END * 0.8::DOUBLE END, 6) AS score, CASE WHEN same AND req THEN 'requirements' WHEN same AND gap > 0 THEN 'abstraction' WHEN same THEN 'topics' ELSE 'across projects' END AS reason FROM g),
+ len(list_intersect(list_transform(x.topics, v -> lower(trim(v))), list_transform(y.topics, v -> lower(trim(v))))) AS shared, len(list_intersect(list_transform(x.entities, v -> lower(trim(v))), list_transform(y.entities, v -> lower(trim(v))))) AS ents FROM p JOIN results x ON x.doc_id = a JOIN results y ON y.doc_id = b),
+ f AS (SELECT *, {_EITHER(conflicts.REQUIREMENTS, conflicts.IMPLEMENTATION)} AS req, {_EITHER(conflicts.BUSINESS, conflicts.TECHNICAL)} OR {_EITHER(conflicts.FEATURE, conflicts.SECURITY)} AS cross_f, abs({_LEVEL('t')} - {_LEVEL('c')}) AS gap, {_TYPE('t')} AS tt, {_TYPE('c')} AS ct,
+  CASE WHEN ents > 0 THEN ents ELSE {' + '.join(f"(contains(lower(t), '{k}') AND contains(lower(c), '{k}'))::INT" for k in conflicts.TECHNOLOGIES)} END AS tech, len(list_intersect({_WORDS('t')}, {_WORDS('c')})) AS common FROM z),
+ g AS (SELECT *, greatest(CASE WHEN shared > 0 THEN 0.2::DOUBLE + 0.05::DOUBLE * shared ELSE 0.0::DOUBLE END, CASE WHEN ents > 0 THEN 0.15::DOUBLE + 0.05::DOUBLE * ents ELSE 0.0::DOUBLE END, CASE WHEN common > 1 THEN 0.1::DOUBLE + 0.02::DOUBLE * common ELSE 0.0::DOUBLE END) AS fallback,
+  list_concat(CASE WHEN req THEN [0.85::DOUBLE] ELSE [] END, list_reverse_sort(list_filter([CASE WHEN gap > 0 THEN 0.7::DOUBLE + 0.1::DOUBLE * gap END, CASE WHEN cross_f THEN 0.75::DOUBLE END, CASE WHEN shared > 0 AND tt <> ct THEN least(0.65::DOUBLE, 0.35::DOUBLE + 0.1::DOUBLE * shared) END], v -> v IS NOT NULL))) AS intra,
+  list_reverse_sort(list_filter([CASE WHEN {_BOTH(conflicts.CHALLENGES)} THEN 0.8::DOUBLE END, CASE WHEN {_BOTH(conflicts.DOMAINS)} THEN 0.75::DOUBLE END, CASE WHEN {_BOTH(conflicts.PATTERNS)} THEN 0.7::DOUBLE END, CASE WHEN tech > 0 THEN least(0.6::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * tech) END], v -> v IS NOT NULL)) AS inter FROM f),
+ h AS (SELECT a, b, round(CASE WHEN same AND shared >= 3 THEN least(0.95::DOUBLE, ({_BLEND('intra')}) * 1.2::DOUBLE) WHEN same THEN {_BLEND('intra')} ELSE ({_BLEND('inter')}) * 0.8::DOUBLE END, 6) AS score, CASE WHEN same AND req THEN 'requirements' WHEN same AND gap > 0 THEN 'abstraction' WHEN same THEN 'topics' ELSE 'across projects' END AS reason FROM g),
  k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM h WHERE score > 0.15) SELECT a, b, score, reason, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 5""")
 def complement(spark, sf):
     return conflicts.complementary(results(spark, sf), 5)

@@ -150,6 +150,25 @@ def jobs_finish(spark, sf):
     return state.finish(j, o, now()).select("id", "status", "visible_at")
 
 
+@query("jobs_enqueue", f"""WITH {_JOBS} SELECT id, status, attempts, CAST(NULL AS VARCHAR) AS payload_json FROM j UNION ALL SELECT CAST(100000000 + doc_id AS BIGINT), 'pending', 0, '{{"lang":"' || lang || '","source":"' || source || '"}}' FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def jobs_enqueue(spark, sf):
+    d = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    asked = d.select((F.col("doc_id") + 100000000).alias("id"), F.lit("ingest").alias("type"), (F.col("doc_id") % 20).alias("source"), F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("payload"))
+    return state.enqueue(jobs(spark, sf), asked, now()).select("id", "status", "attempts", "payload_json")
+
+
+@query("jobs_extend_lease", f"WITH {_JOBS} SELECT id, CASE WHEN status = 'running' AND id % 5 = 0 AND id % 10 <> 0 THEN {_NOW} + INTERVAL 300 SECONDS ELSE visible_at END AS visible_at FROM j")
+def jobs_extend_lease(spark, sf):
+    j = jobs(spark, sf)
+    held = j.where("id % 5 = 0").select("id", (F.col("attempts") - F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("attempts"))
+    return state.extend_lease(j, held, now(), 300).select("id", "visible_at")
+
+
+@query("jobs_reset", f"WITH {_JOBS} SELECT id, CASE WHEN status = 'done' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'done' THEN 0 ELSE attempts END AS attempts, CASE WHEN status <> 'done' THEN visible_at END AS visible_at FROM j")
+def jobs_reset(spark, sf):
+    return state.reset(jobs(spark, sf)).select("id", "status", "attempts", "visible_at")
+
+
 @query("jobs_list", f"WITH {_JOBS} SELECT id, status FROM j WHERE status = 'pending' ORDER BY enqueued_at DESC, id LIMIT 20 OFFSET 40")
 def jobs_list(spark, sf):
     return jobs(spark, sf).where("status = 'pending'").orderBy(F.desc("enqueued_at"), "id").offset(40).limit(20).select("id", "status")

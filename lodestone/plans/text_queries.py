@@ -201,3 +201,11 @@ def chunk_documents(spark, sf):
 def json_props(spark, sf):
     e = table(spark, sf, "events").withColumn("v", F.parse_json("props"))
     return e.select("event_id", F.variant_get("v", "$.k", "long").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+
+
+@query("chunk_json_profile", """SELECT event_id, 1 AS depth, CAST(1 + len(json_keys(props)) AS BIGINT) AS elements, round(1 + 0.05::DOUBLE * len(json_keys(props)), 6) AS complexity, CAST(1 AS INTEGER) AS objects, CAST(len(json_keys(props)) AS INTEGER) AS numbers FROM events""")
+def json_profile(spark, sf):
+    from lodestone.functions.json_profile import profile
+
+    p = profile(table(spark, sf, "events"), "event_id", F.col("props"))
+    return p.select("event_id", "depth", "elements", F.round("complexity", 6).alias("complexity"), F.col("types")["object"].alias("objects"), F.col("types")["number"].alias("numbers"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,12 +32,16 @@ def once(stream: DataFrame, key: str, at: str, late: str = "10 minutes") -> Data
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def dispatch(out: str, operation: Column, key: str = "doc_id", text: str = "text"):
-    """A ``foreachBatch`` function: chunks of upserted rows and tombstones of deleted ones, below ``out``."""
+def dispatch(out: str, operation: Column, key: str = "doc_id", text: str = "text", at: str | None = None):
+    """A ``foreachBatch`` function: chunks of upserted rows and tombstones of deleted ones, below ``out``.
+
+    Of several upserts of a key the newest by ``at`` counts (of equals, and without ``at``, the one with the largest text).
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         marked = df.withColumn("_op", operation)
-        upserts = marked.where("_op <> 'SINGLE_DELETE'").dropDuplicates([key])
+        newest = Window.partitionBy(key).orderBy(*([F.desc_nulls_last(at)] if at else []), F.desc_nulls_last(text))
+        upserts = marked.where("_op <> 'SINGLE_DELETE'").withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
         chunks = chunking.chunk(upserts.withColumn("content_type", F.lit("text")), key, text)
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         marked.where("_op = 'SINGLE_DELETE'").select(key).distinct().write.mode("overwrite").parquet(f"{out}/deleted/batch={number}")
