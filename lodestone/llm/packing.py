@@ -17,7 +17,8 @@ Texts longer than the capacity are cut into full pieces and one rest.
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from lodestone.llm.common import cut, short_batches, text_bytes
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Entries of one generation of a worker's cache, and the longest word that is cached.
-CACHE_SIZE, CACHED_LENGTH = 120_000, 64
+CACHE_SIZE, CACHED_LENGTH = 150_000, 64
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 20_000
 #: Runs up to which the table of runs is broadcast (40 bytes each).
@@ -54,8 +55,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins what it separates, so a text's
     ids are its words' ids. A word of plain letters goes straight to the merges,
-    any other through the whole tokenizer. Words seen lately are kept in two
-    generations: a full one replaces the one before it.
+    any other through the whole tokenizer; a sign behind it counts by itself and
+    takes no place in the cache. Words seen lately are kept in two generations: a
+    full one replaces the one before it.
     """
 
     def __init__(self, tokenizer):
@@ -66,6 +68,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
+            if word[-1] in ".,;:!?" and SIMPLE.fullmatch(word, 0, len(word) - 1):
+                return self[word[:-1]] + self[word[-1]]
             ids = self.encode(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE_SIZE:
@@ -75,15 +79,16 @@ class WordIds(dict):
         return ids
 
     def encode(self, word: str) -> bytes:
-        if word[-1:] in ".,;:!?" and SIMPLE.fullmatch(word, 0, len(word) - 1):
-            return self[word[:-1]] + self[word[-1]]
         if SIMPLE.fullmatch(word):
             low = word.lower()
             plain = low if low.isascii() else "".join(map(self.letter.__getitem__, low.encode()))
             ids = [t.id for t in self.model.tokenize(plain)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        out = array("I", ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def of(self, raw: bytes) -> bytes:
         """The ids of a whole text."""
