@@ -59,6 +59,8 @@ LEAST_BITS, MOST_BITS = 14, 24
 PART, PART_BYTES = 256, 16_000_000
 #: Postings of a bucket that meets in one task, on average, and postings a task holds before it sends them.
 BUCKET, HELD = 200_000, 250_000
+#: Pairs that are held at a time where postings meet.
+PAIRS = 500_000
 #: Common shingles by which a class tells others that both are tied.
 HINTS = 3
 #: A posting: shingle, class, set size, common shingles of its prefix, and the orders whose prefix holds it.
@@ -286,6 +288,28 @@ def pairs_in_groups(posts: np.ndarray, hints: np.ndarray, percent: int = PERCENT
     return pairs, ties
 
 
+def in_chunks(posts: np.ndarray, most: int = PAIRS) -> Iterator[np.ndarray]:
+    """Postings in chunks of whole shingles that make about ``most`` pairs; a shingle that one posting holds is left out.
+
+    Shingles with the same least class lie side by side, so most of a pair's meetings fall into one chunk.
+    """
+    posts = posts[np.lexsort((posts["cls"], posts["token"]))]
+    sizes = np.unique(posts["token"], return_counts=True)[1]
+    posts, sizes = posts[np.repeat(sizes, sizes) > 1], sizes[sizes > 1]
+    if not len(posts):
+        return
+    least = posts["cls"][np.cumsum(sizes) - sizes]
+    by = np.argsort(least, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    posts, sizes = posts[np.argsort(np.repeat(rank, sizes), kind="stable")], sizes[by]
+    meeting = np.minimum(sizes, GROUP)
+    chunk = np.cumsum(meeting * (meeting - 1) // 2 + sizes) // most
+    ends = np.cumsum(sizes)[np.append(chunk[1:] != chunk[:-1], True)]
+    for lo, hi in itertools.pairwise([0, *ends.tolist()]):
+        yield posts[lo:hi]
+
+
 def block_links(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, orders: int = ORDERS) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links of a block: between its two parts, or within its only one.
 
@@ -396,7 +420,7 @@ def described(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
                     sent.add(c)
                     p, t = postings(s, c, r, percent)
                     posts.append(p)
-                    held += len(p) + 1
+                    held += len(p) + len(t) + 1
                     if len(t):
                         hints.append((c, tuple(np.append(t[:HINTS], np.zeros(max(0, HINTS - len(t)), np.uint64)).tolist())))
                         ties += [(c, x) for x in signed(t).tolist()]
@@ -405,16 +429,22 @@ def described(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
         if members or posts:
             yield send()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        posts = np.frombuffer(b"".join(pdf["posts"]), POST)
-        pairs, more = pairs_in_groups(posts, np.frombuffer(b"".join(pdf["hints"]), HINT), percent)
-        own = pdf[pdf["members"].notna()]
-        ties = np.concatenate([more, np.frombuffer(b"".join(own["ties"]), np.int64).reshape(-1, 2)])
-        out = [_rows(2, pairs), _rows(1, ties)]
-        for m in own["members"]:
-            t = pa.ipc.open_stream(m).read_all().to_pandas(types_mapper=lambda _: pd.Int64Dtype())
-            out.append(t.assign(kind=0, y=0)[["kind", "a", "b", "x", "y"]])
-        return pd.concat(out)
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        posts, hints = [], []
+        for pdf in batches:
+            posts.extend(pdf["posts"])
+            hints.extend(pdf["hints"])
+            own = pdf[pdf["members"].notna()]
+            for m, t in zip(own["members"], own["ties"], strict=True):
+                rows = pa.ipc.open_stream(m).read_all().to_pandas(types_mapper=lambda _: pd.Int64Dtype())
+                yield rows.assign(kind=0, y=0)[["kind", "a", "b", "x", "y"]]
+                yield _rows(1, np.frombuffer(t, np.int64).reshape(-1, 2))
+        known = np.frombuffer(b"".join(hints), HINT)
+        known = known[np.unique(known["cls"], return_index=True)[1]]
+        for some in in_chunks(np.frombuffer(b"".join(posts), POST)):
+            pairs, ties = pairs_in_groups(some, known, percent)
+            yield _rows(2, pairs)
+            yield _rows(1, ties)
 
     sent = rows.mapInArrow(describe, "bucket int, posts binary, hints binary, members binary, ties binary")
     return cut(sent.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, x long, y long"), "described")

@@ -62,3 +62,21 @@ def test_a_common_hint_stands_for_the_pair():
     many["cls"] = 2 * np.arange(len(many))
     pairs, ties = ngram_join.pairs_in_groups(many, hints[:0])
     assert not len(pairs) and ties.tolist() == [[c, 5] for c in many["cls"].tolist()]
+
+
+def test_chunks_keep_shingles_whole_and_lose_no_meeting():
+    rnd = np.random.default_rng(3)
+    posts = np.zeros(6000, ngram_join.POST)
+    posts["token"], posts["cls"] = rnd.integers(0, 700, 6000), rnd.integers(0, 400, 6000)
+    posts["n"], posts["mask"] = 20, 7
+    chunks = list(ngram_join.in_chunks(posts, 2000))
+    tokens = [set(c["token"].tolist()) for c in chunks]
+    assert len(chunks) > 3 and sum(map(len, tokens)) == len(set().union(*tokens))
+    whole, ties = ngram_join.pairs_in_groups(posts, np.zeros(0, ngram_join.HINT))
+    parts = [ngram_join.pairs_in_groups(c, np.zeros(0, ngram_join.HINT)) for c in chunks]
+    met: dict = {}
+    for a, b, _, times in np.concatenate([p for p, _ in parts]).tolist():
+        met[a, b] = met.get((a, b), 0) + times
+    assert met == {(a, b): times for a, b, _, times in whole.tolist()}
+    assert sum(len(t) for _, t in parts) == len(ties)
+    assert not list(ngram_join.in_chunks(posts[:0]))
