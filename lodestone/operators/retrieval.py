@@ -119,15 +119,44 @@ def in_blocks(queries: DataFrame, run, block: int = QUERY_BLOCK, cut=cut) -> Dat
     return run(some[0]) if len(some) == 1 else reduce(DataFrame.unionByName, [cut(run(q)) for q in some])
 
 
+def terms(text: str | Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """A text's tokens in order, repeats included, as an array."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*stop))
+
+
 def tokens(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(key, token, tf)."""
-    t = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("token")).where(~F.col("token").isin(*stop))
-    return t.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(key, F.explode(terms(text, stop)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, token, tf) of the tokens in ``wanted`` only, other columns of which are carried along.
+
+    ``wanted`` has a row a token and is a written table, so Spark knows its size and, where that is
+    small, no token that nobody asks for is shuffled.
+    """
+    each = docs.select(key, F.explode(terms(text)).alias("token")).join(wanted, "token")
+    return each.groupBy(key, *wanted.columns).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, df): the ids that hold a token. A row counts its tokens once where it stands; only rows whose id
+    repeats are told apart by id and token."""
+    again = cut(docs.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_again"))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    once = docs.join(again, same, "left_anti").select(F.explode(F.array_distinct(terms(text))).alias("token"))
+    more = docs.join(again, same, "left_semi").select(key, F.explode(terms(text)).alias("token")).distinct().select("token")
+    parts = [x.groupBy("token").agg(F.count(F.lit(1)).alias("df")) for x in (once, more)]
+    return parts[0].unionByName(parts[1]).groupBy("token").agg(F.sum("df").alias("df"))
 
 
 def encode_documents(df: DataFrame, key: str, text: str, k1: float = SPARSE_K1) -> DataFrame:
     """Sparse weights tf * (k1 + 1) / (tf + k1)."""
-    return tokens(df, key, text).withColumn("w", F.col("tf") * (k1 + 1) / (F.col("tf") + k1))
+    return tokens(df, key, text).withColumn("w", sparse_weight(k1))
+
+
+def sparse_weight(k1: float = SPARSE_K1) -> Column:
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
 
 
 def encode_queries(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -136,24 +165,23 @@ def encode_queries(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sparse(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    q = encode_queries(queries, "query_id", text).select("query_id", "token", F.col("w").alias("wq"))
-    d = encode_documents(docs, key, text).select(key, "token", "w")
+    q = cut(encode_queries(queries, "query_id", text).select("query_id", "token", F.col("w").alias("wq")))
+    d = postings(docs, key, text, cut(q.select("token").distinct())).withColumn("w", sparse_weight())
     hits = d.join(q, "token").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     return top_k(hits, k, tie=key)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Okapi BM25 over the whole table; a negative idf is replaced by epsilon times the mean idf. Positive scores only."""
-    t = tokens(docs, key, text)
-    lengths = t.groupBy(key).agg(F.sum("tf").alias("len"))
+    lengths = docs.select(key, F.size(terms(text)).alias("len")).groupBy(key).agg(F.sum("len").alias("len")).where("len > 0")
     facts = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    q = tokens(queries, "query_id", text).select("query_id", "token", F.col("tf").alias("qtf"))
-    df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(facts), F.lit(True))
+    q = cut(tokens(queries, "query_id", text).select("query_id", "token", F.col("tf").alias("qtf")))
+    df = document_frequency(docs, key, text).join(F.broadcast(facts), F.lit(True))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(q.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean), F.lit(True))
-    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    posted = t.join(idf, "token").join(lengths, key)
+    idf = cut(idf.select("token", "avgdl", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")))
+    posted = postings(docs, key, text, idf).join(lengths, key)
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avgdl")))
     hits = posted.withColumn("part", part).join(q, "token").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
     return top_k(hits.where("score > 0"), k, tie=key)
