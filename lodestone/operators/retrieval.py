@@ -176,7 +176,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text:
     lengths = docs.select(key, F.size(terms(text)).alias("len")).groupBy(key).agg(F.sum("len").alias("len")).where("len > 0")
     facts = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     q = cut(tokens(queries, "query_id", text).select("query_id", "token", F.col("tf").alias("qtf")))
-    df = document_frequency(docs, key, text).join(F.broadcast(facts), F.lit(True))
+    df = cut(document_frequency(docs, key, text)).join(F.broadcast(facts), F.lit(True))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(q.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean), F.lit(True))
