@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, mixing, neighbours, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
+from lodestone.llm import chat, mixing, neighbours, ngram_join, packing, pii, quality, secrets, token_counts, toxicity, whitening
 from lodestone.llm.common import documents, table
 
 MIX_FRACTION = 0.6
@@ -53,6 +53,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "epoch", mixing.word_count().alias("n_tokens"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_personal_data": op2_personal_data,
@@ -64,5 +68,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 ORACLES = {"op1_chat_formatting": chat.ORACLE}
