@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, mixing, neighbours, ngram_join, packing, pii, quality, secrets, token_counts, toxicity, variants, whitening
+from lodestone.llm import chat, chosen_path, mixing, neighbours, ngram_join, packing, pii, quality, secrets, token_counts, toxicity, variants, whitening
 from lodestone.llm.common import documents, table
 
 MIX_FRACTION = 0.6
@@ -57,6 +57,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_chosen_path_near_dedup": op12_chosen_path_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op1_chat_formatting": chat.ORACLE}
