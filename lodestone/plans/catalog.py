@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import analysis_queries, graph_queries, ingest_queries, retrieval_queries, state_queries, text_queries, traversal_queries  # noqa: F401
+from lodestone.plans import analysis_queries, graph_queries, ingest_queries, retrieval_queries, state_queries, text_queries, topic_queries, traversal_queries  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
