@@ -10,7 +10,8 @@
    of another component. Any other branches: one coordinate, or in one node of four two, chosen by the node, splits it by
    its classes' minwise tokens. So a pair at the limit goes on into one child on average, and one below into fewer.
    Nodes of up to HELD classes grow their trees within a task; larger ones branch as tables, a level at a time.
-4. Pairs whose signatures agree well enough go to blocks with the whole sets, and only sets decide.
+4. Pairs whose signatures agree well enough leave a tree as a spanning forest, never as pairs. Its clusters go to blocks
+   with the whole sets, where pairs that agree are verified until their labels are joined; only sets decide.
 5. Components of the confirmed links are the result.
 
 Trees are independent, so that the part of links that all of them miss falls with their number. A pair at exactly 80 %
@@ -50,7 +51,7 @@ BAND, BANDS, PROPOSED = 8, 32, 2
 SMALL, HELD = 256, 4096
 #: Levels of a tree within a task, after which a node is compared whole; levels as tables, which no input should reach.
 DEEPEST, LEVELS = 14, 200
-#: Nodes' rows of a bucket, classes and bytes of a part of a cluster, bytes of a bucket of blocks.
+#: Nodes' rows of a bucket, classes of a part of a cluster (more in large ones, by the square root) and its bytes, bytes of a bucket of blocks.
 BUCKET, PART, PART_BYTES, BLOCK_BYTES = 20_000, 256, 8_000_000, 16_000_000
 
 _RANDOM = np.random.default_rng(20_24)
@@ -138,59 +139,95 @@ def buckets_of(spark, n: float, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n) // each))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.
+def confirmed(edges: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join the classes of each cluster of ``edges``, beyond what ``labels`` joins already.
 
-    Clusters of pairs are cut into parts of bounded bytes, pairs meet in the block of their two parts, and a
-    block gets the sets of its own pairs only, each once.
+    Clusters are cut into parts of bounded bytes; where two parts meet, all pairs of different labels whose signatures
+    agree are verified on the whole sets, best agreement first, unless links of this block join them already. So a
+    block gives a spanning forest and no pairs leave it.
     """
     spark = rows.sparkSession
-    clusters = connected_components(pairs)
-    large = clusters.join(sizes.withColumnRenamed("cls", "node"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
-    k = F.greatest(F.ceil(F.col("m") / PART), F.ceil(8 * F.col("all") / PART_BYTES)).cast("int")
-    clusters = cut(clusters.join(large.select("label", k.alias("k")), "label"), "clusters")
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    placed = pairs.join(clusters.withColumnRenamed("node", "a"), "a").withColumns({"pa": part("a"), "pb": part("b")})
-    placed = cut(placed.select("a", "b", F.xxhash64("label", F.least("pa", "pb"), F.greatest("pa", "pb")).alias("block")), "placed")
-    asked = placed.select("block", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    bytes_ = asked.join(sizes, "cls").agg(F.sum(8 * F.col("n"))).first()[0] or 0
-    bucket = F.pmod(F.col("block"), F.lit(buckets_of(spark, bytes_, BLOCK_BYTES))).cast("int").alias("bucket")
-    # Several tasks may send a class with copies: one stays, dealt by what the join needs.
-    sets = asked.join(class_sets(rows, clusters.select("node"), width).dropDuplicates(["cls"]), "cls")
-    all_ = sets.select(bucket, "block", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "s").unionByName(placed.select(bucket, "block", "a", "b", F.lit(None).cast("binary").alias("s")))
+    clusters = connected_components(edges).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    members = clusters.join(classes.select("cls", "n", "sig"), "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    k = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(float(PART)), 4 * F.sqrt("m"))), F.ceil(8 * F.col("all") / PART_BYTES)).cast("int")
+    dealt = cut(members.join(large.select("cluster", k.alias("k")), "cluster"), "clusters")
+    bytes_ = dealt.agg(F.sum((8 * F.col("n") + COORDINATES) * F.col("k"))).first()[0] or 0
+    # Several tasks may send a class with copies: one stays.
+    full = dealt.join(class_sets(rows, dealt.select("cls"), width).dropDuplicates(["cls"]), "cls")
+    blocks = full.withColumn("p", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    block = F.xxhash64("cluster", F.least("p", "o"), F.greatest("p", "o"))
+    bucket = F.pmod(F.col("block"), F.lit(buckets_of(spark, bytes_, BLOCK_BYTES))).cast("int")
+    blocks = blocks.select(block.alias("block"), (F.col("p") == F.col("o")).alias("same"), "p", "cls", "n", "label", "sig", "s")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["s"].notna()
-        sets = {(b, c): np.frombuffer(s, np.uint64) for b, c, s in zip(pdf["block"][own], pdf["a"][own], pdf["s"][own], strict=True)}
+        pdf = pdf.sort_values(["block", "cls"], kind="stable")
+        at, cls, n, label, part = (pdf[c].to_numpy(np.int64) for c in ("block", "cls", "n", "label", "p"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        sets, same = [np.frombuffer(x, np.uint64) for x in pdf["s"]], pdf["same"].to_numpy(bool)
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
         out = []
-        for block, a, b in zip(pdf["block"][~own], pdf["a"][~own], pdf["b"][~own], strict=True):
-            x, y = sets[block, a], sets[block, b]
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) < percent * len(y):
-                continue
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((a, b))
+        for lo, hi in itertools.pairwise([0, *ends.tolist()]):
+            # A block of two parts holds each with its partner; one of a single part holds that alone.
+            of = None if same[lo] else part[lo:hi]
+            out += [(cls[lo + i], cls[lo + j]) for i, j in block_forest(sig[lo:hi], n[lo:hi], label[lo:hi], of, sets[lo:hi], percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return cut(all_.groupBy("bucket").applyInPandas(verify, "a long, b long"), "links")
-
-
-def agreeing(sig: np.ndarray, n: np.ndarray, label: np.ndarray, some: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (i, j), i of ``some``, of different labels and fitting sizes whose signatures agree in AGREE of the coordinates."""
-    out, least = [np.zeros((0, 2), np.int64)], int(np.ceil(AGREE * sig.shape[1]))
-    for i in some.tolist():
-        may = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        yes = may[(sig[may] == sig[i]).sum(1) >= least]
-        out.append(np.stack([np.full(len(yes), i), yes], 1))
-    return np.concatenate(out)
-
-
-def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent: int, small: int = SMALL, deepest: int = DEEPEST) -> set[tuple[int, int]]:
-    """Pairs (i < j) that a node's tree proposes: it branches until nodes are small, which are compared whole."""
-    found: set[tuple[int, int]] = set()
+    return cut(blocks.groupBy(bucket.alias("bucket")).applyInPandas(verify, "a long, b long"), "links")
+
+
+def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class Joined(dict):
+    """Roots of joined numbers."""
+
+    def root(self, i: int) -> int:
+        while i in self:
+            up = self[i]
+            if up in self:
+                self[i] = self[up]
+            i = up
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """False if they were joined already."""
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self[max(i, j)] = min(i, j)
+        return i != j
+
+
+def block_forest(sig: np.ndarray, n: np.ndarray, label: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of a block that join its labels: between its two parts, or within its only one."""
+    found, joined, out = [], Joined(), []
+    for i in range(len(n) - 1):
+        may = agreeing(sig, n, label, i, percent, i + 1)
+        found.append(may if part is None else may[part[may[:, 1]] != part[i]])
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+        if joined.root(int(label[i])) != joined.root(int(label[j])) and links(sets[i], sets[j], percent):
+            joined.join(int(label[i]), int(label[j]))
+            out.append((i, j))
+    return out
+
+
+def agreeing(sig: np.ndarray, n: np.ndarray, label: np.ndarray, i: int, percent: int, first: int = 0) -> np.ndarray:
+    """Rows (i, j, coordinates): classes from ``first`` on of another label and a fitting size whose signatures agree with that of ``i``."""
+    may = first + np.flatnonzero((label[first:] != label[i]) & (100 * np.minimum(n[first:], n[i]) >= percent * np.maximum(n[first:], n[i])))
+    agree = (sig[may] == sig[i]).sum(1)
+    yes = agree >= np.ceil(AGREE * sig.shape[1])
+    return np.stack([np.full(int(yes.sum()), i), may[yes], agree[yes]], 1)
+
+
+def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent: int, small: int = SMALL, deepest: int = DEEPEST) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that a node's tree proposes: it branches until nodes are small, which are compared whole."""
+    joined, out = Joined(), []
     todo = [(np.arange(len(n)), seed, 0)]
     while todo:
         at, node, depth = todo.pop()
@@ -200,8 +237,9 @@ def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent:
         major = np.bincount(own).argmax()
         minor = np.flatnonzero(own != major)
         if len(minor) <= small or depth >= deepest:
-            met = at[agreeing(sig[at], n[at], label[at], minor, percent)]
-            found.update(map(tuple, np.sort(met, axis=1).tolist()))
+            here = (sig[at], n[at], label[at])
+            for i in minor.tolist():
+                out += [(int(at[i]), int(at[j])) for j in agreeing(*here, i, percent)[:, 1].tolist() if joined.join(int(at[i]), int(at[j]))]
             continue
         draw = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF)
         for c in draw.choice(sig.shape[1], 1 + (draw.random() < 0.25), replace=False).tolist():
@@ -211,7 +249,7 @@ def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent:
             for lo, hi in itertools.pairwise([0, *ends.tolist()]):
                 if hi - lo > 1:
                     todo.append((at[by[lo:hi]], hash((node, c, int(values[by[lo]]))), depth + 1))
-    return found
+    return out
 
 
 def nodes_to_grow(classes: DataFrame, labels: DataFrame, held: int, small: int) -> DataFrame:
@@ -245,8 +283,8 @@ def nodes_to_grow(classes: DataFrame, labels: DataFrame, held: int, small: int)
     raise RuntimeError(f"nodes did not become small in {LEVELS} levels")
 
 
-def tree_pairs(classes: DataFrame, labels: DataFrame, percent: int, held: int = HELD, small: int = SMALL) -> DataFrame:
-    """(a, b): pairs of classes of different labels that trees bring together and signatures let pass."""
+def tree_edges(classes: DataFrame, labels: DataFrame, percent: int, held: int = HELD, small: int = SMALL) -> DataFrame:
+    """(a, b): edges that span the pairs of different labels which trees bring together and signatures let pass."""
     rows = cut(nodes_to_grow(classes, labels, held, small), "dealt")
     bucket = F.pmod(F.xxhash64("node", "part"), F.lit(buckets_of(classes.sparkSession, rows.count(), BUCKET))).cast("int")
 
@@ -255,14 +293,15 @@ def tree_pairs(classes: DataFrame, labels: DataFrame, percent: int, held: int =
         node, part, cls, label, n = (pdf[c].to_numpy(np.int64) for c in ("node", "part", "cls", "label", "n"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         ends = np.flatnonzero(np.append((node[1:] != node[:-1]) | (part[1:] != part[:-1]), True)) + 1
-        out: set[tuple[int, int]] = set()
+        joined, out = Joined(), []
         for lo, hi in itertools.pairwise([0, *ends.tolist()]):
-            met = grown(sig[lo:hi], n[lo:hi], label[lo:hi], int(node[lo]), percent, small)
-            out.update((int(cls[lo + i]), int(cls[lo + j])) for i, j in met)
-        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+            for i, j in grown(sig[lo:hi], n[lo:hi], label[lo:hi], int(node[lo]), percent, small):
+                a, b = int(cls[lo + i]), int(cls[lo + j])
+                if joined.join(a, b):
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    found = rows.groupBy(bucket.alias("bucket")).applyInPandas(grow, "a long, b long")
-    return cut(found.distinct(), "pairs")
+    return cut(rows.groupBy(bucket.alias("bucket")).applyInPandas(grow, "a long, b long"), "edges")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, held: int = HELD, small: int = SMALL) -> DataFrame:
@@ -272,10 +311,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("b"))
     seen = cut(described(rows, width), "described")
     classes = cut(seen.where(F.col("sig").isNotNull()).select("cls", "n", "sig", "roots").dropDuplicates(["cls"]), "classes")
-    sizes = classes.select("cls", "n")
-    close = confirmed(cut(proposed(classes), "proposed"), rows, sizes, width, percent)
+    alone = classes.select("cls", F.col("cls").alias("label")).limit(0)
+    close = confirmed(cut(proposed(classes), "proposed"), alone, rows, classes, width, percent)
     labels = connected_components(close).withColumnRenamed("node", "cls")
-    far = confirmed(tree_pairs(classes, labels, percent, held, small), rows, sizes, width, percent)
+    far = confirmed(tree_edges(classes, labels, percent, held, small), labels, rows, classes, width, percent)
     # Texts of one id belong together as well.
     full = seen.where(F.col("cls").isNotNull()).select("id", "cls")
     several = full.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("id", "a")
