@@ -151,25 +151,20 @@ _OPP = "list_filter([" + ", ".join(f"CASE WHEN ({_hit('tx', p)} AND {_hit('ty',
 
 
 def conflict_texts(spark, sf):
-    return results(spark, sf).withColumn("text", F.concat(F.expr(_CTEXT), F.substring("text", 1, 200)))
-
-
-def whole_conflict_texts(spark, sf):
     return results(spark, sf).withColumn("text", F.concat(F.expr(_CTEXT), "text"))
 
 
-@query("conflict_detect", f"""WITH {R}, d AS (SELECT * REPLACE (concat({_CTEXT}, substr(text, 1, 200)) AS text) FROM results), {_IT('entities')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id < j.doc_id),
+_DETECT_SQL = f"""WITH {R}, d AS (SELECT * REPLACE (concat({_CTEXT}, text) AS text) FROM results), {_IT('entities')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id < j.doc_id),
  z AS (SELECT a, b, x.text AS tx, y.text AS ty, {_J('entities')} AS shared, least(x.source_type, y.source_type) || '/' || greatest(x.source_type, y.source_type) AS types, abs(x.created_day - y.created_day) AS days, x.project_id IS NOT DISTINCT FROM y.project_id AS same FROM p JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE length(x.text) >= 10 AND length(y.text) >= 10 AND x.text <> y.text),
  c AS (SELECT a, b, shared, {_COUNT('tx')} + {_COUNT('ty')} AS said, CASE WHEN days > 365 THEN 3 ELSE 0 END + CASE types WHEN 'confluence/git' THEN 2 WHEN 'confluence/jira' THEN 1 ELSE 0 END + CASE WHEN same THEN 0 ELSE 1 END AS w, array_to_string({_OPP}, ',') AS opposites FROM z),
  o AS (SELECT a, b, round(CASE WHEN shared > 0.3 AND said > 0 THEN least(1.0, shared * said / 10) ELSE 0.0 END, 6) AS text_confidence, round(CASE WHEN w > 2 THEN w / 10 ELSE 0.0 END, 6) AS metadata_weight, opposites FROM c)
-SELECT *, CASE WHEN opposites <> '' THEN 'procedural' WHEN text_confidence > 0 THEN 'general' ELSE 'metadata' END AS category FROM o WHERE text_confidence > 0 OR metadata_weight > 0 OR opposites <> ''""")
-def conflict_detect(spark, sf):
-    return conflicts.detect(conflict_texts(spark, sf))
+SELECT *, CASE WHEN opposites <> '' THEN 'procedural' WHEN text_confidence > 0 THEN 'general' ELSE 'metadata' END AS category FROM o WHERE text_confidence > 0 OR metadata_weight > 0 OR opposites <> ''"""
 
 
-@query("conflict_detect_whole")
-def conflict_detect_whole(spark, sf):
-    return conflicts.detect(whole_conflict_texts(spark, sf))
+@query("conflict_detect", _DETECT_SQL)
+@query("conflict_detect_whole", _DETECT_SQL)
+def conflict_detect(spark, sf):
+    return conflicts.detect(conflict_texts(spark, sf))
 
 
 _BAND = "v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), b AS (SELECT x.doc_id AS a, y.doc_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM v x JOIN v y USING (label) WHERE x.doc_id < y.doc_id), t AS (SELECT *, CASE WHEN score >= 0.8 THEN 'primary' WHEN score >= 0.5 THEN 'secondary' ELSE 'tertiary' END AS tier FROM b WHERE score BETWEEN 0.3 AND 0.95)"
@@ -185,11 +180,10 @@ def tier_caps(spark, sf):
     return conflicts.capped_by_tier(conflicts.vector_band(points(spark, sf), 0.3), {"primary": 12, "secondary": 8, "tertiary": 4})
 
 
-@query("conflict_snippets", f"WITH {R}, d AS (SELECT doc_id, concat({_CTEXT}, substr(text, 1, 200)) AS text FROM results) SELECT doc_id, CASE WHEN contains(lower(text), 'enable') THEN substr(text, greatest(1, instr(lower(text), 'enable') - 40), 86) END AS snippet FROM d")
-def snippets(spark, sf):
-    return conflict_texts(spark, sf).select("doc_id", conflicts.snippet(F.col("text"), "enable").alias("snippet"))
+_SNIPPETS_SQL = f"WITH {R}, d AS (SELECT doc_id, concat({_CTEXT}, text) AS text FROM results) SELECT doc_id, CASE WHEN contains(lower(text), 'enable') THEN substr(text, greatest(1, instr(lower(text), 'enable') - 40), 86) END AS snippet FROM d"
 
 
-@query("conflict_snippets_whole")
-def snippets_whole(spark, sf):
-    return whole_conflict_texts(spark, sf).select("doc_id", conflicts.snippet(F.col("text"), "enable").alias("snippet"))
+@query("conflict_snippets", _SNIPPETS_SQL)
+@query("conflict_snippets_whole", _SNIPPETS_SQL)
+def snippets(spark, sf):
+    return conflict_texts(spark, sf).select("doc_id", conflicts.snippet(F.col("text"), "enable").alias("snippet"))

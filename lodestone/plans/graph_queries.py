@@ -46,22 +46,9 @@ def most_cited(spark, sf):
     return graph.degrees(citations(spark, sf)).where("cited > 0").orderBy(F.desc("cited"), "node").limit(10).select("node", "cited")
 
 
-def _rank_sql(rounds):
-    ctes, last = [], "r0"
-    for k in range(1, rounds + 1):
-        ctes.append(f"r{k} AS (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM nd) + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM {last} WHERE node NOT IN (SELECT src FROM ot)) / (SELECT count(*) FROM nd)) AS rank FROM nd n LEFT JOIN (SELECT dst, sum(rank * p) AS got FROM sh JOIN {last} ON {last}.node = src GROUP BY dst) g ON g.dst = n.node)")
-        last = f"r{k}"
-    return f"WITH {R}, {_CITE}, nd AS (SELECT doc_id AS node FROM results), ot AS (SELECT src, sum(weight) AS total FROM ce GROUP BY 1), sh AS (SELECT src, dst, weight / total AS p FROM ce JOIN ot USING (src)), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd), {', '.join(ctes)} SELECT node, round(rank, 9) AS rank FROM {last}"
-
-
-@query("citation_page_rank", _rank_sql(4))
-def page_rank(spark, sf):
-    nodes = results(spark, sf).select(F.col("doc_id").alias("node"))
-    return graph.page_rank(nodes, cut(citations(spark, sf)), rounds=4, cut=cut).select("node", F.round("rank", 9).alias("rank"))
-
-
+@query("citation_page_rank", None)
 @query("citation_page_rank_whole", None)
-def page_rank_whole(spark, sf):
+def page_rank(spark, sf):
     nodes = results(spark, sf).select(F.col("doc_id").alias("node"))
     rank = graph.page_rank(nodes, cut(citations(spark, sf)), graph.MOST_ROUNDS, cut=cut, tolerance=graph.RANK_TOLERANCE)
     return rank.select("node", F.round("rank", 9).alias("rank"))

@@ -9,16 +9,11 @@ from lodestone.plans.model import R, results
 from lodestone.plans.registry import query
 from lodestone.session import table
 
-N_QUERIES = 10
-#: The queries: the first 60 characters of the first benchmark items, a stated small table.
-_Q = f"q AS (SELECT item_id AS query_id, substr(text, 1, 60) AS text FROM benchmark WHERE item_id < {N_QUERIES})"
+#: The queries: every benchmark item whose id is divisible by 20, with its whole text.
+_Q = "q AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark WHERE item_id % 20 = 0)"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 
 
-def batch(spark, sf):
-    return table(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-
-
 def whole_batch(spark, sf):
     """Every benchmark item whose id is divisible by 20, with its whole text."""
     return table(spark, sf, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -37,24 +32,20 @@ _BM = f"""len AS (SELECT doc_id, sum(tf) AS len FROM dt GROUP BY 1), fact AS (SE
  bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm0 WHERE score > 0)"""
 
 
-@query("search_sparse", f"WITH {_SPARSE} SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM sp WHERE rank <= 20")
-def sparse(spark, sf):
-    return _long(retrieval.sparse(batch(spark, sf), results(spark, sf), 20))
+_SPARSE_SQL = f"WITH {_SPARSE} SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM sp WHERE rank <= 20"
+_BM_SQL = f"WITH {_TOK}, {_BM} SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM bm WHERE rank <= 20"
 
 
-@query("search_bm25", f"WITH {_TOK}, {_BM} SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM bm WHERE rank <= 20")
-def bm25(spark, sf):
-    return _long(retrieval.bm25(batch(spark, sf), results(spark, sf), 20))
-
-
-@query("search_sparse_whole")
-def sparse_whole(spark, sf):
+@query("search_sparse", _SPARSE_SQL)
+@query("search_sparse_whole", _SPARSE_SQL)
+def sparse(spark, sf):
     d = results(spark, sf)
     return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.sparse(q, d, 20)))
 
 
-@query("search_bm25_whole")
-def bm25_whole(spark, sf):
+@query("search_bm25", _BM_SQL)
+@query("search_bm25_whole", _BM_SQL)
+def bm25(spark, sf):
     d = results(spark, sf)
     return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.bm25(q, d, 20)))
 
@@ -75,34 +66,24 @@ def points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("v"))
 
 
-@query("search_dense", f"""WITH {_VEC}, h AS (SELECT q.doc_id AS query_id, p.doc_id, round(list_inner_product(p.v, q.v), 6) AS score FROM u p, u q WHERE q.doc_id < {N_QUERIES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score >= 0.1)
-SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10""")
-def dense(spark, sf):
-    p = points(spark, sf)
-    q = p.where(F.col("doc_id") < N_QUERIES).select(F.col("doc_id").alias("query_id"), "v")
-    hits = retrieval.dense(q, p, 10, 0.1)
-    return _long(hits.withColumn("score", F.round("score", 6)))
-
-
-@query("search_dense_filtered", f"""WITH {_VEC}, h AS (SELECT q.doc_id AS query_id, p.doc_id, list_inner_product(p.v, q.v) AS score FROM u p, u q WHERE q.doc_id < {N_QUERIES} AND p.label IN (1, 3)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10""")
-def dense_filtered(spark, sf):
-    p = points(spark, sf)
-    q = p.where(F.col("doc_id") < N_QUERIES).select(F.col("doc_id").alias("query_id"), "v")
-    return _long(retrieval.dense(q, p, 10, where=F.col("label").isin(1, 3)).withColumn("score", F.round("score", 6)))
-
-
 def whole_vectors(spark, sf):
     return points(spark, sf).where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "v")
 
 
-@query("search_dense_whole")
-def dense_whole(spark, sf):
+_DENSE_SQL = f"""WITH {_VEC}, h AS (SELECT q.doc_id AS query_id, p.doc_id, list_inner_product(p.v, q.v) AS exact, round(list_inner_product(p.v, q.v), 6) AS score FROM u p, u q WHERE q.doc_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE exact >= 0.1)
+SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10"""
+_FILTERED_SQL = _DENSE_SQL.replace("% 20 = 0)", "% 20 = 0 AND p.label IN (1, 3))").replace(" WHERE exact >= 0.1", "")
+
+
+@query("search_dense", _DENSE_SQL)
+@query("search_dense_whole", _DENSE_SQL)
+def dense(spark, sf):
     return _long(retrieval.dense_blocks(whole_vectors(spark, sf), points(spark, sf), 10, 0.1))
 
 
-@query("search_dense_filtered_whole")
-def dense_filtered_whole(spark, sf):
+@query("search_dense_filtered", _FILTERED_SQL)
+@query("search_dense_filtered_whole", _FILTERED_SQL)
+def dense_filtered(spark, sf):
     return _long(retrieval.dense_blocks(whole_vectors(spark, sf), points(spark, sf), 10, where=F.col("label").isin(1, 3)))
 
 
@@ -112,60 +93,50 @@ _LISTS = f"""{_SPARSE}, {_BM}, v AS (SELECT query_id, doc_id, rank AS vr, score
 
 
 def lists(spark, sf):
-    d, q = results(spark, sf), batch(spark, sf)
-    return retrieval.sparse(q, d, 30), retrieval.bm25(q, d, 30)
+    d, q = results(spark, sf), whole_batch(spark, sf)
+    return retrieval.in_blocks(q, lambda b: retrieval.sparse(b, d, 30)), retrieval.in_blocks(q, lambda b: retrieval.bm25(b, d, 30))
+
 
+_SEARCH_HYBRID_WRRF_SQL = f"WITH {_LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(rrf, 9) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10"
 
-@query("search_hybrid_wrrf", f"WITH {_LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(rrf, 9) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10")
+
+@query("search_hybrid_wrrf", _SEARCH_HYBRID_WRRF_SQL)
+@query("search_hybrid_wrrf_whole", _SEARCH_HYBRID_WRRF_SQL)
 def hybrid(spark, sf):
     fused = fusion.wrrf(*lists(spark, sf), 0.6, 0.3).withColumn("score", F.round("score", 9))
     return _long(retrieval.top_k(fused, 10).select("query_id", "doc_id", "score", "rank"))
 
 
-def whole_lists(spark, sf):
-    d, q = results(spark, sf), whole_batch(spark, sf)
-    return retrieval.in_blocks(q, lambda b: retrieval.sparse(b, d, 30)), retrieval.in_blocks(q, lambda b: retrieval.bm25(b, d, 30))
-
-
-@query("search_hybrid_wrrf_whole")
-def hybrid_whole(spark, sf):
-    fused = fusion.wrrf(*whole_lists(spark, sf), 0.6, 0.3).withColumn("score", F.round("score", 9))
-    return _long(retrieval.top_k(fused, 10).select("query_id", "doc_id", "score", "rank"))
+_FUSION_MODES_AND_THRESHOLD_SQL = f"""WITH {_LISTS}, s AS (SELECT query_id, doc_id, CASE WHEN n >= 10 THEN 'wrrf' ELSE 'linear' END AS mode, round(CASE WHEN n >= 10 THEN rrf ELSE 0.6 * vs + 0.3 * ks END, 9) AS score, CASE WHEN n >= 10 THEN 0.3 * 0.9 / 61 ELSE 0.3 END AS least FROM f)
+SELECT query_id, doc_id, mode, score FROM s WHERE score > least"""
 
 
-@query("fusion_modes_and_threshold", f"""WITH {_LISTS}, s AS (SELECT query_id, doc_id, CASE WHEN n >= 10 THEN 'wrrf' ELSE 'linear' END AS mode, round(CASE WHEN n >= 10 THEN rrf ELSE 0.6 * vs + 0.3 * ks END, 9) AS score, CASE WHEN n >= 10 THEN 0.3 * 0.9 / 61 ELSE 0.3 END AS least FROM f)
-SELECT query_id, doc_id, mode, score FROM s WHERE score > least""")
+@query("fusion_modes_and_threshold", _FUSION_MODES_AND_THRESHOLD_SQL)
+@query("fusion_modes_and_threshold_whole", _FUSION_MODES_AND_THRESHOLD_SQL)
 def fusion_modes(spark, sf):
     return fusion.combined(*lists(spark, sf), 0.6, 0.3, 0.3)
 
 
-@query("fusion_modes_and_threshold_whole")
-def fusion_modes_whole(spark, sf):
-    return fusion.combined(*whole_lists(spark, sf), 0.6, 0.3, 0.3)
+_FUSION_LINEAR_SCORES_SQL = f"""WITH {_LISTS}, w AS (SELECT query_id, doc_id, 0.6 * vs + 0.3 * ks + 0.1 * (doc_id % 10) AS raw FROM m) SELECT query_id, doc_id, CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN round(raw / max(raw) OVER (PARTITION BY query_id), 9) ELSE 0.0 END AS score FROM w"""
 
 
-@query("fusion_linear_scores", f"""WITH {_LISTS}, w AS (SELECT query_id, doc_id, 0.6 * vs + 0.3 * ks + 0.1 * (doc_id % 10) AS raw FROM m) SELECT query_id, doc_id, CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN round(raw / max(raw) OVER (PARTITION BY query_id), 9) ELSE 0.0 END AS score FROM w""")
+@query("fusion_linear_scores", _FUSION_LINEAR_SCORES_SQL)
+@query("fusion_linear_scores_whole", _FUSION_LINEAR_SCORES_SQL)
 def fusion_linear(spark, sf):
     return linear(lists(spark, sf))
 
 
-@query("fusion_linear_scores_whole")
-def fusion_linear_whole(spark, sf):
-    return linear(whole_lists(spark, sf))
-
-
 def linear(both):
     m = fusion.merge(*both).select("query_id", "doc_id", F.coalesce("vs", F.lit(0.0)).alias("vs"), F.coalesce("ks", F.lit(0.0)).alias("ks"), (F.col("doc_id") % 10).alias("ms"))
     return fusion.linear_scores(m, 0.6, 0.3, 0.1).select("query_id", "doc_id", "score")
 
 
-@query("fusion_min_max", f"""WITH {_SPARSE}, t AS (SELECT query_id, doc_id, score FROM sp WHERE rank <= 50) SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 9) ELSE 0.0 END AS scaled FROM t WINDOW w AS (PARTITION BY query_id)""")
-def fusion_min_max(spark, sf):
-    return fusion.min_max(retrieval.sparse(batch(spark, sf), results(spark, sf), 50), "score", "query_id").select("query_id", "doc_id", "scaled")
+_FUSION_MIN_MAX_SQL = f"""WITH {_SPARSE}, t AS (SELECT query_id, doc_id, score FROM sp WHERE rank <= 50) SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 9) ELSE 0.0 END AS scaled FROM t WINDOW w AS (PARTITION BY query_id)"""
 
 
-@query("fusion_min_max_whole")
-def fusion_min_max_whole(spark, sf):
+@query("fusion_min_max", _FUSION_MIN_MAX_SQL)
+@query("fusion_min_max_whole", _FUSION_MIN_MAX_SQL)
+def fusion_min_max(spark, sf):
     d = results(spark, sf)
     hits = retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.sparse(q, d, 50))
     return fusion.min_max(hits, "score", "query_id").select("query_id", "doc_id", "scaled")
@@ -207,15 +178,14 @@ def diversity(spark, sf):
     return fusion.diversify(hits.select("query_id", "doc_id", "score", "source_type", "section_type", "source"), 0.5, 20)
 
 
-@query("result_rerank", rf"""WITH {_SPARSE}, w AS (SELECT s.query_id, s.doc_id, s.score, list_distinct(regexp_extract_all(lower(q.text), '\w+')) AS qw, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 1000)), '\w+')) AS dw, d.text FROM sp s JOIN q USING (query_id) JOIN docs d ON d.doc_id = s.doc_id WHERE rank <= 30),
+_RESULT_RERANK_SQL = rf"""WITH {_SPARSE}, w AS (SELECT s.query_id, s.doc_id, s.score, list_distinct(regexp_extract_all(lower(q.text), '\w+')) AS qw, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 1000)), '\w+')) AS dw, d.text FROM sp s JOIN q USING (query_id) JOIN docs d ON d.doc_id = s.doc_id WHERE rank <= 30),
  r AS (SELECT query_id, doc_id, round(len(list_intersect(qw, dw)) / greatest(len(qw), 1), 6) AS rerank_score, score FROM w WHERE trim(text) <> ''), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, doc_id) AS rank FROM r)
-SELECT query_id, doc_id, rerank_score, CAST(rank AS BIGINT) AS rank FROM o WHERE rank <= 10""")
-def rerank(spark, sf):
-    return reranked(results(spark, sf), batch(spark, sf))
+SELECT query_id, doc_id, rerank_score, CAST(rank AS BIGINT) AS rank FROM o WHERE rank <= 10"""
 
 
-@query("result_rerank_whole")
-def rerank_whole(spark, sf):
+@query("result_rerank", _RESULT_RERANK_SQL)
+@query("result_rerank_whole", _RESULT_RERANK_SQL)
+def rerank(spark, sf):
     d = results(spark, sf)
     return retrieval.in_blocks(whole_batch(spark, sf), lambda q: reranked(d, q))
 
@@ -234,17 +204,17 @@ def field_query(spark, sf):
 
 
 _KNOWN = rf'\b(?:{"|".join(understanding.FIELDS)}):(?:"[^"]+"|[^\s"]+)'
-_ASK = "concat('source_type:git title:\"API Docs\" colour:red ', substr(text, 1, 30), ' chunk_index:3')"
+_ASK = "concat('source_type:git title:\"API Docs\" colour:red ', coalesce(text, ''), ' chunk_index:3')"
 
 
 @query("query_parse_fields", rf"""WITH q AS (SELECT item_id, {_ASK} AS t FROM benchmark) SELECT item_id, array_to_string(list_transform(regexp_extract_all(t, '{_KNOWN}'), x -> replace(x, '"', '')), ';') AS fields, trim(regexp_replace(regexp_replace(t, '{_KNOWN}', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS clean FROM q""")
 def parse_fields(spark, sf):
-    q = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit('source_type:git title:"API Docs" colour:red '), F.substring("text", 1, 30), F.lit(" chunk_index:3")).alias("t"))
+    q = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit('source_type:git title:"API Docs" colour:red '), F.coalesce("text", F.lit("")), F.lit(" chunk_index:3")).alias("t"))
     return understanding.parse_table(q, "t").select("item_id", F.array_join("fields", ";").alias("fields"), "clean")
 
 
 _PREF = ", ".join(rf"regexp_matches(lower(t), '\b({'|'.join(w)})\b') AS {k}" for k, w in understanding.PREFERENCES.items())
-_ASK2 = "concat(CASE item_id % 4 WHEN 0 THEN 'how does the api code fail? ' WHEN 1 THEN 'business requirements and goals ' WHEN 2 THEN 'What is the overview table ' ELSE 'fix setup guide error ' END, substr(text, 1, 12))"
+_ASK2 = "concat(CASE item_id % 4 WHEN 0 THEN 'how does the api code fail? ' WHEN 1 THEN 'business requirements and goals ' WHEN 2 THEN 'What is the overview table ' ELSE 'fix setup guide error ' END, coalesce(text, ''))"
 
 
 @query("query_context", rf"""WITH q AS (SELECT item_id, {_ASK2} AS t FROM benchmark) SELECT item_id, contains(t, '?') OR regexp_matches(lower(t), '^\s*({'|'.join(understanding.QUESTION_WORDS)})\b') AS is_question,

@@ -1,6 +1,6 @@
 from lodestone.operators import fusion, graph, search
 from lodestone.plans.model import results
-from lodestone.plans.retrieval_queries import batch
+from lodestone.plans.retrieval_queries import whole_batch as batch
 from pyspark.sql import functions as F
 
 
