@@ -10,8 +10,9 @@
    of another component. Any other branches: one coordinate, or in one node of four two, chosen by the node, splits it by
    its classes' minwise tokens. So a pair at the limit goes on into one child on average, and one below into fewer.
    Nodes of up to HELD classes grow their trees within a task; larger ones branch as tables, a level at a time.
-4. Pairs whose signatures agree well enough leave a tree as a spanning forest, never as pairs. Its clusters go to blocks
-   with the whole sets, where pairs that agree are verified until their labels are joined; only sets decide.
+4. Pairs whose signatures agree well enough leave a tree as edges that span their components, never as pairs. The classes
+   that met go to blocks with their whole sets, where pairs that agree are verified until their components are joined;
+   only sets decide.
 5. Components of the confirmed links are the result.
 
 Trees are independent, so that the part of links that all of them miss falls with their number. A pair at exactly 80 %
@@ -139,16 +140,16 @@ def buckets_of(spark, n: float, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n) // each))
 
 
-def confirmed(edges: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): confirmed links that join the classes of each cluster of ``edges``, beyond what ``labels`` joins already.
+def confirmed(edges: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between the classes of ``members`` (cls, label) whose labels ``edges`` brings into one cluster.
 
     Clusters are cut into parts of bounded bytes; where two parts meet, all pairs of different labels whose signatures
     agree are verified on the whole sets, best agreement first, unless links of this block join them already. So a
     block gives a spanning forest and no pairs leave it.
     """
     spark = rows.sparkSession
-    clusters = connected_components(edges).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-    members = clusters.join(classes.select("cls", "n", "sig"), "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    clusters = connected_components(edges).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    members = members.join(clusters, "label").join(classes.select("cls", "n", "sig"), "cls")
     large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     k = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(float(PART)), 4 * F.sqrt("m"))), F.ceil(8 * F.col("all") / PART_BYTES)).cast("int")
     dealt = cut(members.join(large.select("cluster", k.alias("k")), "cluster"), "clusters")
@@ -225,9 +226,12 @@ def agreeing(sig: np.ndarray, n: np.ndarray, label: np.ndarray, i: int, percent:
     return np.stack([np.full(int(yes.sum()), i), may[yes], agree[yes]], 1)
 
 
-def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent: int, small: int = SMALL, deepest: int = DEEPEST) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that a node's tree proposes: it branches until nodes are small, which are compared whole."""
-    joined, out = Joined(), []
+def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent: int, small: int = SMALL, deepest: int = DEEPEST) -> tuple[list[tuple[int, int]], set[int]]:
+    """(edges, met) of a node's tree: pairs of labels that span all it proposes, and the classes that met one of another label.
+
+    The tree branches until nodes are small, which are compared whole.
+    """
+    joined, edges, met = Joined(), [], set()
     todo = [(np.arange(len(n)), seed, 0)]
     while todo:
         at, node, depth = todo.pop()
@@ -239,7 +243,12 @@ def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent:
         if len(minor) <= small or depth >= deepest:
             here = (sig[at], n[at], label[at])
             for i in minor.tolist():
-                out += [(int(at[i]), int(at[j])) for j in agreeing(*here, i, percent)[:, 1].tolist() if joined.join(int(at[i]), int(at[j]))]
+                near = agreeing(*here, i, percent)[:, 1]
+                if len(near):
+                    met.add(int(at[i]))
+                    met.update(at[near].tolist())
+                    a = int(label[at[i]])
+                    edges += [(a, b) for b in np.unique(label[at[near]]).tolist() if joined.join(a, b)]
             continue
         draw = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF)
         for c in draw.choice(sig.shape[1], 1 + (draw.random() < 0.25), replace=False).tolist():
@@ -249,7 +258,7 @@ def grown(sig: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int, percent:
             for lo, hi in itertools.pairwise([0, *ends.tolist()]):
                 if hi - lo > 1:
                     todo.append((at[by[lo:hi]], hash((node, c, int(values[by[lo]]))), depth + 1))
-    return out
+    return edges, met
 
 
 def nodes_to_grow(classes: DataFrame, labels: DataFrame, held: int, small: int) -> DataFrame:
@@ -283,8 +292,8 @@ def nodes_to_grow(classes: DataFrame, labels: DataFrame, held: int, small: int)
     raise RuntimeError(f"nodes did not become small in {LEVELS} levels")
 
 
-def tree_edges(classes: DataFrame, labels: DataFrame, percent: int, held: int = HELD, small: int = SMALL) -> DataFrame:
-    """(a, b): edges that span the pairs of different labels which trees bring together and signatures let pass."""
+def tree_edges(classes: DataFrame, labels: DataFrame, percent: int, held: int = HELD, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(a, b): edges that span the labels which trees bring together and signatures let pass, and (cls, label): the classes by which they met."""
     rows = cut(nodes_to_grow(classes, labels, held, small), "dealt")
     bucket = F.pmod(F.xxhash64("node", "part"), F.lit(buckets_of(classes.sparkSession, rows.count(), BUCKET))).cast("int")
 
@@ -293,15 +302,15 @@ def tree_edges(classes: DataFrame, labels: DataFrame, percent: int, held: int =
         node, part, cls, label, n = (pdf[c].to_numpy(np.int64) for c in ("node", "part", "cls", "label", "n"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         ends = np.flatnonzero(np.append((node[1:] != node[:-1]) | (part[1:] != part[:-1]), True)) + 1
-        joined, out = Joined(), []
+        joined, out, met = Joined(), [], {}
         for lo, hi in itertools.pairwise([0, *ends.tolist()]):
-            for i, j in grown(sig[lo:hi], n[lo:hi], label[lo:hi], int(node[lo]), percent, small):
-                a, b = int(cls[lo + i]), int(cls[lo + j])
-                if joined.join(a, b):
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            edges, classes_met = grown(sig[lo:hi], n[lo:hi], label[lo:hi], int(node[lo]), percent, small)
+            out += [("edge", a, b) for a, b in edges if joined.join(a, b)]
+            met.update((int(cls[lo + i]), int(label[lo + i])) for i in classes_met)
+        return pd.DataFrame(out + [("met", c, x) for c, x in met.items()], columns=["kind", "a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    return cut(rows.groupBy(bucket.alias("bucket")).applyInPandas(grow, "a long, b long"), "edges")
+    found = cut(rows.groupBy(bucket.alias("bucket")).applyInPandas(grow, "kind string, a long, b long").distinct(), "edges")
+    return found.where("kind = 'edge'").select("a", "b"), found.where("kind = 'met'").select(F.col("a").alias("cls"), F.col("b").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, held: int = HELD, small: int = SMALL) -> DataFrame:
@@ -311,10 +320,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("b"))
     seen = cut(described(rows, width), "described")
     classes = cut(seen.where(F.col("sig").isNotNull()).select("cls", "n", "sig", "roots").dropDuplicates(["cls"]), "classes")
-    alone = classes.select("cls", F.col("cls").alias("label")).limit(0)
-    close = confirmed(cut(proposed(classes), "proposed"), alone, rows, classes, width, percent)
+    near = cut(proposed(classes), "proposed")
+    alone = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("label", F.col("cls"))
+    close = confirmed(near, alone, rows, classes, width, percent)
     labels = connected_components(close).withColumnRenamed("node", "cls")
-    far = confirmed(tree_edges(classes, labels, percent, held, small), labels, rows, classes, width, percent)
+    far = confirmed(*tree_edges(classes, labels, percent, held, small), rows, classes, width, percent)
     # Texts of one id belong together as well.
     full = seen.where(F.col("cls").isNotNull()).select("id", "cls")
     several = full.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("id", "a")

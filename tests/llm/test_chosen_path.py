@@ -109,5 +109,6 @@ def test_texts_of_one_id_join_their_components(spark):
 def test_a_tree_ends_where_signatures_are_equal():
     n = 40
     sig, size, label = np.zeros((n, 256), np.uint8), np.full(n, 9), np.arange(n)
-    assert len(chosen_path.grown(sig, size, label, 1, 80, small=4, deepest=3)) == n - 1
-    assert chosen_path.grown(sig, size, np.zeros(n, int), 1, 80) == []
+    edges, met = chosen_path.grown(sig, size, label, 1, 80, small=4, deepest=3)
+    assert len(edges) == n - 1 and met == set(range(n))
+    assert chosen_path.grown(sig, size, np.zeros(n, int), 1, 80) == ([], set())
