@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import facets, fusion, query as understanding, retrieval
+from lodestone.operators import facets, fusion, postings, query as understanding, retrieval
 from lodestone.plans.model import R, results
 from lodestone.plans.registry import query
 from lodestone.session import table
+from lodestone.storage import folder
 
 #: The queries: every benchmark item whose id is divisible by 20, with its whole text.
 _Q = "q AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark WHERE item_id % 20 = 0)"
@@ -50,6 +51,13 @@ def bm25(spark, sf):
     return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: retrieval.bm25(q, d, 20)))
 
 
+@query("search_bm25_stored", _BM_SQL)
+def bm25_stored(spark, sf):
+    path = folder(spark, "postings")
+    postings.build(results(spark, sf), path)
+    return _long(retrieval.in_blocks(whole_batch(spark, sf), lambda q: postings.bm25(spark, path, q, 20)))
+
+
 def _long(df):
     return df.withColumn("rank", F.col("rank").cast("long"))
 

@@ -6,14 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; below a folder of our own only where that is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -21,6 +20,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
         at = _OWN[0]
-    path = f"{at.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
