@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jaccard
-from lodestone.operators.similarity import _low, sharing_pairs, with_sides
+from lodestone.operators.similarity import _low, items, sharing_pairs, with_sides
+from lodestone.storage import cut
 
 # Title words that tell a document's part in a project.
 REQUIREMENTS = ("requirements", "specification", "user story", "feature", "functional")
@@ -43,6 +44,7 @@ BUSINESS = ("business", "user", "requirements", "workflow", "process", "feature"
 TECHNICAL = ("technical", "architecture", "api", "implementation", "code", "development")
 FEATURE = ("feature", "functionality")
 SECURITY = ("security", "authentication", "authorization", "compliance", "audit")
+# Words of domains, and of patterns of architecture.
 DOMAINS = (
     ("healthcare", "medical", "patient", "clinical"),
     ("finance", "payment", "banking", "financial"),
@@ -60,7 +62,9 @@ PATTERNS = (
     ("cache", "caching", "redis", "memory"),
     ("monitoring", "logging", "observability", "metrics"),
 )
+# Technologies that two titles may share, and those of them that count as none where their number matters.
 TECHNOLOGIES = ("react", "angular", "vue", "node", "node.js", "python", "java", "golang", "docker", "kubernetes", "aws", "azure", "gcp", "postgres", "mysql", "mongodb", "jwt", "oauth", "rest", "graphql", "grpc")
+UNCOUNTED = ("golang", "gcp", "rest", "graphql", "grpc")
 # Phrases that point to a conflict, and phrases that contradict each other.
 INDICATORS = ("should not", "avoid", "deprecated", "recommended", "best practice", "anti-pattern", "wrong", "correct", "instead", "better", "worse")
 OPPOSITES = (("must", "must not"), ("always", "never"), ("enable", "disable"), ("allow", "deny"), ("required", "optional"), ("supported", "unsupported"), ("should", "should not"))
@@ -88,34 +92,68 @@ def challenges(title: Column) -> Column:
     return F.filter(F.array(*[F.when(has_any(title, w), F.lit(k)) for k, w in enumerate(CHALLENGES)]), lambda x: x.isNotNull())
 
 
-def _either(t: Column, c: Column, some: tuple[str, ...], others: tuple[str, ...]) -> Column:
-    return (has_any(t, some) & has_any(c, others)) | (has_any(t, others) & has_any(c, some))
+#: Word groups of a title by their bit: those that make a pair where one title holds some and the other the rest, those that two
+#: titles must both hold, and technologies, all of them and those that are counted.
+SIDES = (REQUIREMENTS, IMPLEMENTATION, BUSINESS, TECHNICAL, FEATURE, SECURITY)
+NAMED = tuple((w,) for w in TECHNOLOGIES)
+COUNTED = sum(1 << k for k, w in enumerate(TECHNOLOGIES) if w not in UNCOUNTED)
 
 
-def _both(t: Column, c: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
-    return reduce(lambda a, b: a | b, [has_any(t, g) & has_any(c, g) for g in groups])
+def held(title: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """The word groups of which a title holds a word, a bit for each."""
+    return reduce(lambda a, b: a + b, [F.when(has_any(title, g), F.lit(1 << k)).otherwise(F.lit(0)) for k, g in enumerate(groups)])
 
 
-def complementary(results: DataFrame, k: int, least: float = 0.15) -> DataFrame:
-    """The best complements of every result, among those that share a topic: (a, b, score, reason).
+def described(results: DataFrame) -> DataFrame:
+    """What complements look at, once a document: (doc_id, f)."""
+    t = F.coalesce("source_title", F.lit(""))
+    words = F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
+    kinds = {name: k for k, name in enumerate(dict.fromkeys(["general", *[name for name, _ in TYPES]]))}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), document_type(t))
+    masks = {"sides": SIDES, "challenges": CHALLENGES, "domains": DOMAINS, "patterns": PATTERNS, "named": NAMED}
+    return results.select("doc_id", F.struct(
+        "project_id", _low("topics").alias("topics"), _low("entities").alias("entities"), words.alias("words"), abstraction_level(t).alias("level"), kind.alias("kind"),
+        *[held(t, g).alias(k) for k, g in masks.items()],
+    ).alias("f"))
+
+
+def complementary(results: DataFrame, k: int, least: float = 0.15, targets: DataFrame | None = None) -> DataFrame:
+    """The best complements of every result, or of those whose ids ``targets`` (doc_id) holds, among those that share a topic:
+    (a, b, score, reason, rank).
+
+    Titles and lists are read once a document; a pair carries both sides' bits, is scored once, and counts for either side.
+    """
+    mirrored = targets is None
+    if mirrored:
+        pairs = sharing_pairs(results, "topics").select("a", "b")
+    else:
+        i = items(results, "topics")
+        own = i.join(targets.select("doc_id").distinct(), "doc_id", "left_semi").select("item", F.col("doc_id").alias("a"))
+        pairs = own.join(i.select("item", F.col("doc_id").alias("b")), "item").where("a <> b").select("a", "b").distinct()
+    facts = cut(described(results), "described")
+    side = lambda key, name: facts.select(F.col("doc_id").alias(key), F.col("f").alias(name))
+    p = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    s = p.select("a", "b", *complement_score()).where(F.col("score") > least)
+    if mirrored:
+        s = s.select(F.explode(F.array(F.struct("a", "b", "score", "reason"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "score", "reason"))).alias("s")).select("s.*")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "score", "reason", F.col("rank").cast("long").alias("rank"))
+
+
+def complement_score() -> list[Column]:
+    """(score, reason) of a pair with the facts x and y of its sides.
 
     Several factors: the first and a tenth of the others, .95 at most; the first is the pair of requirements and
     implementation, else the largest. No factor: what topics, entities and title words are shared.
     """
-    pairs = sharing_pairs(results, "topics").select("a", "b")
-    both = pairs.union(pairs.select("b", "a"))
-    p = with_sides(both, results, ("source_title", "project_id", "topics", "entities"))
-    t, c = F.col("x.source_title"), F.col("y.source_title")
-    in_both = lambda name: F.size(F.array_intersect(_low(f"x.{name}"), _low(f"y.{name}")))
-    shared, entities = in_both("topics"), in_both("entities")
+    both = lambda c: F.col(f"x.{c}").bitwiseAND(F.col(f"y.{c}"))
+    bit = lambda s, k: F.col(f"{s}.sides").bitwiseAND(F.lit(1 << k)) > 0
+    either = lambda i, j: (bit("x", i) & bit("y", j)) | (bit("x", j) & bit("y", i))
+    in_both = lambda name: F.size(F.array_intersect(f"x.{name}", f"y.{name}"))
+    shared, entities, common = in_both("topics"), in_both("entities"), in_both("words")
     same = F.col("x.project_id").eqNullSafe(F.col("y.project_id"))
-    req = _either(t, c, REQUIREMENTS, IMPLEMENTATION)
-    gap = F.abs(abstraction_level(t) - abstraction_level(c))
-    differ = document_type(t) != document_type(c)
-    words = lambda title: F.filter(F.split(F.lower(title), r"\s+"), lambda w: w != "")
-    common = F.size(F.array_intersect(words(t), words(c)))
-    named = sum(F.when(F.lower(t).contains(w) & F.lower(c).contains(w), 1).otherwise(0) for w in TECHNOLOGIES)
-    technologies = F.when(entities > 0, entities).otherwise(named)
+    req, gap = either(0, 1), F.abs(F.col("x.level") - F.col("y.level"))
+    technologies = F.when(entities > 0, entities).otherwise(F.bit_count(both("named").bitwiseAND(F.lit(COUNTED))))
     fallback = F.least(
         F.lit(0.5),
         F.greatest(
@@ -125,15 +163,15 @@ def complementary(results: DataFrame, k: int, least: float = 0.15) -> DataFrame:
     known = lambda parts: F.sort_array(F.filter(parts, lambda x: x.isNotNull()), asc=False)
     intra = known(F.array(
         F.when(gap > 0, 0.7 + 0.1 * gap),
-        F.when(_either(t, c, BUSINESS, TECHNICAL) | _either(t, c, FEATURE, SECURITY), F.lit(0.75)),
-        F.when((shared > 0) & differ, F.least(F.lit(0.65), 0.35 + 0.1 * shared)),
+        F.when(either(2, 3) | either(4, 5), F.lit(0.75)),
+        F.when((shared > 0) & (F.col("x.kind") != F.col("y.kind")), F.least(F.lit(0.65), 0.35 + 0.1 * shared)),
     ))
     intra = F.concat(F.when(req, F.array(F.lit(0.85))).otherwise(F.array().cast("array<double>")), intra)
     inter = known(F.array(
-        F.when(_both(t, c, CHALLENGES), F.lit(0.8)),
-        F.when(_both(t, c, DOMAINS), F.lit(0.75)),
-        F.when(_both(t, c, PATTERNS), F.lit(0.7)),
-        F.when(technologies > 0, F.least(F.lit(0.6), 0.3 + 0.1 * technologies)),
+        F.when(both("challenges") > 0, F.lit(0.8)),
+        F.when(both("domains") > 0, F.lit(0.75)),
+        F.when(both("patterns") > 0, F.lit(0.7)),
+        F.when((entities > 0) | (both("named") > 0), F.least(F.lit(0.6), 0.3 + 0.1 * technologies)),
     ))
 
     def blend(s: Column) -> Column:
@@ -142,9 +180,7 @@ def complementary(results: DataFrame, k: int, least: float = 0.15) -> DataFrame:
 
     score = F.when(same & (shared >= 3), F.least(F.lit(0.95), blend(intra) * 1.2)).when(same, blend(intra)).otherwise(blend(inter) * 0.8)
     reason = F.when(same & req, "requirements").when(same & (gap > 0), "abstraction").when(same, "topics").otherwise("across projects")
-    s = p.select("a", "b", F.round(score, 6).alias("score"), reason.alias("reason")).where(F.col("score") > least)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "score", "reason", F.col("rank").cast("long").alias("rank"))
+    return [F.round(score, 6).alias("score"), reason.alias("reason")]
 
 
 def whole_word(phrase: str) -> str:
