@@ -128,7 +128,7 @@ _WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}),
 _BLEND = lambda f: f"CASE WHEN len({f}) = 0 THEN least(0.5::DOUBLE, fallback) WHEN len({f}) = 1 THEN {f}[1] ELSE least(0.95::DOUBLE, {f}[1] + 0.1::DOUBLE * list_sum({f}[2:])) END"
 
 
-@query("complement_find", f"""WITH {R}, {_IT('topics')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id <> j.doc_id), z AS (SELECT a, b, x.source_title AS t, y.source_title AS c, x.project_id IS NOT DISTINCT FROM y.project_id AS same,
+_COMPLEMENT_SQL = f"""WITH {R}, {_IT('topics')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id <> j.doc_id), z AS (SELECT a, b, x.source_title AS t, y.source_title AS c, x.project_id IS NOT DISTINCT FROM y.project_id AS same,
  len(list_intersect(list_transform(x.topics, v -> lower(trim(v))), list_transform(y.topics, v -> lower(trim(v))))) AS shared, len(list_intersect(list_transform(x.entities, v -> lower(trim(v))), list_transform(y.entities, v -> lower(trim(v))))) AS ents FROM p JOIN results x ON x.doc_id = a JOIN results y ON y.doc_id = b),
  f AS (SELECT *, {_EITHER(conflicts.REQUIREMENTS, conflicts.IMPLEMENTATION)} AS req, {_EITHER(conflicts.BUSINESS, conflicts.TECHNICAL)} OR {_EITHER(conflicts.FEATURE, conflicts.SECURITY)} AS cross_f, abs({_LEVEL('t')} - {_LEVEL('c')}) AS gap, {_TYPE('t')} AS tt, {_TYPE('c')} AS ct,
   CASE WHEN ents > 0 THEN ents ELSE {_NAMED(_COUNTED)} END AS tech, ents > 0 OR {_NAMED(_COUNTED + ('golang', 'gcp', 'rest', 'graphql', 'grpc'))} > 0 AS has_tech, len(list_intersect({_WORDS('t')}, {_WORDS('c')})) AS common FROM z),
@@ -136,7 +136,10 @@ _BLEND = lambda f: f"CASE WHEN len({f}) = 0 THEN least(0.5::DOUBLE, fallback) WH
   list_concat(CASE WHEN req THEN [0.85::DOUBLE] ELSE [] END, list_reverse_sort(list_filter([CASE WHEN gap > 0 THEN 0.7::DOUBLE + 0.1::DOUBLE * gap END, CASE WHEN cross_f THEN 0.75::DOUBLE END, CASE WHEN shared > 0 AND tt <> ct THEN least(0.65::DOUBLE, 0.35::DOUBLE + 0.1::DOUBLE * shared) END], v -> v IS NOT NULL))) AS intra,
   list_reverse_sort(list_filter([CASE WHEN {_BOTH(conflicts.CHALLENGES)} THEN 0.8::DOUBLE END, CASE WHEN {_BOTH(conflicts.DOMAINS)} THEN 0.75::DOUBLE END, CASE WHEN {_BOTH(conflicts.PATTERNS)} THEN 0.7::DOUBLE END, CASE WHEN has_tech THEN least(0.6::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * tech) END], v -> v IS NOT NULL)) AS inter FROM f),
  h AS (SELECT a, b, round(CASE WHEN same AND shared >= 3 THEN least(0.95::DOUBLE, ({_BLEND('intra')}) * 1.2::DOUBLE) WHEN same THEN {_BLEND('intra')} ELSE ({_BLEND('inter')}) * 0.8::DOUBLE END, 6) AS score, CASE WHEN same AND req THEN 'requirements' WHEN same AND gap > 0 THEN 'abstraction' WHEN same THEN 'topics' ELSE 'across projects' END AS reason FROM g),
- k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM h WHERE score > 0.15) SELECT a, b, score, reason, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 5""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM h WHERE score > 0.15) SELECT a, b, score, reason, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 5"""
+
+
+@query("complement_find", _COMPLEMENT_SQL)
 def complement(spark, sf):
     return conflicts.complementary(results(spark, sf), 5)
 
