@@ -53,7 +53,7 @@ SMALL, HELD = 256, 4096
 #: Levels of a tree within a task, after which a node is compared whole; levels as tables, which no input should reach.
 DEEPEST, LEVELS = 14, 200
 #: Nodes' rows of a bucket, classes of a part of a cluster (more in large ones, by the square root) and its bytes, bytes of a bucket of blocks.
-BUCKET, PART, PART_BYTES, BLOCK_BYTES = 20_000, 256, 8_000_000, 16_000_000
+BUCKET, PART, PART_BYTES, BLOCK_BYTES = 20_000, 1024, 8_000_000, 16_000_000
 
 _RANDOM = np.random.default_rng(20_24)
 _NARROW = _RANDOM.integers(1 << 31, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -302,11 +302,14 @@ def tree_edges(classes: DataFrame, labels: DataFrame, percent: int, held: int =
         node, part, cls, label, n = (pdf[c].to_numpy(np.int64) for c in ("node", "part", "cls", "label", "n"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         ends = np.flatnonzero(np.append((node[1:] != node[:-1]) | (part[1:] != part[:-1]), True)) + 1
-        joined, out, met = Joined(), [], {}
+        joined, met = Joined(), {}
         for lo, hi in itertools.pairwise([0, *ends.tolist()]):
             edges, classes_met = grown(sig[lo:hi], n[lo:hi], label[lo:hi], int(node[lo]), percent, small)
-            out += [("edge", a, b) for a, b in edges if joined.join(a, b)]
+            for a, b in edges:
+                joined.join(a, b)
             met.update((int(cls[lo + i]), int(label[lo + i])) for i in classes_met)
+        # Each label with the smallest that it is joined to, so that the tasks' edges are often the same.
+        out = [("edge", joined.root(x), x) for x in sorted(joined)]
         return pd.DataFrame(out + [("met", c, x) for c, x in met.items()], columns=["kind", "a", "b"]).astype({"a": "int64", "b": "int64"})
 
     found = cut(rows.groupBy(bucket.alias("bucket")).applyInPandas(grow, "kind string, a long, b long").distinct(), "edges")
