@@ -348,8 +348,11 @@ def split_code(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> lis
 SPLITTERS: dict[str, Callable[[str, int], list[str]]] = {"text": split_text, "markdown": split_markdown, "html": split_html, "json": split_json, "code": split_code}
 
 
-def chunk(df: DataFrame, key: str, text: str, content_type: str = "content_type", size: int = CHUNK_SIZE, most: int | None = MOST_CHUNKS) -> DataFrame:
-    """(key, strategy, chunk_index, total_chunks, chunk_id, chunk): one row per chunk; an empty text is one empty chunk."""
+def chunk(df: DataFrame, key: str, text: str, content_type: str = "content_type", size: int = CHUNK_SIZE, most: int | None = None) -> DataFrame:
+    """(key, strategy, chunk_index, total_chunks, chunk_id, chunk): one row per chunk; an empty text is one empty chunk.
+
+    Every chunk stays; ``most`` (MOST_CHUNKS is a usual number) keeps the first so many of a text.
+    """
 
     @F.pandas_udf("array<string>")
     def pieces(kind: pd.Series, body: pd.Series) -> pd.Series:

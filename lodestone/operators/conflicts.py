@@ -229,6 +229,24 @@ def detect(results: DataFrame) -> DataFrame:
     return out.where((F.col("text_confidence") > 0) | (F.col("metadata_weight") > 0) | (F.col("opposites") != "")).withColumn("category", category)
 
 
+# How texts name a version of themselves, and one of what they run on.
+VERSION, RUNTIME = r"version\s+([0-9]+\.[0-9]+\.[0-9]+)", r"(?:python|node|java|version)\s*([0-9]+\.[0-9]+(?:\.[0-9]+)?)"
+
+
+def version_conflicts(results: DataFrame) -> DataFrame:
+    """(a, b, versions_a, versions_b, kind) of pairs that share an entity and name different versions: ``version`` where their
+    lists of versions differ, ``runtime`` where any two numbers of what they run on do. Each text is read once."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    found = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(1))
+    read = results.select("doc_id", "entities", found(VERSION).alias("own"), found(RUNTIME).alias("on")).where(F.size("on") > 0)
+    p = with_sides(sharing_pairs(read, "entities"), read, ("own", "on"))
+    differ = lambda c: (F.size(f"x.{c}") > 0) & (F.size(f"y.{c}") > 0)
+    own = differ("own") & (F.col("x.own") != F.col("y.own"))
+    on = differ("on") & (F.size(F.array_union("x.on", "y.on")) > 1)
+    kind = F.when(own, "version").when(on, "runtime")
+    return p.select("a", "b", F.array_join("x.on", ",").alias("versions_a"), F.array_join("y.on", ",").alias("versions_b"), kind.alias("kind")).where("kind IS NOT NULL")
+
+
 def vector_band(points: DataFrame, low: float = 0.6, high: float = 0.95, by: str = "label") -> DataFrame:
     """Pairs of equal ``by`` whose cosine lies in the band, tiered: 0.8 and over first, 0.5 second."""
     from lodestone.operators.retrieval import cosine

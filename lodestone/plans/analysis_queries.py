@@ -193,3 +193,14 @@ _SNIPPETS_SQL = f"WITH {R}, d AS (SELECT doc_id, concat({_CTEXT}, text) AS text
 @query("conflict_snippets_whole", _SNIPPETS_SQL)
 def snippets(spark, sf):
     return conflict_texts(spark, sf).select("doc_id", conflicts.snippet(F.col("text"), "enable").alias("snippet"))
+
+
+_VTEXT = "CASE doc_id % 5 WHEN 0 THEN concat('For version 1.', CAST(doc_id % 3 AS STRING), '.0 and Python 3.11. ') WHEN 1 THEN concat('Java 17.0; Version  2.0.', CAST(doc_id % 2 AS STRING), ' ') WHEN 2 THEN 'node18.2 ' ELSE '' END"
+_V = lambda p: f"regexp_extract_all(lower(concat({_VTEXT}, coalesce(text, ''))), '{p}', 1)"
+
+
+@query("conflict_versions", rf"""WITH {R}, {_IT('entities')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id < j.doc_id), v AS (SELECT doc_id, {_V(conflicts.VERSION)} AS own, {_V(conflicts.RUNTIME)} AS on_ FROM results),
+ z AS (SELECT a, b, array_to_string(x.on_, ',') AS versions_a, array_to_string(y.on_, ',') AS versions_b, CASE WHEN len(x.own) > 0 AND len(y.own) > 0 AND x.own <> y.own THEN 'version' WHEN len(x.on_) > 0 AND len(y.on_) > 0 AND len(list_distinct(list_concat(x.on_, y.on_))) > 1 THEN 'runtime' END AS kind FROM p JOIN v x ON x.doc_id = a JOIN v y ON y.doc_id = b)
+SELECT * FROM z WHERE kind IS NOT NULL""")
+def conflict_versions(spark, sf):
+    return conflicts.version_conflicts(results(spark, sf).withColumn("text", F.concat(F.expr(_VTEXT), F.coalesce("text", F.lit("")))))

@@ -95,8 +95,8 @@ def union_in_order(spark, sf):
 @query("source_project_metadata", f"WITH {R} SELECT doc_id, coalesce(project_id, 'none') AS project_id, 'Project ' || coalesce(project_id, 'none') AS project_name FROM results")
 def project_metadata(spark, sf):
     r = results(spark, sf).withColumn("project_id", F.coalesce("project_id", F.lit("none")))
-    projects = spark.createDataFrame([(p, f"Project {p}") for p in ("en", "fr", "de", "es", "none")], "project_id string, project_name string")
-    return r.join(F.broadcast(projects), "project_id", "left").select("doc_id", "project_id", "project_name")
+    projects = r.select("project_id").distinct().withColumn("project_name", F.concat(F.lit("Project "), "project_id"))
+    return r.join(projects, "project_id", "left").select("doc_id", "project_id", "project_name")
 
 
 @query("ingest_chunks_by_strategy", None)

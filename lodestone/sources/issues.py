@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.storage import cut
+
 
 def issue_filter(project: str, types: tuple[str, ...] = (), statuses: tuple[str, ...] = (), since=None) -> Column:
     """project AND type IN AND status IN AND updated >= since: as a predicate, so a source can take it over."""
@@ -62,19 +65,27 @@ def rich_text(column: Column) -> Column:
     return of(column)
 
 
-def breadcrumbs(pages: DataFrame, key: str, parent: str, title: str, deepest: int = 20) -> DataFrame:
-    """(key, breadcrumb, depth) by walking to the root: one join per level, until no row has a parent left."""
-    up = pages.select(F.col(key).alias("_k"), F.col(parent).alias("_next"), F.col(title).alias("_title"))
-    at = pages.select(key, F.col(parent).alias("_up"), F.array(title).alias("_path"))
-    done = None
-    for _ in range(deepest):
-        root = at.where(F.col("_up").isNull())
-        done = root if done is None else done.unionByName(root)
-        rest = at.where(F.col("_up").isNotNull())
+def breadcrumbs(pages: DataFrame, key: str, parent: str, title: str, cut=cut) -> DataFrame:
+    """(key, breadcrumb, depth) by walking to the root: one join per level, each written, until no row has a parent left.
+
+    A path ends where a parent is missing, and before a page that it already holds: so pages of a cycle, and those
+    below one, begin their path at the page of the cycle that would come next but one time round.
+    """
+    up = cut(pages.select(F.col(key).alias("_k"), F.col(parent).alias("_next"), F.col(title).alias("_title")), "pages")
+    at = pages.select(F.col(key).alias("_key"), F.col(parent).alias("_up"), F.array(title).alias("_path"), F.array(key).alias("_seen"))
+    done = []
+    while True:
+        open_ = F.col("_up").isNotNull() & ~F.array_contains("_seen", F.col("_up"))
+        at = cut(at.withColumn("_open", F.coalesce(open_, F.lit(False))), "breadcrumbs")
+        done.append(at.where("NOT _open").select("_key", "_path"))
+        rest = at.where("_open")
         if not rest.limit(1).count():
             break
-        at = rest.join(up, F.col("_up") == F.col("_k"), "left").select(key, F.col("_next").alias("_up"), F.concat(F.when(F.col("_title").isNotNull(), F.array("_title")).otherwise(F.array().cast("array<string>")), "_path").alias("_path"))
-    return done.select(key, F.array_join("_path", " > ").alias("breadcrumb"), F.size("_path").cast("long").alias("depth"))
+        seen = F.when(F.col("_k").isNotNull(), F.concat("_seen", F.array("_k"))).otherwise(F.col("_seen"))
+        path = F.when(F.col("_title").isNotNull(), F.concat(F.array("_title"), "_path")).otherwise(F.col("_path"))
+        at = rest.join(up, F.col("_up") == F.col("_k"), "left").select("_key", F.col("_next").alias("_up"), path.alias("_path"), seen.alias("_seen"))
+    all_ = reduce(DataFrame.unionByName, done)
+    return all_.select(F.col("_key").alias(key), F.array_join("_path", " > ").alias("breadcrumb"), F.size("_path").cast("long").alias("depth"))
 
 
 # --- Connector contract ----------------------------------------------------------------------------

@@ -63,3 +63,14 @@ def test_adapting_leaves_the_base_alone():
     before = Q.BY_INTENT["technical_lookup"]
     a = Q.adapt("technical_lookup", 0.2, 1)
     assert Q.BY_INTENT["technical_lookup"] == before and a.max_results == before.max_results + 5 and Q.adapt("technical_lookup", 0.9, 5) == before
+
+
+def test_breadcrumbs_reach_any_depth_and_end_in_cycles(spark):
+    from lodestone.sources import issues
+
+    rows = [(k, k - 1 if k else None, f"t{k}") for k in range(24)] + [(100, 101, "a"), (101, 102, "b"), (102, 100, "c"), (103, 100, "d"), (104, 104, "self"), (105, 999, "lost")]
+    df = spark.createDataFrame(rows, "id long, up long, name string")
+    got = {r.id: (r.breadcrumb, r.depth) for r in issues.breadcrumbs(df, "id", "up", "name").collect()}
+    assert len(got) == len(rows)
+    assert got[23] == (" > ".join(f"t{k}" for k in range(24)), 24)
+    assert got[100] == ("c > b > a", 3) and got[103] == ("c > b > a > d", 4) and got[104] == ("self", 1) and got[105] == ("lost", 1)
