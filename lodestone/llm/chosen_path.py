@@ -206,15 +206,15 @@ class Joined(dict):
 
 def block_forest(sig: np.ndarray, n: np.ndarray, label: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Confirmed links of a block that join its labels: between its two parts, or within its only one."""
-    found, joined, out = [], Joined(), []
+    own, out = np.unique(label, return_inverse=True)[1], []
     for i in range(len(n) - 1):
-        may = agreeing(sig, n, label, i, percent, i + 1)
-        found.append(may if part is None else may[part[may[:, 1]] != part[i]])
-    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
-        if joined.root(int(label[i])) != joined.root(int(label[j])) and links(sets[i], sets[j], percent):
-            joined.join(int(label[i]), int(label[j]))
-            out.append((i, j))
+        near = agreeing(sig, n, own, i, percent, i + 1)
+        if part is not None:
+            near = near[part[near[:, 1]] != part[i]]
+        for j in near[np.argsort(-near[:, 2], kind="stable"), 1].tolist():
+            if own[i] != own[j] and links(sets[i], sets[j], percent):
+                own[own == own[j]] = own[i]
+                out.append((i, j))
     return out
 
 
