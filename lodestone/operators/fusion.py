@@ -40,6 +40,18 @@ def combined(vector: DataFrame, keyword: DataFrame, wv: float, wk: float, least:
     return out.where(F.col("score") > F.col("_floor")).select("query_id", key, "mode", "score")
 
 
+def combined_each(vector: DataFrame, keyword: DataFrame, weights: DataFrame, key: str = "doc_id", k: int = RRF_K) -> DataFrame:
+    """``combined`` with weights and threshold of each query: ``weights`` is (query_id, wv, wk, least)."""
+    part = lambda w, r: F.coalesce(F.col(w) / (k + F.col(r)), F.lit(0.0))
+    both = merge(vector, keyword, key).join(weights, "query_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    fused = F.col("n") >= FEW
+    linear = F.col("wv") * F.coalesce("vs", F.lit(0.0)) + F.col("wk") * F.coalesce("ks", F.lit(0.0))
+    score = F.round(F.when(fused, part("wv", "vr") + part("wk", "kr")).otherwise(linear), 9)
+    floor = F.when(fused, F.col("least") * (F.col("wv") + F.col("wk")) / (k + 1)).otherwise(F.col("least"))
+    out = both.withColumn("mode", F.when(fused, "wrrf").otherwise("linear")).withColumn("score", score)
+    return out.where(F.col("score") > floor).select("query_id", key, "mode", "score")
+
+
 def boost(preferences: dict[str, float] | None = None, confidence: float = 0.0, context: tuple[str, ...] = (), keywords: tuple[str, ...] = ()) -> Column:
     """The factor by which metadata raise a score, 0.5 at most."""
     yes = lambda c, x: F.when(F.coalesce(c, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))

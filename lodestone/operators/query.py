@@ -151,3 +151,24 @@ def adapt(intent: str, confidence: float, n_words: int) -> SearchConfig:
     if n_words <= 2:
         base = replace(base, keyword_weight=min(1.0, base.keyword_weight + 0.1))
     return base
+
+
+def configs(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """``adapt`` for a batch: (key, intent, confidence, wv, wk, least, most, expand, diversity, preferences), a row a query."""
+    known = [("", SearchConfig()), *BY_INTENT.items()]
+    n = queries.select(key, F.size(F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("_n"))
+    i = intents(queries.withColumn("_t", F.coalesce(text, F.lit(""))), key, "_t").join(n, key)
+
+    def of(value) -> Column:
+        out = value(known[0][1])
+        for name, c in known[1:]:
+            out = F.when(F.col("primary") == name, value(c)).otherwise(out)
+        return out
+
+    unsure, short = F.col("confidence") < 0.5, F.col("_n") <= 2
+    preferred = lambda c: F.map_from_arrays(F.array(*[F.lit(s) for s in c.source_preferences]).cast("array<string>"), F.array(*[F.lit(w) for w in c.source_preferences.values()]).cast("array<double>"))
+    wk, most, diversity = of(lambda c: F.lit(c.keyword_weight)), of(lambda c: F.lit(c.max_results)), of(lambda c: F.lit(c.diversity))
+    return i.select(
+        key, F.col("primary").alias("intent"), "confidence", of(lambda c: F.lit(c.vector_weight)).alias("wv"), F.when(short, F.least(F.lit(1.0), wk + 0.1)).otherwise(wk).alias("wk"), of(lambda c: F.lit(c.min_score)).alias("least"),
+        F.when(unsure, most + 5).otherwise(most).alias("most"), of(lambda c: F.lit(c.expand)).alias("expand"), F.round(F.when(unsure, F.least(F.lit(1.0), diversity + 0.1)).otherwise(diversity), 6).alias("diversity"), of(preferred).alias("preferences"),
+    )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import conflicts, facets, fusion, query, retrieval, similarity
+from lodestone.storage import cut
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str = "wrrf", config: query.SearchConfig | None = None, boosted: bool = True) -> DataFrame:
@@ -31,6 +35,55 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str = "wrrf",
     return best.join(shown, "doc_id")
 
 
+def vector_leg(docs: DataFrame, queries: DataFrame, fetch: int, embed: Callable[[Column], Column] | None) -> DataFrame:
+    """The vector list of a batch of (query_id, text): sparse hits, and with ``embed`` their equal-weight rank fusion with dense hits."""
+    sparse = retrieval.in_blocks(queries, lambda q: retrieval.sparse(q, docs, fetch))
+    if embed is None:
+        return sparse.select("query_id", "doc_id", "score")
+    at = lambda df, key: df.select(key, embed(F.coalesce("text", F.lit(""))).alias("v"))
+    dense = retrieval.dense_blocks(at(queries, "query_id"), cut(at(docs, "doc_id"), "vectors"), fetch)
+    fused = fusion.wrrf(dense, sparse, 1.0, 1.0).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    return retrieval.top_k(fused, fetch).select("query_id", "doc_id", "score")
+
+
+def orchestrated(
+    docs: DataFrame, queries: DataFrame, k: int = 20, embed: Callable[[Column], Column] | None = retrieval.hashing_embedder, where: Column | None = None, rerank: bool = False, fetch: int | None = None
+) -> DataFrame:
+    """Search of a batch of (query_id, text) in which each query's intent sets its own weights, threshold, sources and diversity.
+
+    Intents and their configurations; expansion of the vector leg; dense and sparse fused as the vector list, BM25 as the
+    keyword list; weighted fusion above each query's threshold; boosts by metadata and by the sources an intent prefers;
+    re-ranking, if asked for; diversity where an intent wants it; the best ``k``. ``where`` filters documents before any list
+    is made. Returns (query_id, doc_id, score, rank, intent, mode) and what is shown of a document.
+    """
+    some = docs if where is None else docs.where(where)
+    c = cut(query.configs(queries), "configs")
+    asked = cut(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "asked")
+    wide = asked.join(c.select("query_id", "expand"), "query_id").select("query_id", F.when(F.col("expand"), query.expand(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    # The most results that any configuration asks for; a query takes what its own does.
+    n = fetch or min(max(x.max_results for x in (query.SearchConfig(), *query.BY_INTENT.values())) + 5, 2 * k) * 3
+    vector, keyword = vector_leg(some, cut(wide, "wide"), n, embed), retrieval.in_blocks(asked, lambda q: retrieval.bm25(q, some, n))
+    hits = fusion.combined_each(cut(vector, "vector"), cut(keyword, "keyword"), c.select("query_id", "wv", "wk", "least"))
+    meta = some.select("doc_id", "source_type", "section_type", "source", fusion.boost().alias("factor"))
+    raised = hits.join(meta, "doc_id").join(c.select("query_id", "intent", "confidence", "most", "diversity", "preferences"), "query_id")
+    source = F.coalesce((F.try_element_at("preferences", F.col("source_type")) - 1) * 0.2, F.lit(0.0))
+    factor = F.least(F.lit(fusion.BOOST_CAP), F.col("factor") + F.col("confidence") * 0.05 + source)
+    raised = cut(raised.withColumn("score", F.round(F.col("score") * (1 + factor), 9)).drop("factor"), "raised")
+    if rerank:
+        texts = raised.join(asked.withColumnRenamed("text", "asked"), "query_id").join(some.select("doc_id", "text"), "doc_id")
+        best = fusion.rerank(texts, F.col("asked"), F.col("text"), n).withColumn("score", F.col("rerank_score"))
+        raised = cut(best.select(*raised.columns), "reranked")
+    plain = retrieval.top_k(raised.where("diversity = 0"), k).select("query_id", "doc_id", "score")
+    parts = [plain]
+    for x in sorted({round(min(1.0, c.diversity + more), 6) for c in (query.SearchConfig(), *query.BY_INTENT.values()) for more in (0.0, 0.1)} - {0.0}):
+        own = raised.where(F.col("diversity") == x).select("query_id", "doc_id", "score", "source_type", "section_type", "source")
+        parts.append(fusion.diversify(own, x, k).select("query_id", "doc_id", "score"))
+    best = reduce(DataFrame.unionByName, parts).join(raised.select("query_id", "doc_id", "mode", "intent", "most"), ["query_id", "doc_id"])
+    best = retrieval.top_k(best, k).where(F.col("rank") <= F.col("most"))
+    shown = docs.select("doc_id", "document_id", "source_type", fusion.chosen_title().alias("title"))
+    return best.join(shown, "doc_id").select("query_id", "doc_id", "score", "rank", "intent", "mode", "document_id", "source_type", "title")
+
+
 def hierarchy_search(docs: DataFrame, queries: DataFrame, k: int = 20, **where) -> DataFrame:
     return search(docs.where(facets.hierarchy_filter(**where)), queries, k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import facets, fusion, postings, query as understanding, retrieval
+from lodestone.operators import facets, fusion, postings, query as understanding, retrieval, search
 from lodestone.plans.model import R, results
 from lodestone.plans.registry import query
 from lodestone.session import table
@@ -344,3 +344,19 @@ def attachment_groups(spark, sf):
 @query("hierarchy_family", f"WITH {R}, c AS (SELECT parent_id AS p, count(*) AS n FROM results WHERE parent_id IS NOT NULL GROUP BY 1) SELECT r.document_id, CAST(coalesce(s.n - 1, 0) AS BIGINT) AS siblings, CAST(coalesce(c.n, 0) AS BIGINT) AS children FROM results r LEFT JOIN c s ON s.p = r.parent_id LEFT JOIN c ON c.p = r.document_id")
 def hierarchy_family(spark, sf):
     return facets.family(results(spark, sf))
+
+
+def asked_with_intents(spark, sf):
+    """The whole queries, each opened by words of another intent."""
+    opened = F.element_at(F.array(*[F.lit(x) for x in ("How do I fix the api code error? ", "business requirements strategy goals ", "")]), (F.col("query_id") / 20 % 3).cast("int") + 1)
+    return whole_batch(spark, sf).withColumn("text", F.concat(opened, "text"))
+
+
+@query("search_orchestrated", None)
+def orchestrated(spark, sf):
+    return _long(search.orchestrated(results(spark, sf), asked_with_intents(spark, sf)))
+
+
+@query("query_configs", None)
+def query_configs(spark, sf):
+    return understanding.configs(asked_with_intents(spark, sf)).drop("preferences")
