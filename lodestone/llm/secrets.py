@@ -3,7 +3,8 @@
 Candidate strings are long runs of key characters. Each is read once per
 character class with counts that gain the entering and lose the leaving
 character, so a window costs a constant amount; a span is reported where some
-window's entropy reaches its class's threshold and no allow-list rule knows it.
+window's entropy reaches its class's threshold and the allow-list does not know it:
+neither by its shape nor as words that could be spoken, however they are joined.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
 each; an empty table gives an empty result; other columns are ignored. Offsets
@@ -42,12 +43,15 @@ CLASSES = (
 )
 #: Allow-list: known harmless shapes of a whole candidate.
 ALLOWED = (
-    re.compile(r"[A-Za-z]+"),  # one word, however long
     re.compile(r"[0-9]+"),  # a number
-    re.compile(r"(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*"),  # words joined into a path or an identifier
     re.compile(r"(.{1,4})\1+"),  # a rule or a repeated filler
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # a UUID
 )
+#: And what reads as words: pieces of letters (camel case parts are pieces of their own) that could be spoken, as long as they
+#: make up this part of the letters and digits.
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+WORDS_SHARE = 0.75
+LEAST_PIECE, LONGEST_CLUSTER, LONGEST_NUMBER, VOWELS = 3, 6, 8, "aeiouy"
 
 #: n * log2(n) for the counts of a window.
 _PLOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
@@ -74,6 +78,25 @@ def peak_entropy(run: str, window: int = WINDOW) -> float:
     return best
 
 
+def spoken(piece: str) -> bool:
+    """Whether letters could be a word: vowels in a usual share, no long run of consonants, few rare letters, q before u."""
+    w = piece.lower()
+    if len(w) < LEAST_PIECE or not w.isalpha():
+        return False
+    vowels = sum(c in VOWELS for c in w)
+    cluster = max(map(len, re.split(f"[{VOWELS}]+", w)))
+    rare = sum(c in "jqxz" for c in w)
+    return 0.2 <= vowels / len(w) <= 0.8 and cluster <= min(LONGEST_CLUSTER, len(w) - 1) and rare <= 1 + len(w) // 10 and w.count("q") == w.count("qu")
+
+
+def wordy(candidate: str) -> bool:
+    """Whether a candidate is words, joined or not: a path, a link, an identifier, a long compound."""
+    # Numbers that stand alone, as in dates, say nothing.
+    pieces = [p for token in re.split(r"[/_=+-]+", candidate) if not (token.isdigit() and len(token) <= LONGEST_NUMBER) for p in PIECE.findall(token)]
+    total = sum(map(len, pieces))
+    return total > 0 and sum(len(p) for p in pieces if spoken(p)) >= WORDS_SHARE * total
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns: leftmost, non-overlapping within a kind, failing matches dropped."""
     out = []
@@ -96,7 +119,7 @@ def entropy_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[in
         while k < len(taken) and taken[k][0] < m.end():
             reach, k = max(reach, taken[k][2]), k + 1
         whole = m.group()
-        if reach > m.start() or any(a.fullmatch(whole) for a in ALLOWED):
+        if reach > m.start() or any(a.fullmatch(whole) for a in ALLOWED) or wordy(whole):
             continue
         if any(peak_entropy(run.group()) >= least for _, runs, least in CLASSES for run in runs.finditer(whole)):
             out.append((m.start(), "entropy", m.end()))
