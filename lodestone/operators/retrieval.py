@@ -11,6 +11,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,8 +212,14 @@ def embedding_batches(texts: DataFrame, key: str, text: str, budget: int, cap: i
 
 
 def hashing_embedder(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an embedding service: signed token hashes summed into ``size`` places."""
+    """A deterministic stand-in for an embedding service: signed token hashes summed into ``size`` places.
+
+    Tokens are hashed once where they stand; Arrow batches of their places and signs are summed.
+    """
+
+    @F.pandas_udf("array<double>")
+    def summed(codes: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(c >> 1, weights=1.0 - 2.0 * (c & 1), minlength=size) for c in (np.asarray(x if x is not None else (), np.int64) for x in codes)], dtype=object)
+
     t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(size))
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(t, lambda w: place(w) == k), F.lit(0.0), lambda a, w: a + sign(w)))
+    return summed(F.transform(t, lambda w: (2 * F.pmod(F.xxhash64(w), F.lit(size)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("long")))
