@@ -52,7 +52,7 @@ def text_similarity(pairs: DataFrame, results: DataFrame) -> DataFrame:
     least = F.least(F.size(wx), F.size(wy))
     overlap = F.when(least > 0, F.size(F.array_intersect(wx, wy)) / least > OVERLAP).otherwise(F.lit(False))
     alike = F.arrays_overlap(*col("title")) | (F.size(F.array_intersect(*col("terms"))) >= COMMON_TERMS)
-    return p.select("a", "b", F.round(jaccard(meaning(wx), meaning(wy)), 6).alias("text"), F.round(lexical, 6).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
+    return p.select("a", "b", F.round(jaccard(meaning(wx), meaning(wy)), 9).alias("text"), F.round(lexical, 9).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
 
 
 def of_targets(results: DataFrame, targets: Column, k: int = KEPT) -> DataFrame:

@@ -20,7 +20,7 @@ _TERMS = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') TH
 
 @query("similarity_text", f"""WITH {R}, {_IT('entities')}, p AS (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM it i JOIN it j USING (item) WHERE i.doc_id < j.doc_id),
  f AS (SELECT doc_id, {_WORDS('text')} AS w, {_WORDS('source_title')} AS t, list_filter(list_distinct({LETTERS}), w -> w NOT IN ({_LIST(T.KEYWORD_STOP_WORDS)})) AS s, {_TERMS} AS k, list_distinct(list_transform(entities, x -> lower(trim(x)))) AS e FROM results)
-SELECT a, b, round({_JAC(_MEANT('x.w'), _MEANT('y.w'))}, 6) AS text, round(CASE WHEN len(x.s) = 0 AND len(y.s) = 0 THEN 1.0 WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0.0 ELSE 0.7::DOUBLE * {_JAC('x.s', 'y.s')} + 0.3::DOUBLE * {_JAC('x.e', 'y.e')} END, 6) AS lexical,
+SELECT a, b, round({_JAC(_MEANT('x.w'), _MEANT('y.w'))}, 9) AS text, round(CASE WHEN len(x.s) = 0 AND len(y.s) = 0 THEN 1.0 WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0.0 ELSE 0.7::DOUBLE * {_JAC('x.s', 'y.s')} + 0.3::DOUBLE * {_JAC('x.e', 'y.e')} END, 9) AS lexical,
  CASE WHEN least(len(x.w), len(y.w)) > 0 THEN len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) > 0.2 ELSE false END AS overlap, len(list_intersect(x.t, y.t)) > 0 OR len(list_intersect(x.k, y.k)) >= 2 AS alike FROM p JOIN f x ON x.doc_id = a JOIN f y ON y.doc_id = b""")
 def similarity_text(spark, sf):
     r = results(spark, sf)
