@@ -47,12 +47,13 @@ def text_similarity(pairs: DataFrame, results: DataFrame) -> DataFrame:
     p = pairs.select("a", "b").join(facts.select(F.col("doc_id").alias("a"), F.col("f").alias("x")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("f").alias("y")), "b")
     col = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
     meaning = lambda c: F.filter(c, lambda w: ~w.isin(*STOP_WORDS))
+    six = lambda c: F.round(c * (1 + 1e-9), 6)  # noqa: E731  decimal ties, frequent in fractions of powers of 2, go up
     (sx, sy), (wx, wy) = col("said"), col("words")
     lexical = F.when((F.size(sx) == 0) & (F.size(sy) == 0), 1.0).when((F.size(sx) == 0) | (F.size(sy) == 0), 0.0).otherwise(TOKEN_SHARE * jaccard(sx, sy) + ENTITY_SHARE * jaccard(*col("entities")))
     least = F.least(F.size(wx), F.size(wy))
     overlap = F.when(least > 0, F.size(F.array_intersect(wx, wy)) / least > OVERLAP).otherwise(F.lit(False))
     alike = F.arrays_overlap(*col("title")) | (F.size(F.array_intersect(*col("terms"))) >= COMMON_TERMS)
-    return p.select("a", "b", F.round(jaccard(meaning(wx), meaning(wy)), 9).alias("text"), F.round(lexical, 9).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
+    return p.select("a", "b", six(jaccard(meaning(wx), meaning(wy))).alias("text"), six(lexical).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
 
 
 def of_targets(results: DataFrame, targets: Column, k: int = KEPT) -> DataFrame:
