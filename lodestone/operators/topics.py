@@ -1,10 +1,11 @@
 """Topics by online variational inference (latent Dirichlet allocation), with the model as a table.
 
 The state is (term, weights): one row for each term of all documents seen, so a vocabulary of any size is dealt like any
-other table. An update takes a slice of the documents: their terms meet the terms' rows, each document is inferred where
-its own terms are, and what it says of its terms is summed over the slice. A slice is dealt by a hash of the id; a pass
-makes UPDATES of them, and the driver sees sums of as many numbers as there are topics. New documents update a fitted
-model: their new terms join the table, and the step size goes on falling.
+other table. Documents are packed once into blocks of about BUCKET (document, term) counts, whose terms are named once a
+block. An update takes a slice of the blocks: each block's terms, not each document's, meet the terms' rows, all its
+documents are inferred from these, and what they say of its terms is summed over the slice. Documents are dealt to slices
+and blocks by hashes of the id; a pass makes UPDATES of slices, and the driver sees sums of as many numbers as there are
+topics or slices. New documents update a fitted model: their new terms join the table, and the step size goes on falling.
 
 Defined results: documents of fewer than LEAST_TOKENS counted words take no part in the fit and are of the topic "general"
 with probability 1; null and empty texts are such documents; repeated rows and ids are one document with all their words.
@@ -29,8 +30,8 @@ TOPICS, ALPHA, ETA, DECAY, OFFSET, ROUNDS, LEAST_CHANGE = 3, 0.1, 0.01, 0.5, 1.0
 LEAST_TOKENS, LEAST_PROBABILITY, GENERAL_COHERENCE = 5, 0.01, 0.5
 #: Passes over all documents, updates in a pass.
 PASSES, UPDATES = 2, 2
-#: Rows of (document, term) that a task infers at a time, on average.
-BUCKET = 50_000
+#: Counts (document, term) of a block, on average; a task infers a block at a time.
+BUCKET = 100_000
 
 
 @dataclasses.dataclass
@@ -50,9 +51,30 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return found.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def long_enough(bags: DataFrame) -> DataFrame:
-    """The bags of documents with LEAST_TOKENS words or more."""
-    return bags.join(bags.groupBy("doc").agg(F.sum("n").alias("_t")).where(F.col("_t") >= LEAST_TOKENS).select("doc"), "doc", "left_semi")
+BLOCK = "slice int, block long, terms array<string>, docs array<string>, ends array<int>, at array<int>, n array<long>"
+
+
+def packed(bags: DataFrame, slices: int = 1) -> DataFrame:
+    """(slice, block, terms, docs, ends, at, n): the bags of documents with LEAST_TOKENS words or more, a row a block.
+
+    ``docs`` are ids as text; the k-th one's counts ``n`` are those up to ``ends[k]``, each of the term at place ``at`` in ``terms``.
+    """
+    blocks = max(1, -(-bags.count() // (BUCKET * slices)))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc", "term"], kind="stable")
+        doc, term, n = pdf["doc"].to_numpy(object), pdf["term"].to_numpy(object), pdf["n"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        sizes = np.diff(np.append(starts, len(doc)))
+        enough = np.add.reduceat(n, starts) >= LEAST_TOKENS
+        stay = np.repeat(enough, sizes)
+        terms, at = np.unique(term[stay], return_inverse=True)
+        row = (int(key[0]), int(key[1]), terms.tolist(), doc[starts[enough]].tolist(), np.cumsum(sizes[enough]).tolist(), at.tolist(), n[stay].tolist())
+        return pd.DataFrame([row] if enough.any() else [], columns=["slice", "block", "terms", "docs", "ends", "at", "n"])
+
+    dealt = lambda n, *salt: F.pmod(F.xxhash64("doc", *salt), F.lit(n))
+    rows = bags.select(dealt(slices, F.lit(7)).alias("slice"), dealt(blocks).alias("block"), F.col("doc").cast("string").alias("doc"), "term", "n")
+    return rows.groupBy("slice", "block").applyInPandas(pack, BLOCK)
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -107,35 +129,34 @@ def expected(model: Model) -> DataFrame:
 
 
 def inferred(model: Model, bags: DataFrame) -> DataFrame:
-    """(doc, term, stat, bound): a row (null, term, what the documents of a task say of it) for each term, and a row (doc, null, gamma, bound) for each document."""
-    kind, alpha = bags.schema["doc"].dataType.simpleString(), model.alpha
-    rows = bags.join(expected(model), "term")
-    spark = bags.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bags.count() // BUCKET))
-
-    def infer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "term"], kind="stable")
-        n, beta = pdf["n"].to_numpy(float), np.stack(pdf["beta"].to_numpy())
-        doc = pdf["doc"].to_numpy()
-        ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
-        stats, docs, at = np.zeros_like(beta), [], 0
-        for end in ends:
-            gamma, stats[at:end], bound = infer_one(n[at:end], beta[at:end], alpha)
-            docs.append((doc[at], None, gamma.tolist(), bound))
-            at = end
-        names, own = np.unique(pdf["term"].to_numpy(str), return_inverse=True)
-        total = np.zeros((len(names), beta.shape[1]))
-        np.add.at(total, own, stats)
-        out = docs + [(None, t, s.tolist(), None) for t, s in zip(names, total, strict=True)]
-        frame = pd.DataFrame(out, columns=["doc", "term", "stat", "bound"])
-        frame["doc"] = pd.array([r[0] for r in out], dtype="Int64") if kind in ("bigint", "int") else frame["doc"]
-        return frame
-
-    return rows.groupBy(F.pmod(F.xxhash64("doc"), F.lit(buckets)).alias("_b")).applyInPandas(infer, f"doc {kind}, term string, stat array<double>, bound double")
+    """(doc, term, stat, bound) of bags or packed blocks: a row (null, term, what the documents of a block say of it) for each
+    of a block's terms, and a row (doc, null, gamma, bound) for each document with a term that the model knows; ``doc`` is text."""
+    blocks = bags if "ends" in bags.columns else packed(bags)
+    topics, alpha = model.topics, model.alpha
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("place", "term")).join(expected(model), "term").select("of", "place", "beta")
+
+    def infer(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for block in own.itertuples():
+            beta, has = np.zeros((len(block.terms), topics)), np.zeros(len(block.terms), bool)
+            if len(known):
+                beta[known["place"]], has[known["place"]] = np.stack(known["beta"].to_numpy()), True
+            total, start = np.zeros_like(beta), 0
+            for doc, end in zip(block.docs, block.ends, strict=True):
+                at, n, start = block.at[start:end], block.n[start:end], end
+                at, n = at[has[at]], n[has[at]]
+                if len(at):
+                    gamma, stat, bound = infer_one(n.astype(float), beta[at], alpha)
+                    total[at] += stat
+                    out.append((doc, None, gamma.tolist(), bound))
+            out += [(None, t, x.tolist(), None) for t, x, h in zip(block.terms, total, has, strict=True) if h]
+        return pd.DataFrame(out, columns=["doc", "term", "stat", "bound"])
+
+    return blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInPandas(infer, "doc string, term string, stat array<double>, bound double")
 
 
 def stepped(model: Model, bags: DataFrame, documents: int) -> Model:
-    """The model after one update with a slice of ``documents`` documents."""
+    """The model after one update with the bags or packed blocks of ``documents`` documents."""
     stats = inferred(model, bags).where("term IS NOT NULL")
     sums = stats.groupBy("term").agg(F.array(*[F.sum(F.col("stat")[k]) for k in range(model.topics)]).alias("stat"))
     rho = (OFFSET + model.updates) ** -DECAY
@@ -146,30 +167,38 @@ def stepped(model: Model, bags: DataFrame, documents: int) -> Model:
     return dataclasses.replace(model, state=state, updates=model.updates + 1)
 
 
-def _passes(model: Model, bags: DataFrame, passes: int, updates: int) -> Model:
-    slices = [bags.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(updates)) == k) for k in range(updates)]
-    counts = [s.select("doc").distinct().count() for s in slices]
+def _documents(blocks: DataFrame) -> dict[int, int]:
+    """Documents of each slice."""
+    return {r["slice"]: r["n"] for r in blocks.groupBy("slice").agg(F.sum(F.size("docs")).alias("n")).collect()}
+
+
+def _passes(model: Model, blocks: DataFrame, sizes: dict[int, int], passes: int) -> Model:
     for _ in range(passes):
-        for some, n in zip(slices, counts, strict=True):
-            if n:
-                model = stepped(model, some, n)
+        for k in sorted(sizes):
+            model = stepped(model, blocks.where(F.col("slice") == k), sizes[k])
     return model
 
 
+def _terms(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.explode("terms").alias("term")).distinct()
+
+
 def fit(bags: DataFrame, topics: int = TOPICS, passes: int = PASSES, updates: int = UPDATES, alpha: float = ALPHA, eta: float = ETA) -> Model:
-    """A model of all documents of ``bags`` (doc, term, n)."""
-    bags = cut(long_enough(bags), "bags")
-    model = Model(cut(new_terms(bags, topics), "topics"), topics, bags.select("doc").distinct().count(), 0, alpha, eta)
-    return _passes(model, bags, passes, updates)
+    """A model of all documents of ``bags`` (doc, term, n), which are read twice."""
+    blocks = cut(packed(bags, updates), "blocks")
+    sizes = _documents(blocks)
+    model = Model(cut(new_terms(_terms(blocks), topics), "topics"), topics, sum(sizes.values()), 0, alpha, eta)
+    return _passes(model, blocks, sizes, passes)
 
 
 def update(model: Model, bags: DataFrame, passes: int = 1, updates: int = 1) -> Model:
     """``model`` with further documents: their new terms are added, and they are passed over ``passes`` times."""
-    bags = cut(long_enough(bags), "bags")
-    fresh = bags.select("term").distinct().join(model.state.select("term"), "term", "left_anti")
+    blocks = cut(packed(bags, updates), "blocks")
+    sizes = _documents(blocks)
+    fresh = _terms(blocks).join(model.state.select("term"), "term", "left_anti")
     state = cut(model.state.unionByName(new_terms(fresh, model.topics)), "topics")
-    grown = dataclasses.replace(model, state=state, documents=model.documents + bags.select("doc").distinct().count())
-    return _passes(grown, bags, passes, updates)
+    grown = dataclasses.replace(model, state=state, documents=model.documents + sum(sizes.values()))
+    return _passes(grown, blocks, sizes, passes)
 
 
 def topic_terms(model: Model, terms: int = 10) -> DataFrame:
@@ -187,10 +216,10 @@ def coherence(weights: Column) -> Column:
     return F.when(F.size(weights) > 0, F.aggregate(weights, F.lit(0.0), lambda a, w: a + w) / F.size(weights)).otherwise(F.lit(0.0))
 
 
-def document_topics(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY) -> DataFrame:
-    """(key, topic, probability): topics of each document from ``least`` up; topic -1 is "general"."""
-    bags = cut(words(docs, key, text), "bags")
-    gamma = inferred(model, long_enough(bags)).where("term IS NULL").select("doc", F.col("stat").alias("g"))
+def document_topics(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY, bags: DataFrame | None = None) -> DataFrame:
+    """(key, topic, probability): topics of each document from ``least`` up; topic -1 is "general". ``bags``: the documents' words, where at hand."""
+    bags = cut(words(docs, key, text), "bags") if bags is None else bags
+    gamma = cut(inferred(model, bags).where("term IS NULL").select(F.col("doc").cast(docs.schema[key].dataType), F.col("stat").alias("g")), "gamma")
     share = F.transform("g", lambda x: x / F.aggregate("g", F.lit(0.0), lambda a, y: a + y))
     known = gamma.select("doc", F.posexplode(share).alias("topic", "probability")).where(F.col("probability") >= least)
     short = docs.select(F.col(key).alias("doc")).distinct().join(gamma.select("doc"), "doc", "left_anti")

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from lodestone.operators import topics
 from lodestone.plans.registry import query
 from lodestone.session import table
+from lodestone.storage import cut
 
 
-def fitted(spark, sf):
-    return topics.fit(topics.words(table(spark, sf, "documents")))
+def bags(spark, sf):
+    return cut(topics.words(table(spark, sf, "documents")), "bags")
 
 
 @query("topic_model_terms", None)
 def topic_model_terms(spark, sf):
-    t = topics.topic_terms(fitted(spark, sf))
+    t = topics.topic_terms(topics.fit(bags(spark, sf)))
     return t.select("topic", "rank", "term", F.round("weight", 9).alias("weight"), F.round("coherence", 9).alias("coherence"))
 
 
 @query("topic_model_documents", None)
 def topic_model_documents(spark, sf):
-    d = topics.document_topics(fitted(spark, sf), table(spark, sf, "documents"))
+    words = bags(spark, sf)
+    d = topics.document_topics(topics.fit(words), table(spark, sf, "documents"), bags=words)
     return d.withColumn("probability", F.round("probability", 6))
