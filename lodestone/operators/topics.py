@@ -31,7 +31,7 @@ LEAST_TOKENS, LEAST_PROBABILITY, GENERAL_COHERENCE = 5, 0.01, 0.5
 #: Passes over all documents, updates in a pass.
 PASSES, UPDATES = 2, 2
 #: Counts (document, term) of a block, on average; a task infers a block at a time.
-BUCKET = 100_000
+BUCKET = 500_000
 
 
 @dataclasses.dataclass
@@ -51,7 +51,7 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return found.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-BLOCK = "slice int, block long, terms array<string>, docs array<string>, ends array<int>, at array<int>, n array<long>"
+BLOCK = "slice int, block long, terms array<string>, docs array<string>, ends array<int>, at array<int>, n array<int>"
 
 
 def packed(bags: DataFrame, slices: int = 1) -> DataFrame:
@@ -62,18 +62,17 @@ def packed(bags: DataFrame, slices: int = 1) -> DataFrame:
     blocks = max(1, -(-bags.count() // (BUCKET * slices)))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "term"], kind="stable")
-        doc, term, n = pdf["doc"].to_numpy(object), pdf["term"].to_numpy(object), pdf["n"].to_numpy(np.int64)
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        sizes = np.diff(np.append(starts, len(doc)))
-        enough = np.add.reduceat(n, starts) >= LEAST_TOKENS
-        stay = np.repeat(enough, sizes)
-        terms, at = np.unique(term[stay], return_inverse=True)
-        row = (int(key[0]), int(key[1]), terms.tolist(), doc[starts[enough]].tolist(), np.cumsum(sizes[enough]).tolist(), at.tolist(), n[stay].tolist())
-        return pd.DataFrame([row] if enough.any() else [], columns=["slice", "block", "terms", "docs", "ends", "at", "n"])
+        doc, ids = pd.factorize(pdf["doc"].to_numpy(object), use_na_sentinel=False)
+        enough = np.bincount(doc, pdf["n"]) >= LEAST_TOKENS
+        pdf, doc = pdf[enough[doc]], doc[enough[doc]]
+        at, terms = pd.factorize(pdf["term"].to_numpy(object), sort=True)
+        order = np.lexsort((at, doc))
+        names = [None if pd.isna(i) else i for i in ids[enough]]
+        row = (int(key[0]), int(key[1]), terms.tolist(), names, np.cumsum(np.bincount(doc)[enough.nonzero()[0]]).tolist() if len(doc) else [], at[order].tolist(), pdf["n"].to_numpy()[order].tolist())
+        return pd.DataFrame([row] if len(doc) else [], columns=["slice", "block", "terms", "docs", "ends", "at", "n"])
 
     dealt = lambda n, *salt: F.pmod(F.xxhash64("doc", *salt), F.lit(n))
-    rows = bags.select(dealt(slices, F.lit(7)).alias("slice"), dealt(blocks).alias("block"), F.col("doc").cast("string").alias("doc"), "term", "n")
+    rows = bags.select(dealt(slices, F.lit(7)).cast("int").alias("slice"), (dealt(blocks) * slices + dealt(slices, F.lit(7))).alias("block"), F.col("doc").cast("string").alias("doc"), "term", "n")
     return rows.groupBy("slice", "block").applyInPandas(pack, BLOCK)
 
 
@@ -90,24 +89,39 @@ def digamma(x: np.ndarray) -> np.ndarray:
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def infer_one(n: np.ndarray, beta: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, float]:
-    """(gamma, what the document says of its terms, bound) from its counts and its terms' rows of exp E[log beta]."""
-    k = beta.shape[1]
-    gamma = np.ones(k)
+def infer_many(n: np.ndarray, beta: np.ndarray, starts: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gamma, what each count says of its term, bound) of documents whose counts begin at ``starts``, from their terms' rows of exp E[log beta].
+
+    All go on together; a document stops at its own least change.
+    """
+    k, sizes = beta.shape[1], np.diff(np.append(starts, len(n)))
+    gamma, live = np.ones((len(starts), k)), np.arange(len(starts))
+    of, first, own_n, own_beta = np.repeat(live, sizes), starts, n, beta
     for _ in range(ROUNDS):
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        new = alpha + theta * ((n / (beta @ theta + 1e-100)) @ beta)
-        done = np.abs(new - gamma).mean() < LEAST_CHANGE
-        gamma = new
-        if done:
+        before = gamma[live]
+        theta = np.exp(digamma(before) - digamma(before.sum(1))[:, None])
+        share = own_n / ((own_beta * theta[of]).sum(1) + 1e-100)
+        gamma[live] = alpha + theta * np.add.reduceat(share[:, None] * own_beta, first)
+        moving = np.abs(gamma[live] - before).mean(1) >= LEAST_CHANGE
+        if not moving.any():
             break
-    log_theta = digamma(gamma) - digamma(gamma.sum())
-    theta = np.exp(log_theta)
-    norm = beta @ theta + 1e-100
-    bound = float(n @ np.log(norm) + ((alpha - gamma) * log_theta).sum() + (_lgamma(gamma) - math.lgamma(alpha)).sum() + math.lgamma(alpha * k) - math.lgamma(gamma.sum()))
+        if not moving.all():
+            own_n, own_beta, live = own_n[moving[of]], own_beta[moving[of]], live[moving]
+            of = np.repeat(np.arange(len(live)), sizes[live])
+            first = np.cumsum(sizes[live]) - sizes[live]
+    log_theta = digamma(gamma) - digamma(gamma.sum(1))[:, None]
+    theta = np.repeat(np.exp(log_theta), sizes, axis=0)
+    norm = (beta * theta).sum(1) + 1e-100
+    bound = np.add.reduceat(n * np.log(norm), starts) + ((alpha - gamma) * log_theta).sum(1) + (_lgamma(gamma) - math.lgamma(alpha)).sum(1) + math.lgamma(alpha * k) - _lgamma(gamma.sum(1))
     return gamma, (n / norm)[:, None] * theta * beta, bound
 
 
+def infer_one(n: np.ndarray, beta: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same of one document."""
+    gamma, stat, bound = infer_many(n, beta, np.zeros(1, np.int64), alpha)
+    return gamma[0], stat, float(bound[0])
+
+
 def new_terms(terms: DataFrame, topics: int) -> DataFrame:
     """(term, weights): first weights near 1, told apart by a hash of term and topic."""
     some = lambda k: 0.8 + 0.4 * (F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << 20)) / (1 << 20))
@@ -136,21 +150,21 @@ def inferred(model: Model, bags: DataFrame) -> DataFrame:
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("place", "term")).join(expected(model), "term").select("of", "place", "beta")
 
     def infer(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for block in own.itertuples():
-            beta, has = np.zeros((len(block.terms), topics)), np.zeros(len(block.terms), bool)
-            if len(known):
-                beta[known["place"]], has[known["place"]] = np.stack(known["beta"].to_numpy()), True
-            total, start = np.zeros_like(beta), 0
-            for doc, end in zip(block.docs, block.ends, strict=True):
-                at, n, start = block.at[start:end], block.n[start:end], end
-                at, n = at[has[at]], n[has[at]]
-                if len(at):
-                    gamma, stat, bound = infer_one(n.astype(float), beta[at], alpha)
-                    total[at] += stat
-                    out.append((doc, None, gamma.tolist(), bound))
-            out += [(None, t, x.tolist(), None) for t, x, h in zip(block.terms, total, has, strict=True) if h]
-        return pd.DataFrame(out, columns=["doc", "term", "stat", "bound"])
+        nothing = pd.DataFrame([], columns=["doc", "term", "stat", "bound"])
+        if not len(own) or not len(known):
+            return nothing
+        block = own.iloc[0]
+        beta, has = np.zeros((len(block["terms"]), topics)), np.zeros(len(block["terms"]), bool)
+        beta[known["place"]], has[known["place"]] = np.stack(known["beta"].to_numpy()), True
+        of = np.repeat(np.arange(len(block["docs"])), np.diff(block["ends"], prepend=0))
+        ok = has[block["at"]]
+        at, n, of = block["at"][ok], block["n"][ok], of[ok]
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        gamma, stat, bound = infer_many(n.astype(float), beta[at], starts, alpha)
+        total = np.stack([np.bincount(at, stat[:, k], len(beta)) for k in range(topics)], 1)[has]
+        docs = pd.DataFrame({"doc": block["docs"][of[starts]], "term": None, "stat": list(gamma), "bound": bound})
+        terms = pd.DataFrame({"doc": None, "term": block["terms"][has], "stat": list(total), "bound": None})
+        return pd.concat([docs, terms]).astype({"bound": float})
 
     return blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInPandas(infer, "doc string, term string, stat array<double>, bound double")
 
@@ -184,8 +198,8 @@ def _terms(blocks: DataFrame) -> DataFrame:
 
 
 def fit(bags: DataFrame, topics: int = TOPICS, passes: int = PASSES, updates: int = UPDATES, alpha: float = ALPHA, eta: float = ETA) -> Model:
-    """A model of all documents of ``bags`` (doc, term, n), which are read twice."""
-    blocks = cut(packed(bags, updates), "blocks")
+    """A model of all documents of ``bags`` (doc, term, n), which are read twice, or of packed blocks, whose slices are the updates."""
+    blocks = bags if "ends" in bags.columns else cut(packed(bags, updates), "blocks")
     sizes = _documents(blocks)
     model = Model(cut(new_terms(_terms(blocks), topics), "topics"), topics, sum(sizes.values()), 0, alpha, eta)
     return _passes(model, blocks, sizes, passes)
@@ -217,7 +231,7 @@ def coherence(weights: Column) -> Column:
 
 
 def document_topics(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY, bags: DataFrame | None = None) -> DataFrame:
-    """(key, topic, probability): topics of each document from ``least`` up; topic -1 is "general". ``bags``: the documents' words, where at hand."""
+    """(key, topic, probability): topics of each document from ``least`` up; topic -1 is "general". ``bags``: the documents' words, packed or not, where at hand."""
     bags = cut(words(docs, key, text), "bags") if bags is None else bags
     gamma = cut(inferred(model, bags).where("term IS NULL").select(F.col("doc").cast(docs.schema[key].dataType), F.col("stat").alias("g")), "gamma")
     share = F.transform("g", lambda x: x / F.aggregate("g", F.lit(0.0), lambda a, y: a + y))

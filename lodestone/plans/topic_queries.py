@@ -10,18 +10,19 @@ from lodestone.session import table
 from lodestone.storage import cut
 
 
-def bags(spark, sf):
-    return cut(topics.words(table(spark, sf, "documents")), "bags")
+def blocks(spark, sf):
+    bags = cut(topics.words(table(spark, sf, "documents")), "bags")
+    return cut(topics.packed(bags, topics.UPDATES), "blocks")
 
 
 @query("topic_model_terms", None)
 def topic_model_terms(spark, sf):
-    t = topics.topic_terms(topics.fit(bags(spark, sf)))
+    t = topics.topic_terms(topics.fit(blocks(spark, sf)))
     return t.select("topic", "rank", "term", F.round("weight", 9).alias("weight"), F.round("coherence", 9).alias("coherence"))
 
 
 @query("topic_model_documents", None)
 def topic_model_documents(spark, sf):
-    words = bags(spark, sf)
+    words = blocks(spark, sf)
     d = topics.document_topics(topics.fit(words), table(spark, sf, "documents"), bags=words)
     return d.withColumn("probability", F.round("probability", 6))

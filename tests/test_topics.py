@@ -43,6 +43,32 @@ def test_inference_of_one_document_equals_the_plain_equations():
         assert bound < float(n @ np.log(beta.max(1)))
 
 
+def test_documents_together_equal_each_alone():
+    rnd = np.random.default_rng(5)
+    sizes = np.array([1, 7, 30, 2, 12])
+    starts, n, beta = np.cumsum(sizes) - sizes, rnd.integers(1, 9, sizes.sum()).astype(float), rnd.uniform(1e-4, 0.3, (sizes.sum(), 3))
+    gamma, stat, bound = topics.infer_many(n, beta, starts)
+    for k, (a, m) in enumerate(zip(starts, sizes, strict=True)):
+        g, s, b = topics.infer_one(n[a : a + m], beta[a : a + m])
+        assert np.allclose(gamma[k], g) and np.allclose(stat[a : a + m], s) and bound[k] == pytest.approx(b)
+
+
+def test_blocks_hold_every_long_document(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BUCKET", 10)
+    rows = [(i, f"word{i % 7} word{i % 5} shared shared shared") for i in range(40)] + [(None, "nobody nobody wrote these words"), (-7, "too short")]
+    bags = topics.words(spark.createDataFrame(rows + [(3, "more words")], "doc_id long, text string"))
+    got = {}
+    for r in topics.packed(bags, 2).collect():
+        for k, doc in enumerate(r.docs):
+            assert doc not in got
+            a, b = r.ends[k - 1] if k else 0, r.ends[k]
+            got[doc] = {r.terms[t]: n for t, n in zip(r.at[a:b], r.n[a:b], strict=True)}
+    want = defaultdict(dict)
+    for r in bags.collect():
+        want[None if r.doc is None else str(r.doc)][r.term] = r.n
+    assert got == {d: t for d, t in want.items() if sum(t.values()) >= 5} and len(got) == 41 and "words" in got["3"]
+
+
 def planted(n, seed):
     """Documents of one of three vocabularies each, with a few common words."""
     rnd = random.Random(seed)
