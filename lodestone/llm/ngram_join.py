@@ -462,6 +462,20 @@ def _rows(kind: int, x: np.ndarray):
     return pd.DataFrame(cols).astype({c: "Int64" for c in ("a", "b", "x", "y")})
 
 
+def meetings(parts: DataFrame) -> DataFrame:
+    """(a, b) of pairs that meet often enough under each order, from ``parts`` (a, b, need, times) of their meetings.
+
+    A part counts in COUNT_BITS what one chunk of postings holds, which is less than those bits tell; parts are summed
+    an order at a time in longs, so that no number of meetings wraps.
+    """
+    share = lambda k: F.shiftright("times", COUNT_BITS * k).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+    met = parts.groupBy("a", "b").agg(F.max("need").alias("need"), *[F.sum(share(k)).alias(f"t{k}") for k in range(ORDERS)])
+    enough = F.col("t0") >= F.greatest("need", F.lit(1))
+    for k in range(1, ORDERS):
+        enough &= F.col(f"t{k}") >= F.col("need")
+    return met.where(enough).select("a", "b")
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, n_links) for every id.
 
@@ -476,15 +490,11 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     seen = described(rows, ranks, width, percent)
     members = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("cls"), F.col("x").alias("n"))
     full = members.where(F.col("cls").isNotNull())
-    met = seen.where("kind = 2").groupBy("a", "b").agg(F.max("x").alias("need"), F.sum("y").alias("times"))
-    share = lambda k: F.shiftright("times", COUNT_BITS * k).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
-    enough = share(0) >= F.greatest("need", F.lit(1))
-    for k in range(1, ORDERS):
-        enough &= share(k) >= F.col("need")
+    met = meetings(seen.where("kind = 2").select("a", "b", F.col("x").alias("need"), F.col("y").alias("times")))
     # A common shingle's node must not meet a class's: classes are even, shingles odd.
     even = lambda c, name: F.col(c).bitwiseAND(F.lit(-2)).alias(name)
     ties = seen.where("kind = 1").select(even("a", "a"), F.col("b").bitwiseOR(F.lit(1)).alias("b"))
-    clusters = connected_components(met.where(enough).select(even("a", "a"), even("b", "b")).union(ties))
+    clusters = connected_components(met.select(even("a", "a"), even("b", "b")).union(ties))
     clusters = clusters.where(F.col("node").bitwiseAND(F.lit(1)) == 0).withColumnRenamed("node", "even")
     sizes = full.groupBy("cls").agg(F.max("n").alias("n")).select(even("cls", "even"), "n").groupBy("even").agg(F.sum("n").alias("n"))
     clusters = clusters.join(sizes, "even")
