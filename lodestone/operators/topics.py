@@ -96,17 +96,18 @@ def infer_many(n: np.ndarray, beta: np.ndarray, starts: np.ndarray, alpha: float
     """
     k, sizes = beta.shape[1], np.diff(np.append(starts, len(n)))
     gamma, live = np.ones((len(starts), k)), np.arange(len(starts))
-    of, first, own_n, own_beta = np.repeat(live, sizes), starts, n, beta
+    of, first, own_n, own_beta = np.repeat(live, sizes), starts, n, np.ascontiguousarray(beta.T)
     for _ in range(ROUNDS):
         before = gamma[live]
-        theta = np.exp(digamma(before) - digamma(before.sum(1))[:, None])
-        share = own_n / ((own_beta * theta[of]).sum(1) + 1e-100)
-        gamma[live] = alpha + theta * np.add.reduceat(share[:, None] * own_beta, first)
+        theta = np.exp(digamma(before) - digamma(before.sum(1))[:, None]).T
+        share = own_n / (sum(b * t[of] for b, t in zip(own_beta, theta, strict=True)) + 1e-100)
+        gamma[live] = alpha + (theta * np.stack([np.add.reduceat(share * b, first) for b in own_beta])).T
         moving = np.abs(gamma[live] - before).mean(1) >= LEAST_CHANGE
         if not moving.any():
             break
         if not moving.all():
-            own_n, own_beta, live = own_n[moving[of]], own_beta[moving[of]], live[moving]
+            stay, live = moving[of], live[moving]
+            own_n, own_beta = own_n[stay], own_beta[:, stay]
             of = np.repeat(np.arange(len(live)), sizes[live])
             first = np.cumsum(sizes[live]) - sizes[live]
     log_theta = digamma(gamma) - digamma(gamma.sum(1))[:, None]
@@ -129,17 +130,16 @@ def new_terms(terms: DataFrame, topics: int) -> DataFrame:
 
 
 def expected(model: Model) -> DataFrame:
-    """(term, beta): exp E[log beta] of every term."""
-    sums = model.state.agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(model.topics)]).first()
+    """(term, b0, b1, ...): exp E[log beta] of every term under each topic."""
+    each = [F.col("weights")[k] for k in range(model.topics)]
+    sums = model.state.agg(*[F.sum(w).alias(f"s{k}") for k, w in enumerate(each)]).first()
     norm = digamma(np.array([float(s or 1.0) for s in sums]))
 
-    @F.pandas_udf("array<double>")
-    def beta(weights: pd.Series) -> pd.Series:
-        if not len(weights):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.exp(digamma(np.stack(weights.to_numpy())) - norm)))
+    @F.pandas_udf(", ".join(f"b{k} double" for k in range(model.topics)))
+    def beta(*weights: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({f"b{k}": np.exp(digamma(w.to_numpy(float)) - norm[k]) for k, w in enumerate(weights)})
 
-    return model.state.select("term", beta("weights").alias("beta"))
+    return model.state.select("term", beta(*each).alias("_b")).select("term", "_b.*")
 
 
 def inferred(model: Model, bags: DataFrame) -> DataFrame:
@@ -147,26 +147,28 @@ def inferred(model: Model, bags: DataFrame) -> DataFrame:
     of a block's terms, and a row (doc, null, gamma, bound) for each document with a term that the model knows; ``doc`` is text."""
     blocks = bags if "ends" in bags.columns else packed(bags)
     topics, alpha = model.topics, model.alpha
-    asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("place", "term")).join(expected(model), "term").select("of", "place", "beta")
+    shares = [f"s{k}" for k in range(topics)]
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("place", "term")).join(expected(model), "term").drop("term")
 
     def infer(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame([], columns=["doc", "term", "stat", "bound"])
         if not len(own) or not len(known):
-            return nothing
+            return pd.DataFrame([], columns=["doc", "term", *shares, "bound"])
         block = own.iloc[0]
         beta, has = np.zeros((len(block["terms"]), topics)), np.zeros(len(block["terms"]), bool)
-        beta[known["place"]], has[known["place"]] = np.stack(known["beta"].to_numpy()), True
+        beta[known["place"]], has[known["place"]] = known[[f"b{k}" for k in range(topics)]], True
         of = np.repeat(np.arange(len(block["docs"])), np.diff(block["ends"], prepend=0))
         ok = has[block["at"]]
         at, n, of = block["at"][ok], block["n"][ok], of[ok]
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         gamma, stat, bound = infer_many(n.astype(float), beta[at], starts, alpha)
         total = np.stack([np.bincount(at, stat[:, k], len(beta)) for k in range(topics)], 1)[has]
-        docs = pd.DataFrame({"doc": block["docs"][of[starts]], "term": None, "stat": list(gamma), "bound": bound})
-        terms = pd.DataFrame({"doc": None, "term": block["terms"][has], "stat": list(total), "bound": None})
+        docs = pd.DataFrame({"doc": block["docs"][of[starts]], "term": None, **dict(zip(shares, gamma.T, strict=True)), "bound": bound})
+        terms = pd.DataFrame({"doc": None, "term": block["terms"][has], **dict(zip(shares, total.T, strict=True)), "bound": None})
         return pd.concat([docs, terms]).astype({"bound": float})
 
-    return blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInPandas(infer, "doc string, term string, stat array<double>, bound double")
+    schema = f"doc string, term string, {', '.join(f'{s} double' for s in shares)}, bound double"
+    rows = blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInPandas(infer, schema)
+    return rows.select("doc", "term", F.array(*shares).alias("stat"), "bound")
 
 
 def stepped(model: Model, bags: DataFrame, documents: int) -> Model:

@@ -55,7 +55,7 @@ def test_documents_together_equal_each_alone():
 
 def test_blocks_hold_every_long_document(spark, monkeypatch):
     monkeypatch.setattr(topics, "BUCKET", 10)
-    rows = [(i, f"word{i % 7} word{i % 5} shared shared shared") for i in range(40)] + [(None, "nobody nobody wrote these words"), (-7, "too short")]
+    rows = [(i, f"word{'abcdefg'[i % 7]} term{'vwxyz'[i % 5]} shared shared shared") for i in range(40)] + [(None, "nobody nobody wrote certain words"), (-7, "too short")]
     bags = topics.words(spark.createDataFrame(rows + [(3, "more words")], "doc_id long, text string"))
     got = {}
     for r in topics.packed(bags, 2).collect():
