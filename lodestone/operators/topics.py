@@ -3,7 +3,7 @@
 The state is (term, weights): one row for each term of all documents seen, so a vocabulary of any size is dealt like any
 other table. Documents are packed once into blocks of about BUCKET (document, term) counts, whose terms are named once a
 block. An update takes a slice of the blocks: each block's terms, not each document's, meet the terms' rows, all its
-documents are inferred from these, and what they say of its terms is summed over the slice. Documents are dealt to slices
+documents are inferred from these, together, and what they say of its terms is summed over the slice. Documents are dealt to slices
 and blocks by hashes of the id; a pass makes UPDATES of slices, and the driver sees sums of as many numbers as there are
 topics or slices. New documents update a fitted model: their new terms join the table, and the step size goes on falling.
 
@@ -30,8 +30,8 @@ TOPICS, ALPHA, ETA, DECAY, OFFSET, ROUNDS, LEAST_CHANGE = 3, 0.1, 0.01, 0.5, 1.0
 LEAST_TOKENS, LEAST_PROBABILITY, GENERAL_COHERENCE = 5, 0.01, 0.5
 #: Passes over all documents, updates in a pass.
 PASSES, UPDATES = 2, 2
-#: Counts (document, term) of a block, on average; a task infers a block at a time.
-BUCKET = 500_000
+#: Counts (document, term), or characters of texts, of a block, on average; a task packs or infers a block at a time.
+BUCKET, CHARACTERS = 200_000, 2_000_000
 
 
 @dataclasses.dataclass
@@ -45,37 +45,67 @@ class Model:
     eta: float = ETA
 
 
+def counted(text: Column) -> Column:
+    """The words of a text that count, in order, as keyword density counts them."""
+    return F.filter(T.letters(text), lambda w: (F.length(w) > 2) & ~w.isin(*T.KEYWORD_STOP_WORDS))
+
+
 def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, n): the counted words of each document, as keyword density counts them."""
-    found = docs.select(F.col(key).alias("doc"), F.explode(T.letters(F.col(text))).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*T.KEYWORD_STOP_WORDS))
-    return found.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    """(doc, term, n): the counted words of each document."""
+    return docs.select(F.col(key).alias("doc"), F.explode(counted(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 BLOCK = "slice int, block long, terms array<string>, docs array<string>, ends array<int>, at array<int>, n array<int>"
 
 
+def _row(key: tuple, doc: np.ndarray, ids: np.ndarray, at: np.ndarray, terms: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """A block from distinct (document, term) counts, by document; documents of too few words drop out."""
+    enough = np.bincount(doc, n, len(ids)) >= LEAST_TOKENS
+    stay = enough[doc]
+    used, at = np.unique(at[stay], return_inverse=True)
+    names = [None if pd.isna(i) else i for i in ids[enough]]
+    row = (int(key[0]), int(key[1]), terms[used], names, np.cumsum(np.bincount(doc, minlength=len(ids))[enough]), at, n[stay])
+    return pd.DataFrame([row] if len(names) else [], columns=["slice", "block", "terms", "docs", "ends", "at", "n"])
+
+
+def _dealt(blocks: int, slices: int) -> tuple[Column, Column, Column]:
+    """Slice and block of a document, and its id as text."""
+    part = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(slices)).cast("int")
+    return part.alias("slice"), (F.pmod(F.xxhash64("doc"), F.lit(blocks)) * slices + part).alias("block"), F.col("doc").cast("string").alias("doc")
+
+
 def packed(bags: DataFrame, slices: int = 1) -> DataFrame:
     """(slice, block, terms, docs, ends, at, n): the bags of documents with LEAST_TOKENS words or more, a row a block.
 
     ``docs`` are ids as text; the k-th one's counts ``n`` are those up to ``ends[k]``, each of the term at place ``at`` in ``terms``.
     """
-    blocks = max(1, -(-bags.count() // (BUCKET * slices)))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         doc, ids = pd.factorize(pdf["doc"].to_numpy(object), use_na_sentinel=False)
-        enough = np.bincount(doc, pdf["n"]) >= LEAST_TOKENS
-        pdf, doc = pdf[enough[doc]], doc[enough[doc]]
         at, terms = pd.factorize(pdf["term"].to_numpy(object), sort=True)
         order = np.lexsort((at, doc))
-        names = [None if pd.isna(i) else i for i in ids[enough]]
-        row = (int(key[0]), int(key[1]), terms.tolist(), names, np.cumsum(np.bincount(doc)[enough.nonzero()[0]]).tolist() if len(doc) else [], at[order].tolist(), pdf["n"].to_numpy()[order].tolist())
-        return pd.DataFrame([row] if len(doc) else [], columns=["slice", "block", "terms", "docs", "ends", "at", "n"])
+        return _row(key, doc[order], ids, at[order], terms, pdf["n"].to_numpy()[order])
 
-    dealt = lambda n, *salt: F.pmod(F.xxhash64("doc", *salt), F.lit(n))
-    rows = bags.select(dealt(slices, F.lit(7)).cast("int").alias("slice"), (dealt(blocks) * slices + dealt(slices, F.lit(7))).alias("block"), F.col("doc").cast("string").alias("doc"), "term", "n")
+    rows = bags.select(*_dealt(-(-bags.count() // (BUCKET * slices)) or 1, slices), "term", "n")
     return rows.groupBy("slice", "block").applyInPandas(pack, BLOCK)
 
 
+def packed_texts(docs: DataFrame, slices: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same from texts: ``packed(words(docs))``, with one shuffle of the counted words and none of counts."""
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, ids = pd.factorize(pdf["doc"].to_numpy(object), use_na_sentinel=False)
+        said = [w.split(" ") if w else [] for w in pdf["said"]]
+        of = np.repeat(doc, [len(w) for w in said])
+        at, terms = pd.factorize(np.array([w for some in said for w in some], object), sort=True)
+        both, n = np.unique(of * max(1, len(terms)) + at, return_counts=True)
+        return _row(key, both // max(1, len(terms)), ids, both % max(1, len(terms)), terms, n)
+
+    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    rows = docs.select(F.col(key).alias("doc"), F.array_join(counted(F.col(text)), " ").alias("said")).where(F.col("said") != "")
+    return rows.select(*_dealt(-(-size // (CHARACTERS * slices)) or 1, slices), "said").groupBy("slice", "block").applyInPandas(pack, BLOCK)
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
     """Of positive numbers: the recurrence up to 6, then the asymptotic series."""
     x, out = np.array(x, float), np.zeros(np.shape(x))
@@ -234,7 +264,7 @@ def coherence(weights: Column) -> Column:
 
 def document_topics(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY, bags: DataFrame | None = None) -> DataFrame:
     """(key, topic, probability): topics of each document from ``least`` up; topic -1 is "general". ``bags``: the documents' words, packed or not, where at hand."""
-    bags = cut(words(docs, key, text), "bags") if bags is None else bags
+    bags = cut(packed_texts(docs, 1, key, text), "blocks") if bags is None else bags
     gamma = cut(inferred(model, bags).where("term IS NULL").select(F.col("doc").cast(docs.schema[key].dataType), F.col("stat").alias("g")), "gamma")
     share = F.transform("g", lambda x: x / F.aggregate("g", F.lit(0.0), lambda a, y: a + y))
     known = gamma.select("doc", F.posexplode(share).alias("topic", "probability")).where(F.col("probability") >= least)

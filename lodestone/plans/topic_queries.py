@@ -11,8 +11,7 @@ from lodestone.storage import cut
 
 
 def blocks(spark, sf):
-    bags = cut(topics.words(table(spark, sf, "documents")), "bags")
-    return cut(topics.packed(bags, topics.UPDATES), "blocks")
+    return cut(topics.packed_texts(table(spark, sf, "documents"), topics.UPDATES), "blocks")
 
 
 @query("topic_model_terms", None)

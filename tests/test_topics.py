@@ -56,17 +56,23 @@ def test_documents_together_equal_each_alone():
 def test_blocks_hold_every_long_document(spark, monkeypatch):
     monkeypatch.setattr(topics, "BUCKET", 10)
     rows = [(i, f"word{'abcdefg'[i % 7]} term{'vwxyz'[i % 5]} shared shared shared") for i in range(40)] + [(None, "nobody nobody wrote certain words"), (-7, "too short")]
-    bags = topics.words(spark.createDataFrame(rows + [(3, "more words")], "doc_id long, text string"))
-    got = {}
-    for r in topics.packed(bags, 2).collect():
-        for k, doc in enumerate(r.docs):
-            assert doc not in got
-            a, b = r.ends[k - 1] if k else 0, r.ends[k]
-            got[doc] = {r.terms[t]: n for t, n in zip(r.at[a:b], r.n[a:b], strict=True)}
-    want = defaultdict(dict)
+    monkeypatch.setattr(topics, "CHARACTERS", 100)
+    docs = spark.createDataFrame(rows + [(3, "more words"), (3, None), (99, "")], "doc_id long, text string")
+    bags, want = topics.words(docs), defaultdict(dict)
     for r in bags.collect():
         want[None if r.doc is None else str(r.doc)][r.term] = r.n
-    assert got == {d: t for d, t in want.items() if sum(t.values()) >= 5} and len(got) == 41 and "words" in got["3"]
+    want = {d: t for d, t in want.items() if sum(t.values()) >= 5}
+    assert len(want) == 41 and "words" in want["3"]
+    for blocks in (topics.packed(bags, 2), topics.packed_texts(docs, 2)):
+        got, rows = {}, blocks.collect()
+        assert len({r.block for r in rows}) == len(rows) > 2 and {r.slice for r in rows} == {0, 1}
+        for r in rows:
+            for k, doc in enumerate(r.docs):
+                assert doc not in got
+                a, b = r.ends[k - 1] if k else 0, r.ends[k]
+                got[doc] = {r.terms[t]: n for t, n in zip(r.at[a:b], r.n[a:b], strict=True)}
+        assert got == want
+    assert not topics.packed_texts(docs.limit(0)).collect() and not topics.packed_texts(docs.where("text = ''")).collect()
 
 
 def planted(n, seed):
