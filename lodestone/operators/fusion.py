@@ -93,6 +93,44 @@ def chosen_title() -> Column:
     return F.coalesce(full(F.col("source_title")), full(F.col("section_type")), F.when(F.col("file_name").isNotNull(), F.concat("file_name", F.lit(" - Chunk "), (F.col("chunk_index") + 1).cast("string"))), F.element_at(F.split("source", "/"), -1), F.lit("Untitled"))
 
 
+# What a hit's merged metadata take from the payload's root and from its nested metadata (the first that is there,
+# an empty text or a count of 0 giving way to the next), defaults, and parts of keys whose values are not shown.
+ROOT_FIELDS = {"source_url": "url", "document_id": "document_id", "created_at": "created_at", "last_modified": "updated_at", "repo_name": "source", "project_id": "source"}
+NESTED_FIELDS = {
+    "original_filename": ("file_name",), "file_size": ("file_size",), "original_file_type": ("file_type", "original_file_type"), "word_count": ("word_count",),
+    "char_count": ("character_count", "char_count", "line_count"), "chunk_index": ("sub_chunk_index",), "total_chunks": ("total_sub_chunks",),
+    "chunking_strategy": ("chunking_strategy", "conversion_method"), "collection_name": ("collection_name",), "section_title": ("section_title",),
+    "parent_section": ("parent_section",), "file_encoding": ("file_encoding",), "conversion_failed": ("conversion_failed",), "is_excel_sheet": ("is_excel_sheet",),
+}
+NESTED_DEFAULTS = {"conversion_failed": "false", "is_excel_sheet": "false"}
+SENSITIVE, HIDDEN = ("password", "secret", "token", "api_key", "apikey"), "[REDACTED]"
+
+
+def merged_metadata(info: Column, metadata: Column, components: Column, chunk_index: Column, total_chunks: Column) -> Column:
+    """map<string,string>: a hit's metadata from its payload's root, its nested metadata (maps of text) and its components (an array of maps).
+
+    Later ones win: root, nested fields that are there, components in order. A component's keys with a leading underscore
+    stay out and values of sensitive keys are hidden. Null maps are empty; a field that the root lacks is the empty text.
+    """
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    info, metadata = F.coalesce(info, none), F.coalesce(metadata, none)
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    told = lambda k: F.when(~at(metadata, k).isin("", *(["0"] if k.endswith("count") else [])), at(metadata, k))
+    name, folder = told("file_name"), told("file_directory")
+    root = {k: F.coalesce(at(info, v), F.lit("")) for k, v in ROOT_FIELDS.items()}
+    root["file_path"] = F.coalesce(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), name), at(metadata, "file_name"), F.lit(""))
+    # Of several fields the first that tells something, or else the last.
+    nested = {k: F.coalesce(*[told(v) for v in of[:-1]], at(metadata, of[-1])) for k, of in NESTED_FIELDS.items()}
+    for k, value in (("chunk_index", chunk_index.cast("string")), ("total_chunks", total_chunks.cast("string")), *((k, F.lit(v)) for k, v in NESTED_DEFAULTS.items())):
+        nested[k] = F.coalesce(nested[k], value)
+    built = lambda fields: F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values()))
+    over = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+    secret = lambda k: reduce(lambda a, b: a | b, [F.lower(k).contains(w) for w in SENSITIVE])
+    shown = lambda c: F.transform_values(F.map_filter(c, lambda k, _: ~k.startswith("_")), lambda k, v: F.when(secret(k), F.lit(HIDDEN)).otherwise(v))
+    own = over(built(root), F.map_filter(built(nested), lambda _, v: v.isNotNull()))
+    return F.aggregate(F.coalesce(components, F.array().cast("array<map<string,string>>")), own, lambda m, c: over(m, shown(F.coalesce(c, none))))
+
+
 def linear_scores(df: DataFrame, wv: float, wk: float, wm: float) -> DataFrame:
     """Weighted sum of three scores, divided by the query's largest."""
     raw = df.withColumn("raw", wv * F.col("vs") + wk * F.col("ks") + wm * F.col("ms"))

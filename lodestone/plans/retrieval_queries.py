@@ -174,6 +174,36 @@ def titles(spark, sf):
     return results(spark, sf).select("doc_id", fusion.chosen_title().alias("title"))
 
 
+_S = lambda x: f"CAST({x} AS STRING)"
+#: Payload of a result, as text: root, nested metadata, and two components, of which the first may lack.
+_ROOT = {"url": "source_url", "document_id": "document_id", "source": "source", "created_at": _S("created_day")}
+_NESTED = {
+    "file_name": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE file_name END", "file_directory": f"CASE WHEN doc_id % 3 = 0 THEN concat('dir', {_S('doc_id % 5')}, '/') END", "file_size": _S("file_size"),
+    "file_type": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE file_type END", "original_file_type": "'original'", "char_count": _S("doc_id % 3"), "line_count": _S("doc_id % 100"),
+    "sub_chunk_index": f"CASE WHEN doc_id % 5 = 0 THEN {_S('doc_id % 4 + 10')} END", "section_title": "section_type",
+}
+_PARTS = ({"section_title": "source_title", "depth": _S("depth"), "_own": "'x'"}, {"Author_Token": "author", "word_count": _S("word_count")})
+_OWN = {
+    "file_path": f"CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 3 = 0 THEN concat('dir', {_S('doc_id % 5')}, '/', file_name) ELSE file_name END",
+    "original_filename": _NESTED["file_name"], "file_size": _NESTED["file_size"], "original_file_type": "CASE WHEN doc_id % 4 = 0 THEN 'original' ELSE file_type END",
+    "char_count": _S("CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 ELSE doc_id % 3 END"), "chunk_index": _S("CASE WHEN doc_id % 5 = 0 THEN doc_id % 4 + 10 ELSE chunk_index END"), "total_chunks": "'4'", "conversion_failed": "'false'", "is_excel_sheet": "'false'",
+}
+_MERGED = [
+    *[f"SELECT doc_id, 0 AS p, '{k}' AS k, {v} AS v FROM results" for k, v in {"source_url": "source_url", "document_id": "document_id", "created_at": _S("created_day"), "last_modified": "''", "repo_name": "coalesce(source, '')", "project_id": "coalesce(source, '')"}.items()],
+    *[f"SELECT doc_id, 1, '{k}', {v} FROM results WHERE {v} IS NOT NULL" for k, v in {**_OWN, "section_title": "section_type"}.items()],
+    *[f"SELECT doc_id, 2, '{k}', {_PARTS[0][k]} FROM results WHERE doc_id % 6 <> 0" for k in ("section_title", "depth")],
+    "SELECT doc_id, 3, 'Author_Token', '[REDACTED]' FROM results", f"SELECT doc_id, 3, 'word_count', {_S('word_count')} FROM results",
+]
+
+
+@query("result_metadata", f"WITH {R}, e AS ({' UNION ALL '.join(_MERGED)}) SELECT doc_id, k AS field, v AS value FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY p DESC) = 1")
+def metadata(spark, sf):
+    m = lambda fields: "map(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    r = results(spark, sf).selectExpr("doc_id", f"{m(_ROOT)} AS info", f"{m(_NESTED)} AS metadata", f"array(CASE WHEN doc_id % 6 <> 0 THEN {m(_PARTS[0])} END, {m(_PARTS[1])}) AS components", "chunk_index")
+    merged = fusion.merged_metadata(F.col("info"), F.col("metadata"), F.col("components"), F.col("chunk_index"), F.lit(4))
+    return r.select("doc_id", F.explode(merged).alias("field", "value"))
+
+
 @query("result_deduplicate", f"WITH {R}, k AS (SELECT doc_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY doc_id) AS r FROM results) SELECT doc_id, parent_id FROM k WHERE parent_id IS NULL OR r = 1")
 def deduplicate(spark, sf):
     return fusion.deduplicate(results(spark, sf).select("doc_id", "parent_id"), "parent_id", [F.col("doc_id")])
