@@ -32,7 +32,7 @@ def contextual_prefix(source: Column, title: Column, project: Column) -> Column:
 
 
 def paragraphs(df: DataFrame, key: str, text: str, pattern: str = r"\n\s*\n") -> DataFrame:
-    parts = F.filter(F.transform(F.split(text, pattern), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: p != "")
     return df.select(key, F.posexplode(parts).alias("position", "paragraph")).withColumn("position", F.col("position").cast("long"))
 
 
