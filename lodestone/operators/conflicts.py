@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,15 +248,72 @@ def version_conflicts(results: DataFrame) -> DataFrame:
     return p.select("a", "b", F.array_join("x.on", ",").alias("versions_a"), F.array_join("y.on", ",").alias("versions_b"), kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def vector_band(points: DataFrame, low: float = 0.6, high: float = 0.95, by: str = "label") -> DataFrame:
-    """Pairs of equal ``by`` whose cosine lies in the band, tiered: 0.8 and over first, 0.5 second."""
-    from lodestone.operators.retrieval import cosine
+#: Vectors that meet in one block of pairs from either side, on average.
+VECTOR_BLOCK = 2048
+#: How far below and above a band a product of single precision may lie that is then computed in double precision.
+MARGIN = 1e-4
 
-    x = points.select(by, F.col("doc_id").alias("a"), F.col("v").alias("va"))
-    y = points.select(by, F.col("doc_id").alias("b"), F.col("v").alias("vb"))
-    p = x.join(y, by).where("a < b").withColumn("score", F.round(cosine(F.col("va"), F.col("vb")), 6)).where(F.col("score").between(low, high))
+
+def vector_band(points: DataFrame, low: float = 0.6, high: float = 0.95, by: str = "label", block: int = VECTOR_BLOCK) -> DataFrame:
+    """Pairs of equal ``by`` whose cosine lies in the band, tiered: 0.8 and over first, 0.5 second.
+
+    The rows of a value are dealt into blocks, and each two blocks meet under a key of their own as two matrices; pairs
+    near the band are then computed in double precision, an entry after the other. ``low`` lies above 0, the cosine of what
+    has no direction: a vector that is null or zero, holds nulls or is of another length.
+    """
+    if low <= 0:
+        raise ValueError("low must be positive")
+    p = points.where(F.col(by).isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())).select(F.col(by).alias("of"), F.size("v").alias("d"), "doc_id", "v")
+    n = p.groupBy("of", "d").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    p = p.join(n, ["of", "d"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = p.select("of", "d", "doc_id", "v", "own", other).select("of", "d", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "v")
+    kind = points.schema["doc_id"].dataType.simpleString()
+    met = dealt.groupBy("of", "d", "low", "high").applyInArrow(_near_band(low, high), f"a {kind}, b {kind}, cosine double")
+    scored = met.select("a", "b", F.round("cosine", 6).alias("score")).where(F.col("score").between(low, high))
     tier = F.when(F.col("score") >= 0.8, "primary").when(F.col("score") >= 0.5, "secondary").otherwise("tertiary")
-    return p.select("a", "b", "score", tier.alias("tier"))
+    return scored.select("a", "b", "score", tier.alias("tier"))
+
+
+def _near_band(low: float, high: float, rows: int = 512):
+    """Of a block's rows, the pairs near the band with their cosine: of two blocks those across, of one all."""
+
+    def of(key, table):
+        import pyarrow as pa
+
+        first, second = key[2].as_py(), key[3].as_py()
+        v = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+        ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+        ok = np.isfinite(v).all(1)
+        v, ids, own = v[ok], ids[ok], own[ok]
+        length = np.sqrt(_dots(v, v))
+        with np.errstate(all="ignore"):
+            unit = np.where(length[:, None] > 0, v / length[:, None], 0.0).astype(np.float32)
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        found = []
+        for at in range(0, len(left), rows):
+            some = left[at : at + rows]
+            near = unit[some] @ unit[right].T
+            i, j = np.nonzero((near > low - MARGIN) & (near < high + MARGIN))
+            i, j = some[i], right[j]
+            if first == second:
+                kept = ids[i] < ids[j]
+                i, j = i[kept], j[kept]
+            swap = ids[i] > ids[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            found.append((ids[i], ids[j], _dots(v[i], v[j]) / (length[i] * length[j])))
+        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"a": a, "b": b, "cosine": c})
+
+    return of
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, summed in the order of their entries."""
+    s = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        s += x[:, k] * y[:, k]
+    return s
 
 
 def capped_by_tier(pairs: DataFrame, caps: dict[str, int]) -> DataFrame:
