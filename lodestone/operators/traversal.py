@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jaccard
 from lodestone.operators.graph import cooccurrence, keywords, node_id
 from lodestone.operators.similarity import _low, sharing_pairs
-from lodestone.storage import cut
+from lodestone.storage import cut, folder
 
 #: Shares of entities, topics and keywords in the similarity of nodes and of a node with a query.
 ENTITY, TOPIC, KEYWORD = 0.4, 0.3, 0.3
@@ -27,8 +27,8 @@ ENTITY, TOPIC, KEYWORD = 0.4, 0.3, 0.3
 SIMILAR, CONTAINS, MENTIONS, DISCUSSES, DEGREE, BETWEEN = 0.3, 1.0, 0.7, 0.6, 0.4, 0.6
 #: Most steps, most results, least weight of an edge, start nodes where nothing matches.
 HOPS, RESULTS, LEAST_WEIGHT, FALLBACK = 3, 20, 0.1, 3
-#: Sources whose shortest paths are counted at once.
-SOURCES = 50_000
+#: Sources whose shortest paths are counted at once: a level's tables lie on disk, a block costs its rounds.
+SOURCES = 500_000
 #: Paths to a node that a step keeps.
 KEPT = 2
 
@@ -87,36 +87,65 @@ def knowledge_edges(results: DataFrame) -> DataFrame:
     return section_edges(results).unionByName(both)
 
 
+class Levels:
+    """Tables of one schema by level, below one path of the shared folder: all of them are read as one table."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, folder(spark, "levels")
+
+    def put(self, k: int, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/level={k}")
+        return self.at(k)
+
+    def at(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={k}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("level")
+
+
 def betweenness(edges: DataFrame, sources: int = SOURCES, cut=cut) -> DataFrame:
     """(node, paths): the sum over pairs (s, t) of the share of shortest paths from s to t that pass through the node.
 
     Forward, a level at a time, shortest paths from all sources of a block are counted; backward, each node hands its
-    predecessors their share of all that lies behind it. Nodes that no path passes through are left out.
+    predecessors their share of all that lies behind it. A node that nothing leads to and that leads to one node alone
+    is no source of its own: its paths are those of that node, which count once more, and all of them pass through it.
+    Nodes go by numbers while levels run. Nodes that no path passes through are left out.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    from_ = cut(e.select(F.col("src").alias("source")).distinct(), "sources")
+    named = edges.select("src", "dst").where("src <> dst").distinct()
+    ids = cut(named.select(F.col("src").alias("name")).union(named.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+    number = lambda c: ids.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    e = cut(named.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), "edges")
+    out = e.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("only"))
+    leaves = out.where("n = 1").join(e.select(F.col("dst").alias("source")), "source", "left_anti")
+    led = leaves.groupBy(F.col("only").alias("source")).agg(F.count(F.lit(1)).alias("leaves"))
+    from_ = cut(out.join(leaves.select("source"), "source", "left_anti").join(led, "source", "left").select("source", F.coalesce("leaves", F.lit(0)).alias("leaves")), "sources")
     blocks, found = max(1, -(-from_.count() // sources)), []
     for b in range(blocks):
         own = from_.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
-        levels = [cut(own.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")), "level")]
+        forward, backward = Levels(e.sparkSession, "source long, node long, paths double"), Levels(e.sparkSession, "source long, node long, paths double, behind double")
+        last = forward.put(0, own.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))
+        deepest = 0
         while True:
-            step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            seen = functools.reduce(DataFrame.union, [x.select("source", "node") for x in levels])
-            new = cut(step.join(seen, ["source", "node"], "left_anti"), "level")
-            if not new.limit(1).count():
+            step = last.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), "paths", F.lit(False).alias("seen"))
+            seen = forward.all().select("source", "node", F.lit(0.0).alias("paths"), F.lit(True).alias("seen"))
+            new = step.union(seen).groupBy("source", "node").agg(F.sum("paths").alias("paths"), F.max("seen").alias("seen"))
+            last = forward.put(deepest + 1, new.where("NOT seen").drop("seen"))
+            if last.isEmpty():
                 break
-            levels.append(new)
-        behind = levels[-1].withColumn("behind", F.lit(0.0))
-        for before in reversed(levels[1:-1]):
-            found.append(behind.where("behind > 0").select("node", "behind"))
+            deepest += 1
+        reached = forward.all().where("source <> node").select("source").join(own.where("leaves > 0"), "source")
+        found.append(reached.groupBy(F.col("source").alias("node")).agg(F.sum("leaves").cast("double").alias("behind")))
+        behind = forward.at(deepest).withColumn("behind", F.lit(0.0))
+        for k in range(deepest - 1, 0, -1):
+            before = forward.at(k)
             share = behind.select("source", F.col("node").alias("dst"), ((1 + F.col("behind")) / F.col("paths")).alias("share"))
             got = before.join(e, F.col("node") == F.col("src")).join(share, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("share")).alias("behind"))
-            behind = cut(before.join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("behind", F.lit(0.0)).alias("behind")), "behind")
-        if len(levels) > 1:
-            found.append(behind.where("behind > 0").select("node", "behind"))
-    if not found:
-        return e.select(F.col("src").alias("node"), F.lit(0.0).alias("paths")).limit(0)
-    return functools.reduce(DataFrame.union, found).groupBy("node").agg(F.sum("behind").alias("paths"))
+            behind = backward.put(k, before.join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("behind", F.lit(0.0)).alias("behind")))
+        if deepest > 1:
+            found.append(backward.all().where("behind > 0").join(own, "source").select("node", (F.col("behind") * (1 + F.col("leaves"))).alias("behind")))
+    total = functools.reduce(DataFrame.union, found).groupBy("node").agg(F.sum("behind").alias("paths"))
+    return total.join(ids.withColumnRenamed("id", "node"), "node").select(F.col("name").alias("node"), "paths")
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, sources: int = SOURCES, cut=cut) -> DataFrame:
