@@ -27,4 +27,6 @@ def cluster_relationships(spark, sf):
 @query("cluster_quality", None)
 def cluster_quality(spark, sf):
     r = results(spark, sf)
-    return cluster_relations.quality(r, "hierarchy", similarity.coherence(r, "hierarchy"))
+    # Only the clusters that are shown are scored.
+    shown = cluster_relations.members(r, "hierarchy", 10).drop("cluster")
+    return cluster_relations.quality(r, "hierarchy", similarity.coherence(shown, "hierarchy"))
