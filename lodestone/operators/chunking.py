@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.batches import slices
 from lodestone.functions.identity import chunk_id
 
 CHUNK_SIZE, OVERLAP, MOST_CHUNKS = 1500, 200, 500
@@ -355,8 +356,9 @@ def chunk(df: DataFrame, key: str, text: str, content_type: str = "content_type"
     """
 
     @F.pandas_udf("array<string>")
-    def pieces(kind: pd.Series, body: pd.Series) -> pd.Series:
-        return pd.Series([(SPLITTERS[k](t or "", size) or [""])[:most] for k, t in zip(kind, body, strict=True)])
+    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some in slices(batches):
+            yield pd.Series([(SPLITTERS[k](t or "", size) or [""])[:most] for k, t in zip(*some, strict=True)])
 
     routed = df.withColumn("strategy", route(F.col(content_type))).withColumn("_parts", pieces("strategy", text))
     out = routed.select(key, "strategy", F.size("_parts").cast("long").alias("total_chunks"), F.posexplode("_parts").alias("chunk_index", "chunk"))
