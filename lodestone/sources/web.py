@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.batches import slices
 from lodestone.operators.chunking import html_blocks
 from lodestone.sources.files import MIME, glob_pattern
 from lodestone.storage import cut
@@ -59,8 +61,9 @@ def content(html: str, drop: tuple[str, ...] = ("nav", "header", "footer", "asid
 
 def contents(pages: DataFrame, key: str, html: str) -> DataFrame:
     @F.pandas_udf("string")
-    def of(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(content)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for (s,) in slices(batches):
+            yield s.fillna("").map(content)
 
     return pages.select(key, title(F.col(html)).alias("title"), of(html).alias("content"))
 
