@@ -65,18 +65,18 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
 def hits(edges: DataFrame, rounds: int = 20, cut=cut, tolerance: float | None = None) -> DataFrame:
     """(node, hub, authority), each scaled to sum 1.
 
-    With ``tolerance`` it ends before ``rounds`` where a round moves less hub weight than that in all.
+    With ``tolerance`` it ends before ``rounds`` where a round moves less hub weight than that in all. Weights are
+    shuffled to the edges: as broadcasts they would pass through the driver in each of many rounds.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     h = nodes.withColumn("hub", F.lit(1.0))
+    # A round's sums are written before their total is taken, so that they are made once.
     scaled = lambda df, c: df.join(F.broadcast(df.agg(F.sum(c).alias("_t"))), F.lit(True)).withColumn(c, F.col(c) / F.col("_t")).drop("_t")
     a = None
     for k in range(rounds):
         before = h
-        a = scaled(edges.join(h.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("weight")).alias("authority")), "authority")
-        a = cut(a)
-        h = scaled(edges.join(a.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("weight")).alias("hub")), "hub")
-        h = cut(h)
+        a = scaled(cut(edges.join(h.select(F.col("node").alias("src"), "hub").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("weight")).alias("authority"))), "authority")
+        h = scaled(cut(edges.join(a.select(F.col("node").alias("dst"), "authority").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("weight")).alias("hub"))), "hub")
         if tolerance is not None:
             moved = h.withColumnRenamed("hub", "now").join(before, "node", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("hub", F.lit(0.0)))))
             if (moved.first()[0] or 0.0) < tolerance:
