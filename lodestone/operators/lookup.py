@@ -85,17 +85,28 @@ def forms(text: Column) -> list[Column]:
 
 def targets(queries: DataFrame, docs: DataFrame, cut=cut) -> DataFrame:
     """(query_id, form, doc_id): for each query the document that holds all words of its strongest form that any document does:
-    the one that holds them most often, then that with the smallest id."""
+    the one that holds them most often, then that with the smallest id.
+
+    Texts are read once, for the words of the first form, which are those of all forms. A query meets only the documents
+    that hold its rarest word, and of the whole matches a task hands on the best of each query."""
     left = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = cut(left.select(F.explode(words(F.col("text"))).alias("word")).distinct(), "words")
     listed = docs.select("doc_id", F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
+    counted = listed.join(named, "word").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    held = cut(counted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "tf"))).alias("held")), "held")
+    often = cut(held.select(F.explode(F.map_keys("held")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "often")
     found = []
     for number, form in enumerate(forms(F.col("text"))):
-        asked = cut(left.select("query_id", form.alias("w")).where(F.size("w") > 0), "forms")
-        each = asked.select("query_id", F.size("w").alias("m"), F.explode("w").alias("word"))
-        # Only words that are asked for are counted.
-        held = listed.join(cut(each.select("word").distinct(), "words"), "word").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-        whole = held.join(each, "word").groupBy("query_id", "doc_id", "m").agg(F.count(F.lit(1)).alias("k"), F.sum("tf").alias("tf")).where("k = m")
-        best = whole.groupBy("query_id").agg(F.min(F.struct((-F.col("tf")).alias("t"), "doc_id")).alias("b")).select("query_id", F.lit(number).alias("form"), F.col("b.doc_id").alias("doc_id"))
+        asked = left.select("query_id", form.alias("w")).where(F.size("w") > 0)
+        each = asked.select("query_id", F.explode("w").alias("word")).join(often, "word", "left").select("query_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("w"))
+        # The rarest words come first; a word that no document holds leaves its query without a match.
+        ordered = each.groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("w")).where(F.col("w")[0]["n"] > 0)
+        ordered = cut(ordered.select("query_id", F.col("w")[0]["word"].alias("word"), F.transform("w", lambda x: x["word"]).alias("w")), "forms")
+        # Where a document and a query meet is written without the document's words, and so of known size.
+        met = cut(held.select("doc_id", F.explode(F.map_keys("held")).alias("word")).join(ordered.select("query_id", "word"), "word").select("query_id", "doc_id"), "met")
+        whole = held.join(met, "doc_id").join(ordered.select("query_id", "w"), "query_id").where(F.forall("w", lambda x: F.map_contains_key("held", x)))
+        tf = F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.element_at("held", x))
+        best = whole.groupBy("query_id").agg(F.min(F.struct((-tf).alias("t"), "doc_id")).alias("b")).select("query_id", F.lit(number).alias("form"), F.col("b.doc_id").alias("doc_id"))
         found.append(cut(best, "targets"))
         left = left.join(found[-1].select("query_id"), "query_id", "left_anti")
     return functools.reduce(DataFrame.unionByName, found)
