@@ -170,52 +170,90 @@ def start_nodes(queries: DataFrame, nodes: DataFrame, central: DataFrame | None
     return found.unionByName(queries.join(found, "query", "left_anti").select("query").join(F.broadcast(top), F.lit(True)))
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int = HOPS, least: float = LEAST_WEIGHT, kinds: tuple[str, ...] = (), cut=cut) -> DataFrame:
-    """(start, node, hops, weight, path, kinds): the best paths of each length from every start to the nodes that they reach."""
+def numbers(nodes: DataFrame, edges: DataFrame, cut=cut) -> DataFrame:
+    """(name, id): a number for each node of either table, in the names' order: paths of numbers are a fraction of those of names."""
+    names = nodes.select(F.col("node").alias("name")).union(edges.select("src")).union(edges.select("dst")).distinct()
+    return cut(cut(names, "names").orderBy("name").withColumn("id", F.monotonically_increasing_id()), "numbers")
+
+
+def numbered(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.join(ids.select(F.col("name").alias(c), F.col("id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return df
+
+
+def named(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """What ``traverse`` found over numbers, with the nodes' names."""
+    steps = found.select("query", "rank", F.posexplode("path").alias("at", "id")).join(ids, "id")
+    listed = steps.groupBy("query", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda s: s["name"]).alias("path"))
+    whole = found.drop("start", "node", "path").join(listed, ["query", "rank"])
+    return whole.withColumn("start", F.element_at("path", 1)).withColumn("node", F.element_at("path", -1)).select(*found.columns)
+
+
+def _sequence(paths: DataFrame) -> Column:
+    """The order of equal paths of one length: that of their nodes' names, or of numbers in the names' order."""
+    return F.array_join("path", ">") if paths.schema["path"].dataType.elementType.typeName() == "string" else F.col("path")
+
+
+def heaviest(edges: DataFrame, least: float = LEAST_WEIGHT, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, weight, kind): of several relations of two nodes the heaviest, which is walked."""
     e = edges.where(F.col("weight") >= least)
     if kinds:
         e = e.where(F.col("kind").isin(*kinds))
-    # Of several relations of two nodes the heaviest is walked.
-    e = e.groupBy("src", "dst").agg(F.max(F.struct("weight", "kind")).alias("e")).select("src", "dst", F.col("e.weight").alias("w"), F.col("e.kind").alias("k"))
-    e = cut(e, "edges")
+    return e.groupBy("src", "dst").agg(F.max(F.struct("weight", "kind")).alias("e")).select("src", "dst", "e.weight", "e.kind")
+
+
+def reach(edges: DataFrame, starts: DataFrame, hops: int = HOPS, least: float = LEAST_WEIGHT, kinds: tuple[str, ...] = (), cut=cut, relations: bool = True) -> DataFrame:
+    """(start, node, hops, weight, path, kinds): the best paths of each length from every start to the nodes that they reach.
+
+    Nodes are names, or ``numbers`` of them; without ``relations`` paths have no kinds.
+    """
+    e = heaviest(edges, least, kinds).withColumnsRenamed({"weight": "w", "kind": "k"})
+    e = cut(e if relations else e.drop("k"), "edges")
     at = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0.0).alias("weight"), F.array("start").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct()
+    at = at if relations else at.drop("kinds")
     found = []
-    best = Window.partitionBy("start", "node").orderBy(F.desc("weight"), F.array_join("path", ">"))
+    best = Window.partitionBy("start", "node").orderBy(F.desc("weight"), _sequence(at))
     for k in range(1, hops + 1):
         step = at.join(e, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        step = step.select("start", F.col("dst").alias("node"), F.round(F.col("weight") + F.col("w"), 6).alias("weight"), F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("k")).alias("kinds"))
+        walked = [F.concat("kinds", F.array("k")).alias("kinds")] if relations else []
+        step = step.select("start", F.col("dst").alias("node"), F.round(F.col("weight") + F.col("w"), 6).alias("weight"), F.concat("path", F.array("dst")).alias("path"), *walked)
         at = cut(step.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= KEPT).drop("_r"), "paths")
         found.append(at.withColumn("hops", F.lit(k).cast("long")))
     return functools.reduce(DataFrame.unionByName, found)
 
 
 def traverse(
-    paths: DataFrame, starts: DataFrame, queries: DataFrame, nodes: DataFrame, strategy: str = "weighted", results: int = RESULTS, central: DataFrame | None = None, per_start: int | None = None
+    paths: DataFrame, starts: DataFrame, queries: DataFrame, nodes: DataFrame, strategy: str = "weighted", results: int = RESULTS, central: DataFrame | None = None, per_start: int | None = None, cut=cut
 ) -> DataFrame:
     """(query, start, node, hops, weight, score, path, kinds, rank): a query's best reached nodes under a strategy.
 
     Each start gives its ``per_start`` best by the strategy's own order (default: as many as ``results``); over all
-    starts, the score with the query comes first and the weight of the path second.
+    starts, the score with the query comes first and the weight of the path second. Only an order by meaning needs all that a
+    start reaches to meet the queries; a query and a node are scored once, however many starts lead there.
     """
     if strategy not in STRATEGIES:
         raise ValueError(strategy)
     heavy = (F.desc("weight"), F.asc("hops")) if strategy == "weighted" else (F.asc("hops"), F.desc("weight"))
-    own = Window.partitionBy("start", "node").orderBy(*heavy, F.array_join("path", ">"))
+    own = Window.partitionBy("start", "node").orderBy(*heavy, _sequence(paths))
     one = paths.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")
-    none = F.array().cast("array<string>")
-    f = nodes.select("node", F.struct("entities", "topics", "keywords").alias("f"))
-    empty = F.struct(none.alias("entities"), none.alias("topics"), none.alias("keywords"))
-    asked = queries.select("query", F.struct("entities", "topics", "keywords").alias("q"))
-    all_ = starts.join(one, "start").join(f, "node", "left").withColumn("f", F.coalesce("f", empty)).join(asked, "query").withColumn("score", score("q", "f")).drop("q", "f")
     order = {"breadth_first": (F.asc("hops"), F.desc("weight")), "weighted": (F.desc("weight"),), "semantic": (F.desc("score"), F.asc("hops"), F.desc("weight"))}
     if strategy == "centrality":
-        all_ = all_.join(central.select("node", "centrality"), "node", "left")
+        one = one.join(central.select("node", "centrality"), "node", "left")
         order["centrality"] = (F.desc(F.coalesce("centrality", F.lit(0.0))), F.asc("hops"))
-    of_start = Window.partitionBy("query", "start").orderBy(*order[strategy], "node")
+    best = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order[strategy], "node"))).where(F.col("_r") <= (per_start or results)).drop("_r")
+    if strategy != "semantic":
+        one = best(one, "start")
+    asked = queries.select("query", F.struct("entities", "topics", "keywords").alias("q"))
+    met = cut(starts.join(asked, "query", "left_semi").join(one, "start"), "met")
+    f = nodes.select("node", F.struct("entities", "topics", "keywords").alias("f"))
+    scores = met.select("query", "node").distinct().join(f, "node").join(asked, "query").select("query", "node", score("q", "f").alias("score"))
+    kept = met.join(scores, ["query", "node"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if strategy == "semantic":
+        kept = best(kept, "query", "start")
     of_query = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("weight"), "start", "node")
-    kept = all_.withColumn("_r", F.row_number().over(of_start)).where(F.col("_r") <= (per_start or results))
     kept = kept.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= results)
-    return kept.select("query", "start", "node", "hops", "weight", "score", "path", "kinds", "rank")
+    return kept.select("query", "start", "node", "hops", "weight", "score", "path", *[c for c in ("kinds",) if c in kept.columns], "rank")
 
 
 def reasoning(paths: DataFrame, names: DataFrame) -> DataFrame:

@@ -51,9 +51,14 @@ def _traversal(spark, sf, strategy, central=None):
     nodes = cut(traversal.features(r), "features")
     asked = r.where(_QUERY).select(F.col("doc_id").alias("query"), traversal.doc_node().alias("node")).join(nodes, "node").drop("node", "kind", "name")
     starts = cut(traversal.start_nodes(asked, nodes, central), "starts")
-    paths = traversal.reach(traversal.knowledge_edges(r), starts)
+    edges = cut(traversal.heaviest(traversal.knowledge_edges(r)), "knowledge")
+    ids = traversal.numbers(nodes, edges)
+    number = lambda df, *columns: cut(traversal.numbered(df, ids, *columns), "numbered")
+    starts, nodes, central = number(starts, "start"), number(nodes, "node"), central and number(central, "node")
+    paths = traversal.reach(number(edges, "src", "dst"), starts, relations=False)
     found = traversal.traverse(paths, starts, asked, nodes, strategy, central=central)
-    return found.drop("kinds").withColumn("path", F.array_join("path", ">")).withColumn("rank", F.col("rank").cast("long"))
+    found = traversal.named(cut(found, "found"), ids)
+    return found.withColumn("path", F.array_join("path", ">")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("graph_traverse_breadth_first", _traversal_sql("hops, weight DESC", "hops, weight DESC"))
