@@ -32,11 +32,17 @@ def words(text: Column) -> Column:
 
 
 def read(results: DataFrame) -> DataFrame:
-    """(doc_id, f): what the similarity of texts looks at, once a document."""
+    """(doc_id, f): what the similarity of texts looks at, once a document.
+
+    ``words`` begins with ``plain`` words that are said as they stand; ``said`` has what is said besides these, ``meant`` is the number
+    of words that are no stop words."""
     low = F.lower(F.coalesce("text", F.lit("")))
     said = F.filter(F.array_distinct(T.letters(F.coalesce("text", F.lit("")))), lambda w: ~w.isin(*T.KEYWORD_STOP_WORDS))
     terms = F.filter(F.array(*[F.when(low.contains(t), F.lit(t)) for t in KEY_TERMS]), lambda t: t.isNotNull())
-    return results.select("doc_id", F.struct(words(F.col("text")).alias("words"), words(F.col("source_title")).alias("title"), said.alias("said"), terms.alias("terms"), _low("entities").alias("entities")).alias("f"))
+    r = results.select("doc_id", words(F.col("text")).alias("w"), words(F.col("source_title")).alias("title"), said.alias("s"), terms.alias("terms"), _low("entities").alias("entities"))
+    r = r.withColumn("plain", F.array_intersect("w", "s")).withColumn("words", F.concat("plain", F.array_except("w", "plain")))
+    meant = F.size(F.filter("w", lambda w: ~w.isin(*STOP_WORDS)))
+    return r.select("doc_id", F.struct("words", F.size("plain").alias("plain"), F.array_except("s", "plain").alias("said"), meant.alias("meant"), "title", "terms", "entities").alias("f"))
 
 
 def text_similarity(pairs: DataFrame, results: DataFrame) -> DataFrame:
@@ -44,16 +50,34 @@ def text_similarity(pairs: DataFrame, results: DataFrame) -> DataFrame:
     entities (1 of two empty texts, 0 of one); whether the smaller text lies in the other for over a fifth; whether titles or key
     terms make them alike."""
     facts = read(results)
-    p = pairs.select("a", "b").join(facts.select(F.col("doc_id").alias("a"), F.col("f").alias("x")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("f").alias("y")), "b")
+    return _compared(pairs.select("a", "b").join(facts.select(F.col("doc_id").alias("a"), F.col("f").alias("x")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("f").alias("y")), "b"))
+
+
+def similar_texts(results: DataFrame) -> DataFrame:
+    """``text_similarity`` of all pairs that share an entity.
+
+    Documents meet under their entities with their words, so words are shuffled once for each entity of a document, not for
+    each of its pairs; a pair counts under the first entity that it shares."""
+    each = read(results).select(F.explode("f.entities").alias("item"), "doc_id", "f").where("item IS NOT NULL").repartition("item")
+    x, y = each.select("item", F.col("doc_id").alias("a"), F.col("f").alias("x")), each.select("item", F.col("doc_id").alias("b"), F.col("f").alias("y"))
+    return _compared(x.join(y, "item").where("a < b").where(F.col("item") == F.array_min(F.array_intersect("x.entities", "y.entities"))))
+
+
+def _compared(p: DataFrame) -> DataFrame:
+    """Pairs (a, b, x, y) of what ``read`` gives."""
     col = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
-    meaning = lambda c: F.filter(c, lambda w: ~w.isin(*STOP_WORDS))
     six = lambda c: F.round(c * (1 + 1e-9), 6)  # noqa: E731  decimal ties, frequent in fractions of powers of 2, go up
-    (sx, sy), (wx, wy) = col("said"), col("words")
-    lexical = F.when((F.size(sx) == 0) & (F.size(sy) == 0), 1.0).when((F.size(sx) == 0) | (F.size(sy) == 0), 0.0).otherwise(TOKEN_SHARE * jaccard(sx, sy) + ENTITY_SHARE * jaccard(*col("entities")))
-    least = F.least(F.size(wx), F.size(wy))
-    overlap = F.when(least > 0, F.size(F.array_intersect(wx, wy)) / least > OVERLAP).otherwise(F.lit(False))
+    p = p.withColumn("common", F.array_intersect(*col("words")))
+    said = lambda z: F.concat(F.slice(F.col(f"{z}.words"), F.lit(1), F.col(f"{z}.plain")), F.col(f"{z}.said"))
+    p = p.withColumn("heard", F.size(F.array_intersect(said("x"), said("y"))))
+    share = lambda n, a, b: F.when((a > 0) & (b > 0), n / F.greatest(a + b - n, F.lit(1))).otherwise(F.lit(0.0))
+    sx, sy = (F.col(f"{z}.plain") + F.size(f"{z}.said") for z in ("x", "y"))
+    lexical = F.when((sx == 0) & (sy == 0), 1.0).when((sx == 0) | (sy == 0), 0.0).otherwise(TOKEN_SHARE * share(F.col("heard"), sx, sy) + ENTITY_SHARE * jaccard(*col("entities")))
+    least = F.least(*[F.size(w) for w in col("words")])
+    overlap = F.when(least > 0, F.size("common") / least > OVERLAP).otherwise(F.lit(False))
     alike = F.arrays_overlap(*col("title")) | (F.size(F.array_intersect(*col("terms"))) >= COMMON_TERMS)
-    return p.select("a", "b", six(jaccard(meaning(wx), meaning(wy))).alias("text"), six(lexical).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
+    text = share(F.size(F.filter("common", lambda w: ~w.isin(*STOP_WORDS))), *col("meant"))
+    return p.select("a", "b", six(text).alias("text"), six(lexical).alias("lexical"), overlap.alias("overlap"), alike.alias("alike"))
 
 
 def of_targets(results: DataFrame, targets: Column, k: int = KEPT) -> DataFrame:

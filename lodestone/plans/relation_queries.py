@@ -23,8 +23,7 @@ _TERMS = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') TH
 SELECT a, b, round({_JAC(_MEANT('x.w'), _MEANT('y.w'))} * (1 + 1e-9), 6) AS text, round((CASE WHEN len(x.s) = 0 AND len(y.s) = 0 THEN 1.0 WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0.0 ELSE 0.7::DOUBLE * {_JAC('x.s', 'y.s')} + 0.3::DOUBLE * {_JAC('x.e', 'y.e')} END) * (1 + 1e-9), 6) AS lexical,
  CASE WHEN least(len(x.w), len(y.w)) > 0 THEN len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) > 0.2 ELSE false END AS overlap, len(list_intersect(x.t, y.t)) > 0 OR len(list_intersect(x.k, y.k)) >= 2 AS alike FROM p JOIN f x ON x.doc_id = a JOIN f y ON y.doc_id = b""")
 def similarity_text(spark, sf):
-    r = results(spark, sf)
-    return relations.text_similarity(similarity.sharing_pairs(r, "entities"), r)
+    return relations.similar_texts(results(spark, sf))
 
 
 @query("similarity_target_relations", None)
