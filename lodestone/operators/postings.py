@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import BM25_B, BM25_EPSILON, BM25_K1, terms, tokens, top_k
+from lodestone.operators.retrieval import BM25_B, BM25_EPSILON, BM25_K1, terms, tokens, tokens_by, top_k
 from lodestone.storage import cut
 
 #: Folders of tokens, documents of a block on average, blocks that a query scores first for each result wanted.
@@ -73,7 +73,7 @@ def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 def _segment(docs: DataFrame, path: str, number: int, key: str, text: str) -> None:
     spark = docs.sparkSession
     ids = docs.select(F.col(key).cast("long").alias("doc")).where("doc IS NOT NULL").distinct()
-    each = tokens(docs.where(F.col(key).isNotNull()), key, text).withColumnRenamed(key, "doc").withColumn("doc", F.col("doc").cast("long"))
+    each = tokens_by(docs.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long")), key, text).withColumnRenamed(key, "doc")
     forward = each.groupBy("doc").agg(F.sum("tf").alias("len"), F.collect_list(F.struct("token", "tf")).alias("terms")).withColumn("segment", F.lit(number))
     _write(forward, path, "forward")
     own = read(spark, path, "forward").where(F.col("segment") == number)
@@ -91,7 +91,9 @@ def _segment(docs: DataFrame, path: str, number: int, key: str, text: str) -> No
     size = max(1, math.ceil(documents / BLOCK))
     # A block: documents of one class of length, by a hash of the id within it.
     block = F.concat_ws(":", F.floor(F.log2("len")).cast("string"), F.pmod(F.xxhash64("doc"), F.lit(max(1, size // 4))).cast("string"))
-    posted = own.select("doc", "len", block.alias("block"), F.explode("terms").alias("t")).select("t.token", "block", F.struct("doc", "t.tf", "len").alias("p"))
+    # Documents are dealt by their block, so that a block's lists are made where they stand; only whole lists are shuffled.
+    dealt = own.select("doc", "len", block.alias("block"), "terms").repartition("block")
+    posted = dealt.select("doc", "len", "block", F.explode("terms").alias("t")).select("t.token", "block", F.struct("doc", "t.tf", "len").alias("p"))
     lists = posted.groupBy("token", "block").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max("p.tf").alias("most"), F.min("p.len").alias("least"))
     lists = lists.select("token", "block", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), "most", "least")
     _write(lists.withColumn("segment", F.lit(number)).withColumn("bucket", bucket()), path, "postings", "segment", "bucket")

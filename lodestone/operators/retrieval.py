@@ -26,6 +26,8 @@ SPARSE_K1 = 1.2
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 #: Queries that meet the whole table at once.
 QUERY_BLOCK = 512
+#: Tasks that count the tokens of one part of the input.
+DEALT = 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,6 +132,14 @@ def tokens(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORD
     return df.select(key, F.explode(terms(text, stop)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def tokens_by(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``tokens``, dealt by the key alone: texts are shuffled once, tokens not at all, and groups by the key need no further shuffle.
+
+    A part of the input is dealt to ``DEALT`` tasks, as a task holds the tokens of all its texts at once."""
+    some = df.select(key, text)
+    return tokens(some.repartition(DEALT * max(1, some.rdd.getNumPartitions()), key), key, text)
+
+
 def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(key, token, tf) of the tokens in ``wanted`` only, other columns of which are carried along.
 
@@ -153,7 +163,7 @@ def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def encode_documents(df: DataFrame, key: str, text: str, k1: float = SPARSE_K1) -> DataFrame:
     """Sparse weights tf * (k1 + 1) / (tf + k1)."""
-    return tokens(df, key, text).withColumn("w", sparse_weight(k1))
+    return tokens_by(df, key, text).withColumn("w", sparse_weight(k1))
 
 
 def sparse_weight(k1: float = SPARSE_K1) -> Column:
