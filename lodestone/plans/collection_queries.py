@@ -8,7 +8,7 @@ from lodestone.operators import collection, query as understanding, retrieval
 from lodestone.plans.model import R, results
 from lodestone.plans.registry import query
 from lodestone.session import table
-from lodestone.storage import folder
+from lodestone.storage import cut, folder
 
 
 def created(spark, sf):
@@ -20,7 +20,9 @@ def created(spark, sf):
     p = r.select("doc_id", "document_id", "project_id", "source_type", "source", F.col("source_title").alias("title"), day.alias("created_at"), "is_attachment", F.col("parent_id").alias("parent_document_id"), F.col("file_type").alias("original_file_type"), "is_converted", "chunk_index")
     path = folder(spark, "collection")
     size = v.select(F.size("dense").alias("n")).first()
-    collection.create(p.join(v, "doc_id", "left").join(w, "doc_id", "left"), path, size.n if size else collection.VECTOR_SIZE)
+    # Written, as dealing points to ranges reads them twice.
+    whole = cut(p.join(v, "doc_id", "left").join(w, "doc_id", "left"), "points")
+    collection.create(whole, path, size.n if size else collection.VECTOR_SIZE)
     return path
 
 
