@@ -136,3 +136,38 @@ def test_passes_raise_the_bound(spark):
     bound = lambda m: topics.inferred(m, bags).where("term IS NULL").agg({"bound": "sum"}).first()[0]
     assert bound(topics.fit(bags, passes=1, updates=1)) < bound(topics.fit(bags, passes=4, updates=1))
     assert topics.fit(bags.limit(0)).documents == 0
+
+
+def test_terms_go_in_few_rows_and_meet_by_number(spark, monkeypatch):
+    monkeypatch.setattr(topics, "PART", 40)
+    monkeypatch.setattr(topics, "CHARACTERS", 1500)
+    docs = spark.createDataFrame(planted(60, 4), "doc_id long, text string")
+    blocks = topics.cut(topics.packed_texts(docs, 2))
+    dealt, held = topics.deal(blocks, 3), {r.block: r.terms for r in blocks.collect()}
+    names = {r.part: r.terms for r in dealt.terms.collect()}
+    assert len(names) > 2 and len(held) > 4 and sorted(t for part in names.values() for t in part) == sorted({t for some in held.values() for t in some})
+    asks = dealt.asks.collect()
+    # Arrays: a row for a block and a part at most, and every place of a block is asked for once.
+    assert len({(r.block, r.part) for r in asks}) == len(asks) < sum(map(len, held.values())) / 2
+    for block, some in held.items():
+        got = {at: names[r.part][i] for r in asks if r.block == block for at, i in zip(r.places, r.ids, strict=True)}
+        assert [got[at] for at in range(len(some))] == some
+    first = {r.term: r.weights for r in topics._state(dealt, 3).collect()}
+    assert first == {r.term: r.weights for r in topics.new_terms(topics.words(docs), 3).collect()}
+    # A model of some documents knows no other terms; what it infers does not depend on how they were dealt.
+    model = topics.fit(blocks)
+    other = spark.createDataFrame(planted(30, 8) + [(500, "nobody nobody knows these other words")], "doc_id long, text string")
+    gammas = lambda m: {r.doc: r.stat for r in topics.inferred(m, topics.words(other)).where("term IS NULL").collect()}
+    many = gammas(model)
+    assert set(many) == {str(i) for i in range(30)} and {r.term for r in topics.inferred(model, topics.words(other)).where("doc IS NULL").collect()} <= set(first)
+    monkeypatch.setattr(topics, "PART", 500_000)
+    one = gammas(model)
+    assert all(np.allclose(many[d], one[d], rtol=1e-9) for d in many)
+
+
+def test_counted_words(spark):
+    texts = ["Alpha be2ta gamma_x The over abc, \u00e9cole cole\u00e9 ab abc\U0001d400 \U0001d400abc x-ray-tube 9abc", "", None, "\u0130stanbul KELVIN\u212a don't"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    plain = topics.F.filter(topics.T.letters(topics.F.col("text")), lambda w: (topics.F.length(w) > 2) & ~w.isin(*topics.T.KEYWORD_STOP_WORDS))
+    rows = docs.select("k", topics.counted(topics.F.col("text")).alias("got"), plain.alias("want")).orderBy("k").collect()
+    assert all(r.got == r.want for r in rows) and rows[0].got == ["alpha", "abc", "ray", "tube"]
