@@ -7,7 +7,9 @@ small and Spark broadcasts it by its size.
 
 from __future__ import annotations
 
+import dataclasses
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -122,9 +124,18 @@ def in_blocks(queries: DataFrame, run, block: int = QUERY_BLOCK, cut=cut) -> Dat
     return run(some[0]) if len(some) == 1 else reduce(DataFrame.unionByName, [cut(run(q)) for q in some])
 
 
+def every_token(text: str | Column) -> Column:
+    """A text's tokens in order, repeats and stop words included, as an array."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def terms(text: str | Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """A text's tokens in order, repeats included, as an array."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*stop))
+    return _without(every_token(text), stop)
+
+
+def _without(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*stop))
 
 
 def tokens(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -140,13 +151,49 @@ def tokens_by(df: DataFrame, key: str, text: str) -> DataFrame:
     return tokens(some.repartition(DEALT * max(1, some.rdd.getNumPartitions()), key), key, text)
 
 
+def read(docs: DataFrame, key: str = "doc_id", text: str = "text", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, _terms, and with ``embed`` v): every text's tokens, with blanks between them, and its vector, written once for all that ask for them."""
+    each = docs.select(key, text, every_token(text).alias("_each"))
+    of_tokens = getattr(embed, "of_tokens", None)
+    v = [] if embed is None else [(of_tokens(F.col("_each")) if of_tokens else embed(F.coalesce(text, F.lit("")))).alias("v")]
+    return cut(each.select(key, F.array_join(_without(F.col("_each")), " ").alias("_terms"), *v), "read")
+
+
+def _said(docs: DataFrame, text: str) -> Column:
+    """The tokens of a row's text, as ``read`` wrote them or from the text."""
+    return F.when(F.col("_terms") != "", F.split("_terms", " ")).otherwise(F.array().cast("array<string>")) if "_terms" in docs.columns else terms(text)
+
+
+@dataclasses.dataclass
+class Index:
+    """What the sparse and the keyword list of some queries need of all documents."""
+
+    #: (key, token, tf) of the queries' tokens
+    posted: DataFrame
+    #: (key, len) of the documents with tokens
+    lengths: DataFrame
+    #: (token, df) of all tokens
+    df: DataFrame
+
+
+def indexed(docs: DataFrame, *queries: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Of texts or of what ``read`` made of them; ``queries`` are tables of (query_id, text)."""
+    asked = [q.select(F.explode(terms("text")).alias("token")) for q in queries]
+    wanted = cut(reduce(DataFrame.unionByName, asked).distinct(), "wanted")
+    return Index(cut(postings(docs, key, text, wanted), "posted"), cut(_lengths(docs, key, text), "lengths"), cut(document_frequency(docs, key, text), "df"))
+
+
+def _lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, F.size(_said(docs, text)).alias("len")).groupBy(key).agg(F.sum("len").alias("len")).where("len > 0")
+
+
 def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(key, token, tf) of the tokens in ``wanted`` only, other columns of which are carried along.
 
     ``wanted`` has a row a token and is a written table, so Spark knows its size and, where that is
     small, no token that nobody asks for is shuffled.
     """
-    each = docs.select(key, F.explode(terms(text)).alias("token")).join(wanted, "token")
+    each = docs.select(key, F.explode(_said(docs, text)).alias("token")).join(wanted, "token")
     return each.groupBy(key, *wanted.columns).agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -155,8 +202,8 @@ def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
     repeats are told apart by id and token."""
     again = cut(docs.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_again"))
     same = F.col(key).eqNullSafe(F.col("_again"))
-    once = docs.join(again, same, "left_anti").select(F.explode(F.array_distinct(terms(text))).alias("token"))
-    more = docs.join(again, same, "left_semi").select(key, F.explode(terms(text)).alias("token")).distinct().select("token")
+    once = docs.join(again, same, "left_anti").select(F.explode(F.array_distinct(_said(docs, text))).alias("token"))
+    more = docs.join(again, same, "left_semi").select(key, F.explode(_said(docs, text)).alias("token")).distinct().select("token")
     parts = [x.groupBy("token").agg(F.count(F.lit(1)).alias("df")) for x in (once, more)]
     return parts[0].unionByName(parts[1]).groupBy("token").agg(F.sum("df").alias("df"))
 
@@ -175,24 +222,27 @@ def encode_queries(df: DataFrame, key: str, text: str) -> DataFrame:
     return tokens(df, key, text).withColumn("w", 1 + F.log(F.col("tf").cast("double")))
 
 
-def sparse(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sparse(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
+    """Products of sparse weights; ``index``: of ``docs`` and these queries at least, where at hand."""
     q = cut(encode_queries(queries, "query_id", text).select("query_id", "token", F.col("w").alias("wq")))
-    d = postings(docs, key, text, cut(q.select("token").distinct())).withColumn("w", sparse_weight())
+    d = (postings(docs, key, text, cut(q.select("token").distinct())) if index is None else index.posted).withColumn("w", sparse_weight())
     hits = d.join(q, "token").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     return top_k(hits, k, tie=key)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Okapi BM25 over the whole table; a negative idf is replaced by epsilon times the mean idf. Positive scores only."""
-    lengths = docs.select(key, F.size(terms(text)).alias("len")).groupBy(key).agg(F.sum("len").alias("len")).where("len > 0")
+def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
+    """Okapi BM25 over the whole table; a negative idf is replaced by epsilon times the mean idf. Positive scores only.
+
+    ``index``: of ``docs`` and these queries at least, where at hand."""
+    lengths = _lengths(docs, key, text) if index is None else index.lengths
     facts = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     q = cut(tokens(queries, "query_id", text).select("query_id", "token", F.col("tf").alias("qtf")))
-    df = cut(document_frequency(docs, key, text)).join(F.broadcast(facts), F.lit(True))
+    df = (cut(document_frequency(docs, key, text)) if index is None else index.df).join(F.broadcast(facts), F.lit(True))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(q.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean), F.lit(True))
     idf = cut(idf.select("token", "avgdl", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")))
-    posted = postings(docs, key, text, idf).join(lengths, key)
+    posted = (postings(docs, key, text, idf) if index is None else index.posted.join(idf, "token")).join(lengths, key)
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avgdl")))
     hits = posted.withColumn("part", part).join(q, "token").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
     return top_k(hits.where("score > 0"), k, tie=key)
@@ -221,8 +271,8 @@ def embedding_batches(texts: DataFrame, key: str, text: str, budget: int, cap: i
     return t.withColumn("batch", F.floor(F.coalesce(F.sum("tokens").over(before), F.lit(0)) / budget).cast("long"))
 
 
-def hashing_embedder(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an embedding service: signed token hashes summed into ``size`` places.
+def hashed(words: Column, size: int = 64) -> Column:
+    """Signed hashes of a text's tokens summed into ``size`` places; zeros of null.
 
     Tokens are hashed once where they stand; Arrow batches of their places and signs are summed.
     """
@@ -231,5 +281,13 @@ def hashing_embedder(text: Column, size: int = 64) -> Column:
     def summed(codes: pd.Series) -> pd.Series:
         return pd.Series([np.bincount(c >> 1, weights=1.0 - 2.0 * (c & 1), minlength=size) for c in (np.asarray(x if x is not None else (), np.int64) for x in codes)], dtype=object)
 
-    t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return summed(F.transform(t, lambda w: (2 * F.pmod(F.xxhash64(w), F.lit(size)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("long")))
+    return summed(F.transform(words, lambda w: (2 * F.pmod(F.xxhash64(w), F.lit(size)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("long")))
+
+
+def hashing_embedder(text: Column, size: int = 64) -> Column:
+    """A deterministic stand-in for an embedding service: ``hashed`` tokens of a text."""
+    return hashed(every_token(text), size)
+
+
+#: The same of a text whose tokens are at hand.
+hashing_embedder.of_tokens = hashed

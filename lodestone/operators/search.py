@@ -35,13 +35,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str = "wrrf",
     return best.join(shown, "doc_id")
 
 
-def vector_leg(docs: DataFrame, queries: DataFrame, fetch: int, embed: Callable[[Column], Column] | None) -> DataFrame:
-    """The vector list of a batch of (query_id, text): sparse hits, and with ``embed`` their equal-weight rank fusion with dense hits."""
-    sparse = retrieval.in_blocks(queries, lambda q: retrieval.sparse(q, docs, fetch))
+def vector_leg(docs: DataFrame, queries: DataFrame, fetch: int, embed: Callable[[Column], Column] | None, index: retrieval.Index | None = None) -> DataFrame:
+    """The vector list of a batch of (query_id, text): sparse hits, and with ``embed`` their equal-weight rank fusion with dense hits.
+
+    Where ``docs`` has vectors ``v``, these are met."""
+    sparse = retrieval.in_blocks(queries, lambda q: retrieval.sparse(q, docs, fetch, index=index))
     if embed is None:
         return sparse.select("query_id", "doc_id", "score")
     at = lambda df, key: df.select(key, embed(F.coalesce("text", F.lit(""))).alias("v"))
-    dense = retrieval.dense_blocks(at(queries, "query_id"), cut(at(docs, "doc_id"), "vectors"), fetch)
+    vectors = docs.select("doc_id", "v") if "v" in docs.columns else cut(at(docs, "doc_id"), "vectors")
+    dense = retrieval.dense_blocks(at(queries, "query_id"), vectors, fetch)
     fused = fusion.wrrf(dense, sparse, 1.0, 1.0).select("query_id", "doc_id", F.round("score", 9).alias("score"))
     return retrieval.top_k(fused, fetch).select("query_id", "doc_id", "score")
 
@@ -54,7 +57,7 @@ def orchestrated(
     Intents and their configurations; expansion of the vector leg; dense and sparse fused as the vector list, BM25 as the
     keyword list; weighted fusion above each query's threshold; boosts by metadata and by the sources an intent prefers;
     re-ranking, if asked for; diversity where an intent wants it; the best ``k``. ``where`` filters documents before any list
-    is made. Returns (query_id, doc_id, score, rank, intent, mode) and what is shown of a document.
+    is made; their texts are read once, for vectors, lengths, frequencies and postings alike. Returns (query_id, doc_id, score, rank, intent, mode) and what is shown of a document.
     """
     some = docs if where is None else docs.where(where)
     c = cut(query.configs(queries), "configs")
@@ -62,7 +65,10 @@ def orchestrated(
     wide = asked.join(c.select("query_id", "expand"), "query_id").select("query_id", F.when(F.col("expand"), query.expand(F.col("text"))).otherwise(F.col("text")).alias("text"))
     # The most results that any configuration asks for; a query takes what its own does.
     n = fetch or min(max(x.max_results for x in (query.SearchConfig(), *query.BY_INTENT.values())) + 5, 2 * k) * 3
-    vector, keyword = vector_leg(some, cut(wide, "wide"), n, embed), retrieval.in_blocks(asked, lambda q: retrieval.bm25(q, some, n))
+    wide = cut(wide, "wide")
+    said = retrieval.read(some, embed=embed)
+    index = retrieval.indexed(said, asked, wide)
+    vector, keyword = vector_leg(said, wide, n, embed, index), retrieval.in_blocks(asked, lambda q: retrieval.bm25(q, said, n, index=index))
     hits = fusion.combined_each(cut(vector, "vector"), cut(keyword, "keyword"), c.select("query_id", "wv", "wk", "least"))
     meta = some.select("doc_id", "source_type", "section_type", "source", fusion.boost().alias("factor"))
     raised = hits.join(meta, "doc_id").join(c.select("query_id", "intent", "confidence", "most", "diversity", "preferences"), "query_id")

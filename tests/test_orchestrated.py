@@ -80,3 +80,39 @@ def test_the_dense_leg_and_reranking_change_the_order(spark, sf, asked):
     both, sparse, ranked = order(), order(embed=None), order(rerank=True)
     assert both != sparse and both != ranked and len(both) == 20 >= len(sparse) >= 10
     assert search.orchestrated(docs, asked.limit(0)).count() == 0
+
+
+def test_texts_are_read_once(spark, sf, asked):
+    """Vectors, lengths, frequencies and postings come from one pass over the texts; lists from what it wrote equal those from the texts."""
+    docs = results(spark, sf).where("doc_id < 150")
+    docs = docs.unionByName(docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("again implementation "), "text")))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(text):
+        @F.udf("string")
+        def same(x):
+            calls.add(1)
+            return x
+
+        return same(text)
+
+    told = docs.withColumn("text", counting(F.col("text")))
+    some = asked.fillna("")
+    said = retrieval.read(told, embed=retrieval.hashing_embedder)
+    index = retrieval.indexed(said, some)
+    pairs = [(retrieval.bm25(some, told, 30, index=index), retrieval.bm25(some, docs, 30)), (retrieval.sparse(some, told, 30, index=index), retrieval.sparse(some, docs, 30))]
+    for got, want in pairs:
+        assert sorted(map(tuple, got.select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
+    assert calls.value == docs.count()
+    vectors = lambda df: sorted((r.doc_id, list(r.v)) for r in df.collect())
+    assert vectors(said) == vectors(docs.select("doc_id", retrieval.hashing_embedder(F.col("text")).alias("v")))
+    # The search as a whole: each text once, but for what is shown of a document.
+    calls.value = 0
+    whole = results(spark, sf).where("doc_id < 150").withColumn("text", counting(F.col("text")))
+    assert search.orchestrated(whole, some, 10).count() > 20 and calls.value == 150
+
+
+def test_an_embedder_of_texts_alone_is_asked_for_each_text(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    size = lambda text: F.array(F.length(text).cast("double"))
+    assert sorted((r.doc_id, r._terms, r.v) for r in retrieval.read(docs, embed=size).fillna("").collect()) == [(1, "one two", [7.0]), (2, "", [0.0])]
