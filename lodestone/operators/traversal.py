@@ -1,7 +1,7 @@
 """Walks over the knowledge graph: sections, centrality by shortest paths, and traversal from a query's start nodes.
 
-Edges are followed from source to target. Every loop here runs over levels, each written to the shared folder: the
-rows of a level are (start, node) pairs, so no node's neighbourhood meets in one task and a lost executor costs a level.
+Edges are followed from source to target. Every loop here runs over rounds, each written to the shared folder: the
+rows of a round are (start, node) pairs, so no node's neighbourhood meets in one task and a lost executor costs a round.
 
 A traversal keeps each reached node with its best path, where a queue would keep the first path it pops: breadth first
 the shortest (heavier first among equals), weighted the heaviest, by centrality or meaning the shortest, ranked by the
@@ -27,8 +27,8 @@ ENTITY, TOPIC, KEYWORD = 0.4, 0.3, 0.3
 SIMILAR, CONTAINS, MENTIONS, DISCUSSES, DEGREE, BETWEEN = 0.3, 1.0, 0.7, 0.6, 0.4, 0.6
 #: Most steps, most results, least weight of an edge, start nodes where nothing matches.
 HOPS, RESULTS, LEAST_WEIGHT, FALLBACK = 3, 20, 0.1, 3
-#: Sources whose shortest paths are counted at once: a level's tables lie on disk, a block costs its rounds.
-SOURCES = 500_000
+#: Rows that may meet for each known pair in a round of shortest paths; where fewer than one source in FEW goes on, only their pairs are read.
+SPREAD, FEW = 4, 8
 #: Paths to a node that a step keeps.
 KEPT = 2
 
@@ -88,7 +88,7 @@ def knowledge_edges(results: DataFrame) -> DataFrame:
 
 
 class Levels:
-    """Tables of one schema by level, below one path of the shared folder: all of them are read as one table."""
+    """Tables of one schema by round, below one path of the shared folder: all of them are read as one table."""
 
     def __init__(self, spark: SparkSession, schema: str):
         self.spark, self.schema, self.path = spark, schema, folder(spark, "levels")
@@ -104,13 +104,16 @@ class Levels:
         return self.spark.read.schema(self.schema).parquet(self.path).drop("level")
 
 
-def betweenness(edges: DataFrame, sources: int = SOURCES, cut=cut) -> DataFrame:
+def betweenness(edges: DataFrame, spread: int = SPREAD, cut=cut) -> DataFrame:
     """(node, paths): the sum over pairs (s, t) of the share of shortest paths from s to t that pass through the node.
 
-    Forward, a level at a time, shortest paths from all sources of a block are counted; backward, each node hands its
-    predecessors their share of all that lies behind it. A node that nothing leads to and that leads to one node alone
-    is no source of its own: its paths are those of that node, which count once more, and all of them pass through it.
-    Nodes go by numbers while levels run. Nodes that no path passes through are left out.
+    Forward, once all pairs up to a distance are known, those at just that distance meet the pairs that begin where
+    they end: a round finds all pairs up to twice the distance, so rounds are few however long the paths are. It goes
+    less far, one edge at least, where more than ``spread`` rows would meet for each known pair. Every shortest path
+    of a new pair has one node at which its halves meet. Backward, the paths of a pair pass through that node and are
+    handed to the two halves, each a pair of an earlier round, down to single edges. A node that nothing leads to and
+    that leads to one node alone is no source of its own: its paths are those of that node, which count once more, and
+    all of them pass through it. Nodes go by numbers meanwhile. Nodes that no path passes through are left out.
     """
     named = edges.select("src", "dst").where("src <> dst").distinct()
     ids = cut(named.select(F.col("src").alias("name")).union(named.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
@@ -120,39 +123,61 @@ def betweenness(edges: DataFrame, sources: int = SOURCES, cut=cut) -> DataFrame:
     leaves = out.where("n = 1").join(e.select(F.col("dst").alias("source")), "source", "left_anti")
     led = leaves.groupBy(F.col("only").alias("source")).agg(F.count(F.lit(1)).alias("leaves"))
     from_ = cut(out.join(leaves.select("source"), "source", "left_anti").join(led, "source", "left").select("source", F.coalesce("leaves", F.lit(0)).alias("leaves")), "sources")
-    blocks, found = max(1, -(-from_.count() // sources)), []
-    for b in range(blocks):
-        own = from_.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
-        forward, backward = Levels(e.sparkSession, "source long, node long, paths double"), Levels(e.sparkSession, "source long, node long, paths double, behind double")
-        last = forward.put(0, own.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))
-        deepest = 0
-        while True:
-            step = last.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), "paths", F.lit(False).alias("seen"))
-            seen = forward.all().select("source", "node", F.lit(0.0).alias("paths"), F.lit(True).alias("seen"))
-            new = step.union(seen).groupBy("source", "node").agg(F.sum("paths").alias("paths"), F.max("seen").alias("seen"))
-            last = forward.put(deepest + 1, new.where("NOT seen").drop("seen"))
-            if last.isEmpty():
+    spark, whole = e.sparkSession, from_.count()
+    pairs, sizes = Levels(spark, "source long, node long, hops long, paths double, weight double"), Levels(spark, "source long, hops long, n long")
+    halves, flows = Levels(spark, "source long, mid long, node long, hops long, paths double, share double, weight double"), Levels(spark, "source long, mid long, node long, hops long, flow double")
+    size = lambda df: df.groupBy("source", "hops").agg(F.count(F.lit(1)).alias("n"))
+    last = pairs.put(0, e.withColumnRenamed("src", "source").join(from_, "source").select("source", F.col("dst").alias("node"), F.lit(1).cast("long").alias("hops"), F.lit(1.0).alias("paths"), (1.0 + F.col("leaves")).alias("weight")))
+    sizes.put(0, size(last))
+    # A round's distance before it, and how far it goes beyond.
+    known, rounds = 1, []
+    while True:
+        first = last.where(F.col("hops") == known)
+        ends = first.groupBy(F.col("node").alias("source")).agg(F.count(F.lit(1)).alias("m"))
+        meet = sizes.all().where(F.col("hops") <= known).join(ends, "source").groupBy("hops").agg(F.sum(F.col("n") * F.col("m")).alias("n")).orderBy("hops").collect()
+        if not meet:
+            break
+        further, rows, most = known, 0, spread * pairs.all().count()
+        for r in meet:
+            rows += r.n
+            if r.hops > 1 and rows > most:
+                further = r.hops - 1
                 break
-            deepest += 1
-        reached = forward.all().where("source <> node").select("source").join(own.where("leaves > 0"), "source")
-        found.append(reached.groupBy(F.col("source").alias("node")).agg(F.sum("leaves").cast("double").alias("behind")))
-        behind = forward.at(deepest).withColumn("behind", F.lit(0.0))
-        for k in range(deepest - 1, 0, -1):
-            before = forward.at(k)
-            share = behind.select("source", F.col("node").alias("dst"), ((1 + F.col("behind")) / F.col("paths")).alias("share"))
-            got = before.join(e, F.col("node") == F.col("src")).join(share, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("share")).alias("behind"))
-            behind = backward.put(k, before.join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("behind", F.lit(0.0)).alias("behind")))
-        if deepest > 1:
-            found.append(backward.all().where("behind > 0").join(own, "source").select("node", (F.col("behind") * (1 + F.col("leaves"))).alias("behind")))
-    total = functools.reduce(DataFrame.union, found).groupBy("node").agg(F.sum("behind").alias("paths"))
+        k = len(rounds) + 1
+        second = pairs.all().where(F.col("hops") <= further).select(F.col("source").alias("mid"), F.col("node").alias("to"), F.col("hops").alias("h"), F.col("paths").alias("p"))
+        met = first.withColumnRenamed("node", "mid").join(second, "mid").where("source <> to").select("source", "mid", F.col("to").alias("node"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("paths") * F.col("p")).alias("ways"), "weight")
+        live = cut(first.select("source").distinct(), "live")
+        seen = pairs.all() if live.count() > whole / FEW else pairs.all().join(live, "source", "left_semi")
+        seen = seen.select("source", F.lit(None).cast("long").alias("mid"), "node", "hops", F.lit(0.0).alias("ways"), F.lit(0.0).alias("weight"))
+        pair = Window.partitionBy("source", "node")
+        nearest = met.union(seen).withColumn("least", F.min("hops").over(pair)).where("mid IS NOT NULL AND hops = least").withColumn("paths", F.sum("ways").over(pair))
+        new = halves.put(k, nearest.select("source", "mid", "node", "hops", "paths", (F.col("ways") / F.col("paths")).alias("share"), "weight"))
+        last = pairs.put(k, new.groupBy("source", "node").agg(*[F.first(c).alias(c) for c in ("hops", "paths", "weight")]))
+        sizes.put(k, size(last))
+        rounds.append((known, further))
+        known += further
+    for k in range(len(rounds), 0, -1):
+        known, further = rounds[k - 1]
+        back = halves.at(k).withColumn("given", F.lit(0.0))
+        # Only the next round's first halves are as long as this round's pairs; the second halves of any later one may be.
+        given = [flows.at(k + 1).select("source", F.col("mid").alias("node"), "flow")] if k < len(rounds) else []
+        for i in range(k + 1, len(rounds) + 1):
+            if rounds[i - 1][1] > known:
+                given.append(flows.at(i).where((F.col("hops") - rounds[i - 1][0]).between(known + 1, known + further)).select(F.col("mid").alias("source"), "node", "flow"))
+        if given:
+            back = back.drop("given").join(functools.reduce(DataFrame.union, given).groupBy("source", "node").agg(F.sum("flow").alias("given")), ["source", "node"], "left")
+        flows.put(k, back.select("source", "mid", "node", "hops", (F.col("share") * (F.col("weight") + F.coalesce("given", F.lit(0.0)))).alias("flow")))
+    found = [pairs.all().where("weight > 1").select(F.col("source").alias("node"), (F.col("weight") - 1).alias("flow"))]
+    found += [flows.all().select(F.col("mid").alias("node"), "flow")] if rounds else []
+    total = functools.reduce(DataFrame.union, found).groupBy("node").agg(F.sum("flow").alias("paths"))
     return total.join(ids.withColumnRenamed("id", "node"), "node").select(F.col("name").alias("node"), "paths")
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, sources: int = SOURCES, cut=cut) -> DataFrame:
+def centrality(nodes: DataFrame, edges: DataFrame, spread: int = SPREAD, cut=cut) -> DataFrame:
     """(node, degree, betweenness, centrality) of all ``nodes``: edges at a node by n - 1, paths through it by (n - 1) (n - 2)."""
     n = nodes.count()
     ends = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    all_ = nodes.select("node").join(ends, "node", "left").join(betweenness(edges, sources, cut), "node", "left")
+    all_ = nodes.select("node").join(ends, "node", "left").join(betweenness(edges, spread, cut), "node", "left")
     degree = F.coalesce("d", F.lit(0)) / max(1, n - 1)
     between = F.coalesce("paths", F.lit(0.0)) / max(1, (n - 1) * (n - 2))
     return all_.select("node", degree.alias("degree"), between.alias("betweenness"), (DEGREE * degree + BETWEEN * between).alias("centrality"))

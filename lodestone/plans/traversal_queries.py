@@ -78,7 +78,8 @@ def related_content(spark, sf):
 
 def _nodes(r):
     rest = graph.graph_nodes(r).where("kind <> 'document'").select("node")
-    return traversal.features(r).select("node").union(rest)
+    own = r.select(F.explode(F.array(traversal.doc_node(), traversal.section_node())).alias("node")).distinct()
+    return cut(own.union(rest), "nodes")
 
 
 @query("graph_centrality", None)
