@@ -46,12 +46,12 @@ def _traversal_sql(own: str, of_start: str) -> str:
  SELECT query, start, node, CAST(hops AS BIGINT) AS hops, weight, score, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY query ORDER BY score DESC, weight DESC, start, node) AS rank FROM k QUALIFY rank <= 20"""
 
 
-def _traversal(spark, sf, strategy, central=None):
+def _traversal(spark, sf, strategy, central=None, knowledge=None):
     r = results(spark, sf)
     nodes = cut(traversal.features(r), "features")
     asked = r.where(_QUERY).select(F.col("doc_id").alias("query"), traversal.doc_node().alias("node")).join(nodes, "node").drop("node", "kind", "name")
     starts = cut(traversal.start_nodes(asked, nodes, central), "starts")
-    edges = cut(traversal.heaviest(traversal.knowledge_edges(r)), "knowledge")
+    edges = cut(traversal.heaviest(traversal.knowledge_edges(r) if knowledge is None else knowledge), "knowledge")
     ids = traversal.numbers(nodes, edges)
     number = lambda df, *columns: cut(traversal.numbered(df, ids, *columns), "numbered")
     starts, nodes, central = number(starts, "start"), number(nodes, "node"), central and number(central, "node")
@@ -93,5 +93,6 @@ def graph_centrality(spark, sf):
 @query("graph_traverse_centrality", None)
 def traverse_centrality(spark, sf):
     r = results(spark, sf)
-    central = cut(traversal.centrality(_nodes(r), cut(traversal.knowledge_edges(r), "knowledge")), "central")
-    return _traversal(spark, sf, "centrality", central)
+    knowledge = cut(traversal.knowledge_edges(r), "knowledge")
+    central = cut(traversal.centrality(_nodes(r), knowledge), "central")
+    return _traversal(spark, sf, "centrality", central, knowledge)

@@ -1,7 +1,8 @@
-"""Shortest paths are found in rounds that double their length."""
+"""Shortest paths are found in rounds that double their length; each meets few rows, and edges are made once."""
 
 import pytest
 from lodestone.operators import traversal
+from lodestone.plans import catalog
 
 from tests.test_traversal import brandes
 
@@ -21,3 +22,10 @@ def test_rounds_of_long_paths(spark, monkeypatch, long, spread, most):
     nodes = {v for e in pairs for v in e}
     assert got == pytest.approx({v: x for v, x in brandes(nodes, pairs).items() if x > 0})
     assert max(puts) >= 5 and len(puts) <= most
+
+
+def test_edges_are_made_once(spark, sf, monkeypatch):
+    made, edges = [], traversal.knowledge_edges
+    monkeypatch.setattr(traversal, "knowledge_edges", lambda r: made.append(1) or edges(r))
+    assert catalog.QUERIES["graph_traverse_centrality"](spark, sf).where("rank = 1").count() == 10
+    assert len(made) == 1
